@@ -1,0 +1,33 @@
+"""Connected components by contraction, for edges that fit no single machine."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import stored
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """``a, b`` (longs) to ``node, root``: the least node of each node's component.
+
+    Each round every node hooks to the least of its neighbours and itself, chains of hooks are
+    shortened once, and the edges are rewritten between the hooks; components of one node leave.
+    Every round at least halves what is left of a component. Nothing is collected; each round
+    is written to the shared folder, so a lost executor costs one round at most.
+    """
+    links = stored(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    both = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    label = stored(both.withColumn("root", F.col("node")), "labels")
+    while not links.isEmpty():
+        ways = links.select(F.col("a").alias("v"), F.col("b").alias("w")).union(links.select("b", "a"))
+        hook = ways.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("to"))
+        again = hook.select(F.col("v").alias("to"), F.col("to").alias("further"))
+        hook = stored(hook.join(again, "to", "left").select("v", F.coalesce("further", "to").alias("to")), "hooks")
+        label = stored(
+            label.join(hook, label["root"] == hook["v"], "left").select("node", F.coalesce("to", "root").alias("root")), "labels"
+        )
+        left, right = hook.select(F.col("v").alias("a"), F.col("to").alias("a2")), hook.select(F.col("v").alias("b"), F.col("to").alias("b2"))
+        moved = links.join(left, "a").join(right, "b").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b"))
+        links = stored(moved.filter("a <> b").distinct(), "edges")
+    return label

@@ -6,10 +6,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, secrets, url_filter
+from . import bpe, exact_dedup, line_dedup, mixing, near_dedup, secrets, url_filter
 from .common import table
 
 
+def vocabulary_path() -> str:
+    """Where the public byte-level vocabulary lies; the operator takes any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.near_duplicates(docs).select("doc_id", "class_id", "class_size", "n_links", "kept")
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = bpe.decode(bpe.encode(docs, vocabulary_path()), vocabulary_path())
+    return out.select(
+        "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    )
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(mixing.with_words(docs))
@@ -47,6 +67,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op4_mix_sources, op5_url_filter, op7_line_dedup, op8_exact_dedup, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_bpe, op4_mix_sources, op5_url_filter, op7_line_dedup, op8_exact_dedup, op10_secret_scan)}
 
 ORACLES: dict[str, str] = {}
