@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, mixing, near_dedup, secrets, url_filter
+from . import bpe, exact_dedup, line_dedup, mixing, near_dedup, quality, secrets, url_filter
 from .common import table
 
 
@@ -53,6 +53,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.progressive_dedup(docs, carry={"text_sha256": sha}).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return quality.classify(docs, table(spark, sf_dir, "labels").select("doc_id", "quality")).drop("text_hash")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda x: x["rank"] < len(secrets.BASE_RULES))
@@ -67,6 +72,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_bpe, op4_mix_sources, op5_url_filter, op7_line_dedup, op8_exact_dedup, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_bpe, op4_mix_sources, op5_url_filter, op7_line_dedup, op8_exact_dedup, op9_quality, op10_secret_scan)}
 
 ORACLES: dict[str, str] = {}
