@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, mixing, near_dedup, quality, secrets, url_filter
+from . import bpe, exact_dedup, line_dedup, mixing, near_dedup, quality, secrets, url_filter, vectors, warc
 from .common import table
 
 
@@ -22,6 +22,41 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(docs).select("doc_id", "class_id", "class_size", "n_links", "kept")
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """Pages as a capture log, by fixed rules of the id: every page is fetched four times, a full
+    response first; later fetches are not modified, but the third one of every fourth page is
+    a new response. Validators are weak in revisits, missing for some pages and wrong in
+    the last revisit of every eleventh page."""
+    visits = pages.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    i, v = F.col("page_id"), F.col("v")
+    changed = i % 4 == 0
+    full = (v == 0) | ((v == 2) & changed)
+    version = F.when((v >= 2) & changed, 1).otherwise(0) + F.when((v == 3) & (i % 11 == 5), 5).otherwise(0)
+    etag = F.when(i % 7 != 0, F.concat(F.when(full, "").otherwise("W/"), F.lit('"v'), version.cast("string"), F.lit('"')))
+    modified = F.when(i % 5 >= 2, F.concat(F.lit("day "), version.cast("string")))
+    time = i + v * 1_000_000_000
+    headers = F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("Date"), time.cast("string"), F.lit("ETag"), etag)
+    return visits.select(
+        (i * 4 + v).alias("record_id"),
+        F.when(full, "response").otherwise("revisit").alias("kind"),
+        "url",
+        time.alias("ts"),
+        etag.alias("etag"),
+        modified.alias("last_modified"),
+        headers.alias("headers"),
+        F.when(full, F.col("body")).alias("digest"),
+    )
+
+
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256)
+    out = warc.resolve_revisits(captures(table(spark, sf_dir, "pages").select("page_id", "url", body.alias("body"))))
+    headers = F.array_join(F.transform(F.map_entries("resolved_headers"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))), ";")
+    return out.select(
+        "record_id", "canonical", "kind", "state", "resolved_id", "resolved_digest", headers.alias("resolved_headers")
+    )
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = bpe.decode(bpe.encode(docs, vocabulary_path()), vocabulary_path())
@@ -41,6 +76,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vectors.nearest_neighbours(rows, F.col("vec_id") % 100 == 0)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out = line_dedup.drop_boilerplate(docs)
@@ -72,6 +112,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_bpe, op4_mix_sources, op5_url_filter, op7_line_dedup, op8_exact_dedup, op9_quality, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (
+        op1_near_dedup, op2_warc_revisits, op3_bpe, op4_mix_sources, op5_url_filter, op6_nearest, op7_line_dedup, op8_exact_dedup, op9_quality, op10_secret_scan)}
 
 ORACLES: dict[str, str] = {}
