@@ -34,7 +34,7 @@ def captures(pages: DataFrame) -> DataFrame:
     version = F.when((v >= 2) & changed, 1).otherwise(0) + F.when((v == 3) & (i % 11 == 5), 5).otherwise(0)
     etag = F.when(i % 7 != 0, F.concat(F.when(full, "").otherwise("W/"), F.lit('"v'), version.cast("string"), F.lit('"')))
     modified = F.when(i % 5 >= 2, F.concat(F.lit("day "), version.cast("string")))
-    time = i + v * 1_000_000_000
+    time = i + v.cast("long") * 1_000_000_000
     headers = F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("Date"), time.cast("string"), F.lit("ETag"), etag)
     return visits.select(
         (i * 4 + v).alias("record_id"),
