@@ -10,8 +10,12 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +23,20 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
 from .lexicon import Lexicon, compile_lexicon
 
-LEXICON_WORDS = 131_072
+LEXICON_WORDS = 262_144
 LONGEST_WORD = 48  # bytes; longer words are merged
 MEMO_WORDS = 300_000  # words that a worker remembers between lookups
 COUNTED_AT_ONCE = 400_000  # distinct words counted before they are handed on
+NEVER = 1 << 40  # the rank of pairs that are not merged
 #: Fixed value: how byte-level BPE splits text before it merges.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The same for texts of ASCII and Latin letters only, where the classes are short lists.
+_LETTER, _SPACE = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", " \t\n\r\x0b\x0c"
+PLAIN_WORDS = rf" ?[{_LETTER}]++| ?[0-9]++|'(?:[stmd]|re|ve|ll)| ?[^{_SPACE}{_LETTER}0-9]++|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+BEYOND_PLAIN = f"[^\x00-\x1b\x20-\x7e{_LETTER}]"
 
 
 def byte_symbols() -> dict[int, str]:
@@ -47,7 +57,8 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.single = [ids[c] for _, c in sorted(byte_symbols().items())]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.merge = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in reversed(list(enumerate(pairs)))}
+        self.rank = {ids[a] << 32 | ids[b]: rank for rank, (a, b) in reversed(list(enumerate(pairs)))}
+        self.made = [ids[a + b] for a, b in pairs]
         self.bytes = [b""] * (max([*ids.values(), *self.special.values()]) + 1)
         for t, i in ids.items():
             self.bytes[i] = bytes(bytes_of[c] for c in t)
@@ -57,20 +68,20 @@ class Vocabulary:
     def merge_word(self, word: bytes) -> bytes:
         """Ids of one word, packed: the pair of lowest rank, leftmost first, is merged until no
         pair is in the table. A heap keeps a word of n bytes at n log n steps."""
-        ids = [self.single[b] for b in word]
-        if len(ids) > 40:
+        single, rank = self.single, self.rank.get
+        ids = [single[b] for b in word]
+        if len(ids) > 64:
             return self._merge_long(ids)
-        merge = self.merge
-        while len(ids) > 1:
-            best, at = None, -1
-            for i in range(len(ids) - 1):
-                m = merge.get((ids[i], ids[i + 1]))
-                if m is not None and (best is None or m < best):
-                    best, at = m, i
-            if best is None:
-                break
-            ids[at : at + 2] = [best[1]]
-        return np.array(ids, "<u4").tobytes()
+        ranks = [rank(a << 32 | b, NEVER) for a, b in pairwise(ids)]
+        while ranks and (best := min(ranks)) != NEVER:
+            i = ranks.index(best)
+            ids[i : i + 2] = [self.made[best]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank(ids[i - 1] << 32 | ids[i], NEVER)
+            if i < len(ranks):
+                ranks[i] = rank(ids[i] << 32 | ids[i + 1], NEVER)
+        return pack(f"<{len(ids)}I", *ids)
 
     def _merge_long(self, ids: list[int]) -> bytes:
         left, right = list(range(-1, len(ids) - 1)), list(range(1, len(ids) + 1))
@@ -78,8 +89,8 @@ class Vocabulary:
 
         def offer(i: int) -> None:
             j = right[i]
-            if j < len(ids) and (m := self.merge.get((ids[i], ids[j]))):
-                heapq.heappush(heap, (m[0], i, ids[i], ids[j], m[1]))
+            if j < len(ids) and (m := self.rank.get(ids[i] << 32 | ids[j])) is not None:
+                heapq.heappush(heap, (m, i, ids[i], ids[j], self.made[m]))
 
         for i in range(len(ids) - 1):
             offer(i)
@@ -99,10 +110,14 @@ class Vocabulary:
 
 def _cut(vocabulary: Vocabulary):
     """A function from text to words; special tokens come as words of their own."""
-    find = regex.compile(WORDS).findall
+    general, plain, beyond = regex.compile(WORDS).findall, re.compile(PLAIN_WORDS).findall, re.compile(BEYOND_PLAIN).search
+
+    def find(text: str) -> list[str]:
+        return general(text) if beyond(text) else plain(text)
+
     if not vocabulary.special:
         return find
-    special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(vocabulary.special, key=len, reverse=True)) + ")")
+    special = re.compile("(" + "|".join(re.escape(t) for t in sorted(vocabulary.special, key=len, reverse=True)) + ")")
 
     def cut(text: str) -> list[str]:
         if not special.search(text):
@@ -135,11 +150,22 @@ def word_counts(docs: DataFrame, vocabulary_path: str, text_col: str = "text") -
 
 
 def build_lexicon(docs: DataFrame, vocabulary_path: str, text_col: str = "text", words: int = LEXICON_WORDS) -> bytes:
-    """The ``words`` most frequent words of all texts (ties to the smaller word), compiled."""
+    """The most frequent words of all texts, ``words`` at most, compiled. Counts are ranked by classes
+    of a sixteenth of a doubling: a class is taken whole or not, so what comes to the driver is
+    a small histogram and the words taken, whatever the number of partitions."""
     vocabulary = Vocabulary(vocabulary_path)
-    counts = word_counts(docs, vocabulary_path, text_col).filter(F.octet_length("word") <= LONGEST_WORD)
-    top = counts.orderBy(F.desc("n"), "word").limit(words).select("word").collect()
-    return compile_lexicon({w: vocabulary.merge_word(w) for r in top if r[0] not in vocabulary.special for w in [r[0].encode()]})
+    kind = F.floor(F.log2("n") * 16).cast("int")
+    counts = word_counts(docs, vocabulary_path, text_col).filter((F.octet_length("word") <= LONGEST_WORD) & (F.col("n") > 1))
+    counts = stored(counts.select("word", kind.alias("class")), "words")
+    taken, least = 0, None
+    for r in sorted(counts.groupBy("class").count().collect(), reverse=True):
+        if (taken := taken + r["count"]) > words:
+            break
+        least = r["class"]
+    if least is None:
+        return compile_lexicon({})
+    top = counts.filter(F.col("class") >= least).select("word").toArrow().column(0).to_pylist()
+    return compile_lexicon({w: vocabulary.merge_word(w) for t in top if t not in vocabulary.special for w in [t.encode()]})
 
 
 def encode(
@@ -198,7 +224,7 @@ def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 ids = part.column(part.num_columns - 1)
-                texts = [b"".join(map(pick, np.frombuffer(x.as_buffer(), "<u4").tolist())) for x in ids]
+                texts = [b"".join(map(pick, array("I", x))) for x in ids.to_pylist()]
                 texts = [t.decode("utf-8", "replace") for t in texts]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
 

@@ -69,12 +69,15 @@ def compile_lexicon(entries: dict[bytes, bytes]) -> bytes:
     outputs = [entries[w] for w in sorted(entries)]
     ends = np.cumsum([0] + [len(x) for x in outputs], dtype="<i8")
     parts = [
-        np.array(keys, "<i8"), np.array(to, "<i8"), np.array(out, "<i8"), np.array(final, "u1"), ends, np.frombuffer(b"".join(outputs), "u1"),
+        np.array(keys, "<i8"), np.array(to, "<i4"), np.array(out, "<i4"), np.array(final, "u1"), ends, np.frombuffer(b"".join(outputs), "u1"),
     ]
     head = np.array([order[-1].no, max(map(len, entries), default=0), *[len(p) for p in parts]], "<i8")
     return head.tobytes() + b"".join(p.tobytes() for p in parts)
 
 
+_mapped: dict[str, Lexicon] = {}
+
+
 class Lexicon:
     """Reads what ``compile_lexicon`` made, from a file mapped read-only."""
 
@@ -83,22 +86,25 @@ class Lexicon:
         head = raw[:64].view("<i8")
         self.root, self.longest = int(head[0]), int(head[1])
         at, parts = 64, []
-        for n, kind in zip(head[2:], ("<i8", "<i8", "<i8", "u1", "<i8", "u1"), strict=True):
+        for n, kind in zip(head[2:], ("<i8", "<i4", "<i4", "u1", "<i8", "u1"), strict=True):
             size = int(n) * np.dtype(kind).itemsize
-            parts.append(np.frombuffer(raw, kind, int(n), at) if n else np.zeros(0, kind))
+            parts.append(np.frombuffer(raw[at : at + size], kind) if n else np.zeros(0, kind))
             at += size
         self.keys, self.to, self.out, self.final, self.ends, self.ids = parts
 
     @classmethod
     def from_bytes(cls, data: bytes) -> Lexicon:
-        """Through a file of the machine's temp folder that its workers share."""
-        path = os.path.join(tempfile.gettempdir(), f"casewell-lexicon-{hashlib.sha256(data).hexdigest()[:24]}")
-        if not os.path.exists(path):
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            with tempfile.NamedTemporaryFile(dir=os.path.dirname(path), delete=False) as f:
+        """Through a file of the worker's temp folder, which is unlinked once it is mapped: the pages
+        live as long as the worker needs them, and nothing is left behind. A worker that runs
+        several tasks maps a lexicon once."""
+        digest = hashlib.sha256(data).hexdigest()
+        if digest not in _mapped:
+            with tempfile.NamedTemporaryFile(prefix="casewell-lexicon-") as f:
                 f.write(data)
-            os.replace(f.name, path)
-        return cls(path)
+                f.flush()
+                _mapped.clear()
+                _mapped[digest] = cls(f.name)
+        return _mapped[digest]
 
     def find(self, words: list[bytes]) -> list[bytes | None]:
         """Outputs of ``words``, None for those that are not in the lexicon. All words take a
