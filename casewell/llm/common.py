@@ -2,55 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the
-    session. Only where the session names none (tests) a local one is made."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    scala = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if scala.isDefined():
-        return scala.get()
-    own = "file://" + tempfile.mkdtemp(prefix="casewell-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: the lineage is cut,
-    lost executors lose nothing, and later readers prune columns. The folder goes when
-    the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/casewell-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _remove_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
-    def remove() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the JVM may be gone before this runs
-            pass
+from casewell.storage import new_path, shared_dir, stored, table
 
-    atexit.register(remove)
+__all__ = ["Sieve", "ascii_lower", "drop_keys", "new_path", "shared_dir", "stored", "table"]
 
 
 def ascii_lower(c: Column) -> Column:

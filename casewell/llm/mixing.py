@@ -10,21 +10,33 @@ repeated: whole epochs first, then the cut of the last epoch.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 WORD = r"[^\x20\x09-\x0D]++"
 RANGES = 256
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
 KEY_BITS = 60
+BROADCAST_SOURCES = 100_000
 
 
 def with_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn("size", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
 
 
+def random_key(doc_id: Column) -> Column:
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, KEY_BITS // 4), 16, 10).cast("long")
+
+
+def source_key(source: Column) -> Column:
+    """A null source is a group of its own, also in joins."""
+    return F.concat(F.when(source.isNull(), "0").otherwise("1"), F.coalesce(source, F.lit("")))
+
+
 def budgets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """``source, source_size`` to ``source, source_size, weight, target``.
 
@@ -61,16 +73,13 @@ def mix(
     agree. Null ids and repeated rows are rows like others; ties between equal rows may
     swap their equal rows. A source without words, or an empty table, takes nothing.
     """
-    key = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, KEY_BITS // 4), 16, 10).cast("long")
     width = (1 << KEY_BITS) // ranges
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col("size"), key.alias("__key"))
-    rows = rows.withColumn("__range", F.expr(f"cast(__key div {width} as int)"))
-    # a null source is a group of its own, also in joins
-    rows = rows.withColumn("__src", F.concat(F.when(F.col("source").isNull(), "0").otherwise("1"), F.coalesce("source", F.lit(""))))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col("size"), random_key(F.col(id_col)).alias("__key"))
+    rows = rows.withColumn("__range", F.expr(f"cast(__key div {width} as int)")).withColumn("__src", source_key(F.col("source")))
     totals = rows.groupBy("__src", "__range").agg(F.first("source").alias("source"), F.sum("size").alias("__words"))
     targets = budgets(totals.groupBy("source").agg(F.sum("__words").alias("source_size")), weights, share, most)
     upto = Window.partitionBy("__src").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    targets = targets.withColumn("__src", F.concat(F.when(F.col("source").isNull(), "0").otherwise("1"), F.coalesce("source", F.lit("")))).drop("source")
+    targets = targets.withColumn("__src", source_key(F.col("source"))).drop("source")
     offsets = (
         totals.withColumn("__offset", F.coalesce(F.sum("__words").over(upto), F.lit(0)))
         .select("__src", "__range", "__offset")
@@ -93,6 +102,41 @@ def mix(
             "target",
             F.col("__epochs").alias("epochs"),
             "part",
+            F.col("__key").alias("key"),
             (F.col("__epochs") * F.col("size") + F.col("part")).alias("taken"),
         )
     )
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """Text up to the end of its ``n``-th word, white space as it stands."""
+    words, gaps = F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.split(text, WORD, -1)
+    both = F.zip_with(F.slice(gaps, F.lit(1), n), F.slice(words, F.lit(1), n), lambda g, w: F.concat(g, w))
+    return F.array_join(both, "")
+
+
+def apply_mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """``docs`` (its columns; ``doc_id, source, text`` needed) as the mix takes them: each document once
+    per epoch and once more before its source's cut; the document at the cut up to its last word
+    taken, with ``n_chars`` of what is left of it.
+
+    All decisions follow from one row per source - epochs, and the key at which the last epoch is
+    cut - so texts are not shuffled. Rows that repeat the id at a cut are cut alike.
+    """
+    mixed = mix(with_words(docs.select("doc_id", "source", "text")), weights, share, most)
+    end = F.max(F.when(F.col("part") > 0, F.struct("key", "doc_id", "size", "part")))
+    cuts = mixed.groupBy(source_key(F.col("source")).alias("__src")).agg(F.max("epochs").alias("__epochs"), end.alias("__end"))
+    cuts = stored(cuts, "cuts")
+    cuts = F.broadcast(cuts) if cuts.count() <= BROADCAST_SOURCES else cuts
+    key, at = F.struct(random_key(F.col("doc_id")).alias("key"), F.col("doc_id")), F.struct("__end.key", "__end.doc_id")
+    rows = docs.withColumn("__src", source_key(F.col("source"))).join(cuts, "__src")
+    inside = F.col("__end").isNotNull() & (key <= at)
+    cut = inside & (key == at) & (F.col("__end.part") < F.col("__end.size"))
+    rows = rows.withColumn("__copies", F.col("__epochs") + F.when(inside, 1).otherwise(0)).withColumn("__cut", cut).filter("__copies > 0")
+    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    short = F.col("__cut") & (F.col("__copy") == F.col("__copies"))
+    text = F.when(short, first_words(F.col("text"), F.col("__end.part").cast("int"))).otherwise(F.col("text"))
+    out = rows.withColumn("__short", short).withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__short"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)

@@ -67,7 +67,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(mixing.with_words(docs))
+    return mixing.mix(mixing.with_words(docs)).drop("key")
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
