@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, line_dedup, mixing, near_dedup, quality, secrets, url_filter, vectors, warc
 from .common import table
+from .oracles import ORACLES
 
 
 def vocabulary_path() -> str:
@@ -112,7 +113,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (
-        op1_near_dedup, op2_warc_revisits, op3_bpe, op4_mix_sources, op5_url_filter, op6_nearest, op7_line_dedup, op8_exact_dedup, op9_quality, op10_secret_scan)}
-
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
+
+_ALL = (
+    op1_near_dedup,
+    op2_warc_revisits,
+    op3_bpe,
+    op4_mix_sources,
+    op5_url_filter,
+    op6_nearest,
+    op7_line_dedup,
+    op8_exact_dedup,
+    op9_quality,
+    op10_secret_scan,
+)
+QUERIES = {f.__name__: f for f in _ALL}
