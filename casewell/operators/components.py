@@ -18,16 +18,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     node; null ends are left out.
     """
     ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null")
-    ends = stored(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    label = stored(ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct().withColumn("root", F.col("node")), "labels")
+    ends = stored(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", narrow=True)
+    label = stored(ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct().withColumn("root", F.col("node")), "labels", narrow=True)
     links = ends.filter("a <> b")
     while not links.isEmpty():
         ways = links.select(F.col("a").alias("v"), F.col("b").alias("w")).union(links.select("b", "a"))
         hook = ways.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("w", "v").alias("to"))
         further = hook.select(F.col("v").alias("to"), F.col("to").alias("further"))
-        hook = stored(hook.join(further, "to", "left").select("v", F.coalesce("further", "to").alias("to")), "hooks")
-        label = stored(label.join(hook, label["root"] == hook["v"], "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+        hook = stored(hook.join(further, "to", "left").select("v", F.coalesce("further", "to").alias("to")), "hooks", narrow=True)
+        label = stored(label.join(hook, label["root"] == hook["v"], "left").select("node", F.coalesce("to", "root").alias("root")), "labels", narrow=True)
         left, right = hook.select(F.col("v").alias("a"), F.col("to").alias("a2")), hook.select(F.col("v").alias("b"), F.col("to").alias("b2"))
         moved = links.join(left, "a").join(right, "b").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b"))
-        links = stored(moved.filter("a <> b").distinct(), "edges")
+        links = stored(moved.filter("a <> b").distinct(), "edges", narrow=True)
     return label

@@ -42,10 +42,13 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: the lineage is cut,
-    lost executors lose nothing, and later readers prune columns."""
+    lost executors lose nothing, and later readers prune columns. ``narrow`` is for tables of a
+    few short columns: they go to as many files as two waves of tasks write, where a file for
+    each shuffle partition would mostly be empty."""
     spark = df.sparkSession
     path = new_path(spark, label)
+    df = df.coalesce(2 * spark.sparkContext.defaultParallelism) if narrow else df
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
