@@ -243,7 +243,7 @@ def audio_analysis(content: pd.Series) -> pd.DataFrame:
             parts = [{"start": a, "end": b} for a, b in sounding(x, rate)]
             out.append((len(x) / rate, rate, channels, parts, m.mean(0).tolist(), m.var(0).tolist(), None))
         except (wave.Error, EOFError, ValueError, KeyError) as e:
-            out.append((None, None, None, None, None, None, str(e)))
+            out.append((None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
     names = ["duration", "rate", "channels", "segments", "mfcc_mean", "mfcc_variance", "error"]
     return pd.DataFrame(out, columns=names).astype({"rate": "Int32", "channels": "Int32", "duration": "float64"})
 

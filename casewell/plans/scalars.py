@@ -260,10 +260,10 @@ def f60(spark, sf):
 def f61(spark, sf):
     from casewell.sources.generate import connectivity
 
-    category = F.when(F.col("p_size") % 4 == 0, "Organized").otherwise("Property")
+    category = F.when(F.col("p_size") % 4 == 0, "Cyber").otherwise("Property")
     section = F.when(F.col("p_size") % 3 == 0, "BNS 1110").otherwise("BNS 303")
-    spread = F.when(F.col("p_partkey") % 5 == 0, F.array(F.lit("Thane"), F.lit("Pune"))).otherwise(F.array(F.lit("Thane")))
-    return part(spark, sf).select("p_partkey", connectivity(category, section, spread).alias("connectivity"))
+    places = F.array(F.when(F.col("p_partkey") % 5 == 0, "Pune").otherwise(" thane "), F.lit(""), F.lit(None).cast("string"))
+    return part(spark, sf).select("p_partkey", connectivity(category, section, F.lit("Thane"), places).alias("connectivity"))
 
 
 @query("f65_bubble_radius", "SELECT event_id, round(4 + greatest(0, least(100, value)) / 100 * 14, 4) AS r FROM events")

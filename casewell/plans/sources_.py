@@ -90,13 +90,36 @@ def n1(spark, sf):
 
 
 @query("n2_n5_child_tables", """SELECT * FROM (VALUES ('Subscriber_Detail_Records', 60), ('Call_Recording', 1000), ('IP_Detail_Records', 600), ('Vehicle_Summary', 60), ('SARATHI_Database', 60), ('FASTag_Toll_Logs', 180),
-  ('ANPR_Camera_Feeds', 180), ('Financial_Summary', 20), ('Bank_Statement_Records', 110), ('Medical_Forensic_Summary', 20)) t(name, n)""")
+  ('ANPR_Camera_Feeds', 180), ('Financial_Summary', 20), ('Medical_Forensic_Summary', 20)) t(name, n)""")
 def n2(spark, sf):
     c = generate.cases(spark, 20)
-    names = "Subscriber_Detail_Records Call_Recording IP_Detail_Records Vehicle_Summary SARATHI_Database FASTag_Toll_Logs ANPR_Camera_Feeds Financial_Summary Bank_Statement_Records Medical_Forensic_Summary".split()
+    names = "Subscriber_Detail_Records Call_Recording IP_Detail_Records Vehicle_Summary SARATHI_Database FASTag_Toll_Logs ANPR_Camera_Feeds Financial_Summary Medical_Forensic_Summary".split()
     return generate.union_of([generate.child_table(c, t).agg(F.lit(t).alias("name"), F.count(F.lit(1)).cast("int").alias("n")) for t in names])
 
 
+@query("n4_f62_financial_tiers")
+def n4(spark, sf):
+    c = generate.cases(spark, 400)
+    tiers = c.select(F.col("Connectivity_Type").alias("connectivity"), F.expr(generate.TIER).alias("tier"))
+    return tiers.groupBy("connectivity", "tier").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("n4_f63_money_suspect")
+def f63(spark, sf):
+    c = generate.cases(spark, 400).withColumn("k", F.lit(0))
+    same = F.expr(generate.MONEY_ROLE) == F.expr(generate.FLAGGED_ROLE)
+    return c.agg(F.count(F.lit(1)).alias("n"), F.count_if(same).alias("same"))
+
+
+@query("n4_bank_rows_by_tier", "SELECT 0::BIGINT AS wrong")
+def n4b(spark, sf):
+    c = generate.cases(spark, 60)
+    money = generate.child_table(c, "Financial_Summary").select("Case_ID", "Financial_Tier")
+    rows = generate.child_table(c, "Bank_Statement_Records").groupBy("Case_ID").agg(F.count(F.lit(1)).alias("n"))
+    want = F.element_at(F.create_map(*[F.lit(x) for x in ("NONE", 0, "BASIC", 3, "MODERATE", 6, "COMPLEX", 13)]), F.col("Financial_Tier"))
+    return money.join(rows, "Case_ID", "left").agg(F.count_if(F.coalesce("n", F.lit(0)) != want).alias("wrong"))
+
+
 @query("n6_register_case", "SELECT 4::BIGINT AS cases, 'Theft' AS latest, 150::BIGINT + 50 AS calls")
 def n6(spark, sf):
     base = new_path(spark, "register")

@@ -24,7 +24,7 @@ PLAZAS = ("TP-0102 / Vashi Toll Plaza", "TP-0105 / Khalapur Toll Plaza", "TP-010
 CORRIDORS = ("Mumbai-Panvel", "Mumbai-Pune Expressway", "Mumbai-Pune Expressway", "NH-48 (Pune-Satara)")
 CAMERAS = ("ANPR-MH04-VSH / Vashi Bridge, Mumbai", "ANPR-MPE-KHL / Khalapur Km 42", "ANPR-MPE-URS / Urse Toll Km 84", "ANPR-NH48-KHD / Khed Plaza Km 120")
 GPS = ("19.0596 N, 72.9011 E", "18.8021 N, 73.2104 E", "18.7112 N, 73.6102 E", "18.3512 N, 73.8901 E")
-TIERS = ("NONE", "SIMPLE", "MODERATE", "COMPLEX")
+TIERS = ("NONE", "BASIC", "MODERATE", "COMPLEX")
 SEED = 2026
 
 
@@ -65,9 +65,32 @@ STAMP, SHORT, CALL = "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "dd/MM/yyyy HH:m
 CASE_KEY = "FIR_No"
 
 
-def connectivity(category: Column, section: Column, districts: Column) -> Column:
-    """Planned if organized or against the state, if the section text has 111, or over districts."""
-    return F.when(category.isin("Organized", "State/Terror") | section.contains("111") | (F.size(districts) > 1), "Planed").otherwise("Unplaned")
+def case_draw(salt: str, m: int) -> str:
+    """Like ``draw``, but the same for all rows of a case."""
+    return f"pmod(xxhash64({SEED}, seq, 0, '{salt}'), {m})"
+
+
+def connectivity(category: Column, section: Column, district: Column, places: Column) -> Column:
+    """Planned if organized or cyber, if the section text has 111 anywhere, or if a place that is
+    named differs from the district."""
+    plain = lambda c: F.lower(F.trim(c))
+    elsewhere = F.coalesce(F.exists(places, lambda p: p.isNotNull() & (F.trim(p) != "") & (plain(p) != plain(district))), F.lit(False))
+    return F.when(category.isin("Organized", "Cyber") | section.contains("111") | elsewhere, "Planed").otherwise("Unplaned")
+
+
+#: Percentages of the tiers, for financial kinds of cases that are planned or not, and
+#: for others that are planned or not.
+TIER_WEIGHTS = {(True, True): (5, 10, 20, 65), (True, False): (15, 25, 35, 25), (False, True): (35, 30, 25, 10), (False, False): (75, 20, 5, 0)}
+_MONEY = "Case_Type in (" + ", ".join(f"'{o[0]}'" for o in OFFENCES if o[2] in ("Organized", "Financial", "Cyber")) + ")"
+
+
+def _tier() -> str:
+    """A seeded number against cumulative weights."""
+    u, cases_ = case_draw("tier", 100), []
+    for (money, planned), w in TIER_WEIGHTS.items():
+        steps = " ".join(f"when {u} < {sum(w[: i + 1])} then '{t}'" for i, t in enumerate(TIERS[:-1]))
+        cases_.append(f"when {'' if money else 'not '}({_MONEY}) and {'' if planned else 'not '}(Connectivity_Type = 'Planed') then case {steps} else '{TIERS[-1]}' end")
+    return "case " + " ".join(cases_) + " end"
 
 
 def cases(spark: SparkSession, n: int = 20, first: int = 1) -> DataFrame:
@@ -101,7 +124,7 @@ def cases(spark: SparkSession, n: int = 20, first: int = 1) -> DataFrame:
     from casewell.functions.values import vulnerability
 
     out = rows.select("seq", "__category", *[F.expr(e).alias(c) for c, e in columns.items()])
-    out = out.withColumn("Connectivity_Type", connectivity(F.col("__category"), F.col("Acts_Sections"), F.array_distinct(F.array("District", "Place_of_Occurrence", "Accused_Address"))))
+    out = out.withColumn("Connectivity_Type", connectivity(F.col("__category"), F.col("Acts_Sections"), F.col("District"), F.array("Place_of_Occurrence")))
     return out.withColumn("Vulnerability_Category", vulnerability(F.col("Victim_Age"), F.col("Victim_Gender"), F.col("Case_Type"))).drop("__category")
 
 
@@ -110,7 +133,11 @@ ROLE_NAME = "element_at(array(Informant_Name, Victim_Name, Accused_Name_Alias),
 ROLE_PHONE = "element_at(array(Informant_Contact, Victim_Contact, Accused_Contact), cast(pmod(k, 3) + 1 as int))"
 PLATE = f"concat('MH04-', char(65 + cast(pmod(k, 3) as int)), 'X-', 1000 + pmod(seq * 7 + pmod(k, 3), 9000))"
 FLAGGED = "(k = rows_in_case - 1 and pmod(seq, 2) = 0)"
-TIER = turn("seq", TIERS)
+TIER = f"({_tier()})"
+#: The role that calls and vehicles flag, and the one that money flags: the same in 70 of 100 cases.
+FLAGGED_ROLE = "pmod(seq, 3)"
+MONEY_ROLE = f"if({case_draw('mule', 100)} < 70, {FLAGGED_ROLE}, pmod(seq + 1 + {case_draw('other', 2)}, 3))"
+SUSPECT = f"element_at(array(Informant_Name, Victim_Name, Accused_Name_Alias), cast({MONEY_ROLE} + 1 as int))"
 ACCOUNT = "concat('XXXX', lpad(cast(pmod(seq * 37, 10000) as string), 4, '0'))"
 SUBJECT = "Victim_Name"
 
@@ -124,9 +151,9 @@ TABLES: dict[str, tuple[str, dict[str, str]]] = {
     "SARATHI_Database": ("3", {"Role": ROLE, "Driving License No": code("MH04", "dl", 11), "License Holder": ROLE_NAME, "Father/Husband Name": pick("dlf", LAST), "Issuing RTO": "'MH04'", "Class of Vehicle": "'LMV'", "Linked Mobile": f"if(pmod(seq + k, 5) = 0, {phone('dl')}, {ROLE_PHONE})", "License Status": "'VALID'"}),
     "FASTag_Toll_Logs": ("9", {"Person_Role": ROLE, "Timestamp (IST)": when(STAMP, "floor(k / 3) * 45"), "Toll Plaza ID & Location": turn("floor(k / 3)", PLAZAS), "Corridor": turn("floor(k / 3)", CORRIDORS), "Vehicle Registration": PLATE, "FASTag Tag ID": "concat('TAG', seq, '-', pmod(k, 3))", "Toll Fee (INR)": "110L", "ANPR Cross-Match": f"if({FLAGGED}, 'MISMATCH', 'MATCH')", "Txn Status": f"if({FLAGGED}, 'FLAG_ALERT', 'SUCCESS')"}),
     "ANPR_Camera_Feeds": ("9", {"Person_Role": ROLE, "Detection Time": when(STAMP, "floor(k / 3) * 45"), "Camera ID & Location": turn("floor(k / 3)", CAMERAS), "GPS Coordinates": turn("floor(k / 3)", GPS), "Captured Plate": f"if({FLAGGED}, 'MH99-ZZ-0001', {PLATE})", "OCR Confidence": f"concat({num('ocr', 95, 99)}, '.5%')", "Vehicle Color & Class": pick("car", CARS), "VAHAN Match": f"if({FLAGGED}, 'MISMATCH_SUSPECT', 'MATCH')", "Investigation Flag": f"if({FLAGGED}, 'RULE 1: FASTAG / ANPR PLATE MISMATCH', 'PASS')"}),
-    "Financial_Summary": ("1", {"Financial_Tier": TIER, "Flagged_Person": "Accused_Name_Alias", "Linked_Account": ACCOUNT, "Linked_VPA": "concat(lower(split(Accused_Name_Alias, ' ')[0]), seq, '@upi')", "Crypto_Involved": f"if({TIER} = 'COMPLEX', 'YES', 'NO')", "Shell_Company_Involved": f"if({TIER} = 'COMPLEX', 'YES', 'NO')"}),
-    "Bank_Statement_Records": (f"case {TIER} when 'NONE' then 0 when 'SIMPLE' then 3 when 'MODERATE' then 6 else 13 end", {"Person": "concat(Accused_Name_Alias, ' (ACCUSED)')", "Transaction_DateTime": when(STAMP, "if(k >= 10, 600 + k, k * 60)"), "UTR_Transaction_ID": code("UTR", "utr", 12), "Account_Number": ACCOUNT, "Type_CR_DR": "if(k >= 10 or pmod(k, 2) = 1, 'DR', 'CR')", "Amount_INR": f"if(k >= 10, {num('cash', 41000, 49000)}, {num('amt', 500, 90000)})", "Balance_INR": num("bal", 500, 200000), "Counterparty_Name": pick("cp", LAST), "Counterparty_Account_UPI": f"if(k >= 10, 'N/A', {code('XXXX', 'cpa', 4)})", "Channel": "if(k >= 10, 'ATM CASH', 'NEFT')"}),
-    "UPI_Payment_Gateway_Logs": (f"case {TIER} when 'NONE' then 0 when 'SIMPLE' then 2 when 'MODERATE' then 4 else 8 end", {"Person": "Accused_Name_Alias", "Timestamp": when(STAMP, "if(k >= 6, 900 + (k - 6) * 7, k * 30)"), "Payer_VPA": "if(k = 7, 'mule@upi', 'payer@upi')", "Payee_VPA": "if(k = 7, 'exit@upi', 'mule@upi')", "RRN_Transaction_Ref": code("", "rrn", 12), "Device_ID_IMEI": code("35", "dev", 13), "IP_Address": f"concat('49.36.2.', {num('upi', 1, 254)})", "Location_City": pick("city", DISTRICTS), "Status": "'SUCCESS'"}),
+    "Financial_Summary": ("1", {"Financial_Tier": TIER, "Flagged_Person": SUSPECT, "Linked_Account": ACCOUNT, "Linked_VPA": "concat(lower(split(Accused_Name_Alias, ' ')[0]), seq, '@upi')", "Crypto_Involved": f"if({TIER} = 'COMPLEX', 'YES', 'NO')", "Shell_Company_Involved": f"if({TIER} = 'COMPLEX', 'YES', 'NO')"}),
+    "Bank_Statement_Records": (f"case {TIER} when 'NONE' then 0 when 'BASIC' then 3 when 'MODERATE' then 6 else 13 end", {"Person": f"concat({SUSPECT}, ' (', element_at(array('INFORMANT', 'VICTIM', 'ACCUSED'), cast({MONEY_ROLE} + 1 as int)), ')')", "Transaction_DateTime": when(STAMP, "if(k >= 10, 600 + k, k * 60)"), "UTR_Transaction_ID": code("UTR", "utr", 12), "Account_Number": ACCOUNT, "Type_CR_DR": "if(k >= 10 or pmod(k, 2) = 1, 'DR', 'CR')", "Amount_INR": f"if(k >= 10, {num('cash', 41000, 49000)}, {num('amt', 500, 90000)})", "Balance_INR": num("bal", 500, 200000), "Counterparty_Name": pick("cp", LAST), "Counterparty_Account_UPI": f"if(k >= 10, 'N/A', {code('XXXX', 'cpa', 4)})", "Channel": "if(k >= 10, 'ATM CASH', 'NEFT')"}),
+    "UPI_Payment_Gateway_Logs": (f"case {TIER} when 'NONE' then 0 when 'BASIC' then 2 when 'MODERATE' then 4 else 8 end", {"Person": "Accused_Name_Alias", "Timestamp": when(STAMP, "if(k >= 6, 900 + (k - 6) * 7, k * 30)"), "Payer_VPA": "if(k = 7, 'mule@upi', 'payer@upi')", "Payee_VPA": "if(k = 7, 'exit@upi', 'mule@upi')", "RRN_Transaction_Ref": code("", "rrn", 12), "Device_ID_IMEI": code("35", "dev", 13), "IP_Address": f"concat('49.36.2.', {num('upi', 1, 254)})", "Location_City": pick("city", DISTRICTS), "Status": "'SUCCESS'"}),
     "Merchant_Gateway_Transaction_Logs": (f"case {TIER} when 'MODERATE' then 3 when 'COMPLEX' then 5 else 0 end", {"Person": "Accused_Name_Alias", "Timestamp": when(STAMP, "k * 40"), "Merchant_Name": pick("mer", ("Kirana", "Electro World")), "Gateway": pick("gw", ("PG-1", "PG-2")), "Gateway_Txn_ID": code("GTX", "gtx", 10), "Payment_Mode": pick("mode", ("CARD", "NETBANKING")), "Amount_INR": num("mamt", 100, 50000), "Device_Fingerprint": code("FP", "fp", 8), "IP_Address": "if(k = 0, '185.220.101.1', '49.36.3.1')", "IP_Geolocation": "if(k = 0, 'Proxy', 'Mumbai')", "Risk_Score": num("risk", 1, 99), "Gateway_Response": "'OK'", "Txn_Status": "'SUCCESS'"}),
     "Crypto_OnChain_Transactions": (f"if({TIER} = 'COMPLEX', 1, 0)", {"Blockchain": "'TRON'", "TxHash": "concat('0x', md5(concat('tx', seq)))", "Sender_Wallet": "concat('T', md5(concat('s', seq)))", "Receiver_Wallet": "concat('T', md5(concat('r', seq)))", "Asset": "'USDT'", "Amount": num("usdt", 100, 9000), "Timestamp": when(STAMP, "300"), "Status": "'CONFIRMED'", "Attribution": "'Unhosted'"}),
     "Crypto_Exchange_KYC_Records": (f"if({TIER} = 'COMPLEX', 1, 0)", {"Exchange_Name": "'CoinDesk IN'", "FIU_ID": code("FIU", "fiu", 5), "Account_UID": "concat('UID', seq)", "Registered_Name": "Accused_Name_Alias", "KYC_Status": "'VERIFIED'", "PAN": code("ABCPK", "pan", 4), "Registered_Mobile": "Accused_Contact", "Linked_Bank_Account": ACCOUNT, "Primary_Deposit_Wallet": "concat('T', md5(concat('r', seq)))", "Registration_IP": "'49.36.4.1'"}),
