@@ -111,7 +111,7 @@ def classify(
         z = z + F.lit(float(weight)) * F.col(name)
     scored = rows.select("doc_id", "text_hash", "host", "path", (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).alias("p"))
 
-    paths = stored(scored.groupBy("host", "path").agg(F.sum("p").alias("s"), F.count(F.lit(1)).alias("n")), "paths")
+    paths = stored(scored.groupBy("host", "path").agg(F.sum("p").alias("s"), F.count(F.lit(1)).alias("n")), "paths", narrow=True)
     hosts = paths.groupBy("host").agg(F.sum("s").alias("host_s"), F.sum("n").alias("host_n"))
     whole = paths.agg((F.sum("s") / F.sum("n")).alias("mean"), F.sum("n").alias("all")).first()
     mean = whole["mean"] if whole["all"] else 0.5

@@ -163,7 +163,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[SecretRule, ...] = BASE_RULES + M
     full = rows.select("doc_id", "text_hash", spans_by(scanned).alias("found"))
     if indexed:
         trigrams = sorted({t for r in indexed for a in trigram_query(r.regex) for t in a})
-        found = stored(candidates(postings(rows, trigrams), indexed), "candidates")
+        found = stored(candidates(postings(rows, trigrams), indexed), "candidates", narrow=True)
         keys = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "kinds")
         maybe = Sieve(found, ["doc_id", "text_hash"]).mark(rows, [F.col("doc_id"), F.col("text_hash")], "__maybe").filter("__maybe").drop("__maybe")
         verified = (

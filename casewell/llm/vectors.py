@@ -205,7 +205,7 @@ def nearest_neighbours(
     most = needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)] if needed else 1
 
     sizes = filed.groupBy("leaf").agg(F.count(F.lit(1)).alias("rows"))
-    blocks = stored(sizes.select("leaf", F.ceil(F.col("rows") / BLOCK).cast("int").alias("row_blocks")), "blocks")
+    blocks = stored(sizes.select("leaf", F.ceil(F.col("rows") / BLOCK).cast("int").alias("row_blocks")), "blocks", narrow=True)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -218,7 +218,7 @@ def nearest_neighbours(
     visits = filed.filter("asks").select(F.col("vec_id").alias("query_id"), F.col("vec").alias("q")).mapInArrow(ask, f"query_id long, q {kind}, leaf long")
     visits = stored(visits, "visits")
     asked_blocks = visits.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("query_blocks"))
-    blocks = F.broadcast(stored(blocks.join(asked_blocks, "leaf"), "blocks"))  # a row a leaf, at most SAMPLE / 8
+    blocks = F.broadcast(stored(blocks.join(asked_blocks, "leaf"), "blocks", narrow=True))  # a row a leaf, at most SAMPLE / 8
 
     def block(c: str, n: str) -> Column:
         return F.pmod(F.xxhash64(c, F.lit(2)), F.col(n)).cast("int")

@@ -67,7 +67,7 @@ def resolve_revisits(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFr
     spans = usable.groupBy("canonical").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("low"), F.max("ts").alias("high"))
     many = F.ceil(F.col("n") / slice_rows)
     spans = spans.select("canonical", "low", F.greatest(F.lit(1.0), (F.col("high") - F.col("low") + 1) / many).alias("width"))
-    cut = stored(spans, "spans")
+    cut = stored(spans, "spans", narrow=True)
     placed = usable.join(cut, "canonical").withColumn("slice", F.floor((F.col("ts") - F.col("low")) / F.col("width"))).drop("low", "width")
     last = placed.filter("kind = 'response'").groupBy("canonical", "slice").agg(F.max(F.struct("ts", "record_id")).alias("last"))
     seen = placed.select("canonical", "slice").distinct().join(last, ["canonical", "slice"], "left")
