@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewell.storage import new_path, shared_dir, stored, table
 
-__all__ = ["Sieve", "ascii_lower", "drop_keys", "new_path", "shared_dir", "stored", "table"]
+__all__ = ["Sieve", "arrow_rows", "ascii_lower", "drop_keys", "new_path", "shared_dir", "stored", "table"]
 
 
 def ascii_lower(c: Column) -> Column:
@@ -15,6 +18,19 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, upper, upper.lower())
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
+    """Batches of ``n`` rows between the JVM and Python for the jobs run inside, so that whole texts
+    take little memory on both sides; the session's own setting comes back after."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Sieve:
     """A bitmap of 2**bits positions: which keys may be in a set. It is made by aggregation
     and has ``2**bits / 8`` bytes however many keys there are, so it can be broadcast.
