@@ -53,6 +53,7 @@ def progressive_dedup(
         .agg(F.max(F.struct("doc_id", "row_tag")).alias("top"), F.count(F.lit(1)).alias("group_size"))
         .filter("group_size > 1")
     )
+    groups = stored(groups, "groups", narrow=True)  # so that both sides of the join are plain shuffles, which a hot group can be split in
     alone = F.col("top").isNull()
     out = some.join(groups, ["len", "sha"], "left").select(
         "doc_id",
