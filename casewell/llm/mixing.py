@@ -76,6 +76,7 @@ def mix(
     width = (1 << KEY_BITS) // ranges
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col("size"), random_key(F.col(id_col)).alias("__key"))
     rows = rows.withColumn("__range", F.expr(f"cast(__key div {width} as int)")).withColumn("__src", source_key(F.col("source")))
+    rows = stored(rows, "sizes")  # texts are read once
     totals = rows.groupBy("__src", "__range").agg(F.first("source").alias("source"), F.sum("size").alias("__words"))
     targets = budgets(totals.groupBy("source").agg(F.sum("__words").alias("source_size")), weights, share, most)
     upto = Window.partitionBy("__src").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
@@ -126,7 +127,7 @@ def apply_mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, m
     mixed = mix(with_words(docs.select("doc_id", "source", "text")), weights, share, most)
     end = F.max(F.when(F.col("part") > 0, F.struct("key", "doc_id", "size", "part")))
     cuts = mixed.groupBy(source_key(F.col("source")).alias("__src")).agg(F.max("epochs").alias("__epochs"), end.alias("__end"))
-    cuts = stored(cuts, "cuts")
+    cuts = stored(cuts, "cuts", narrow=True)
     cuts = F.broadcast(cuts) if cuts.count() <= BROADCAST_SOURCES else cuts
     key, at = F.struct(random_key(F.col("doc_id")).alias("key"), F.col("doc_id")), F.struct("__end.key", "__end.doc_id")
     rows = docs.withColumn("__src", source_key(F.col("source"))).join(cuts, "__src")
