@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 RATIO = 0.1
 MIN_PAGES = 5
 BROADCAST_LINES = 200_000  # 1.6 MB of hashes; beyond, host lists are joined by a shuffle
@@ -55,7 +57,8 @@ def drop_boilerplate(
     counted first: up to ``broadcast_lines`` the lists travel to the texts, beyond it texts
     and lists meet by host in a join that adaptive execution splits where a host is hot.
     """
-    found = boilerplate(docs, host_col, text_col, ratio, min_pages).select("host_key", "line").persist()
+    found = boilerplate(docs, host_col, text_col, ratio, min_pages).select("host_key", "line")
+    found = stored(found, "boilerplate", narrow=True)
     lists = found.groupBy("host_key").agg(F.collect_list("line").alias("__bad")).withColumnRenamed("host_key", "__host")
     lists = F.broadcast(lists) if found.count() <= broadcast_lines else lists
     out = docs.withColumn("__host", _host(F.col(host_col))).join(lists, "__host", "left")
