@@ -5,9 +5,9 @@ It is resolved to the latest earlier full response of the same canonical URL, an
 resolved if the validators agree. Headers of the response stay but for those that a 304 may
 renew.
 
-The as-of join is a distributed scan: captures of a URL are split by time into slices, each
-slice hands on its last response, the few slices of a URL are scanned, and each revisit that
-found no response in its own slice takes the one handed to it. So a URL with a third of all
+The as-of join is a distributed scan over the distinct times of a URL: they are split into slices,
+each slice hands on its last response, the few slices of a URL are scanned, and a time without an
+earlier response in its own slice takes the one handed to it. So a URL with a third of all
 captures is many tasks. Bodies take no part; a reference and a digest stand for them.
 """
 
@@ -69,17 +69,18 @@ def resolve_revisits(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFr
     spans = spans.select("canonical", "low", F.greatest(F.lit(1.0), (F.col("high") - F.col("low") + 1) / many).alias("width"))
     cut = stored(spans, "spans", narrow=True)
     placed = usable.join(cut, "canonical").withColumn("slice", F.floor((F.col("ts") - F.col("low")) / F.col("width"))).drop("low", "width")
-    last = placed.filter("kind = 'response'").groupBy("canonical", "slice").agg(F.max(F.struct("ts", "record_id")).alias("last"))
-    seen = placed.select("canonical", "slice").distinct().join(last, ["canonical", "slice"], "left")
+    # captures of one time count once, so neither a burst nor its URL is a large group
+    answers = F.max(F.when(F.col("kind") == "response", F.col("record_id")))
+    times = placed.groupBy("canonical", "slice", "ts").agg(answers.alias("answer"))
+    times = stored(times.withColumn("one", F.when(F.col("answer").isNotNull(), F.struct("ts", "answer"))).drop("answer"), "times")
+    last = times.groupBy("canonical", "slice").agg(F.max("one").alias("last"))
     before = Window.partitionBy("canonical").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    handed = stored(seen.withColumn("handed", F.last("last", ignorenulls=True).over(before)).select("canonical", "slice", "handed"), "handed")
-    # within a slice: the last response at an earlier time, so peers of a time do not see each other
-    inside = Window.partitionBy("canonical", "slice").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    best = F.max(F.when(F.col("kind") == "response", F.struct("ts", "record_id"))).over(inside)
-    asof = placed.withColumn("__best", best).filter("kind = 'revisit'").join(handed, ["canonical", "slice"], "left")
-    found = asof.withColumn("__ts", F.coalesce(F.col("__best.ts"), F.col("handed.ts"))).withColumn(
-        "__id", F.coalesce(F.col("__best.record_id"), F.col("handed.record_id"))
-    )
+    handed = last.withColumn("handed", F.last("last", ignorenulls=True).over(before)).select("canonical", "slice", "handed")
+    inside = Window.partitionBy("canonical", "slice").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    seen = times.withColumn("own", F.last("one", ignorenulls=True).over(inside)).join(handed, ["canonical", "slice"])
+    seen = seen.withColumn("best", F.coalesce("own", "handed")).filter("best is not null")
+    seen = stored(seen.select("canonical", "ts", F.col("best.ts").alias("__ts"), F.col("best.answer").alias("__id")), "seen")
+    found = usable.filter("kind = 'revisit'").join(seen, ["canonical", "ts"], "left")
     responses = usable.filter("kind = 'response'").select(
         F.col("canonical").alias("__c"), F.col("ts").alias("__t"), F.col("record_id").alias("__r"),
         F.col("etag").alias("r_etag"), F.col("last_modified").alias("r_modified"), F.col("headers").alias("r_headers"), F.col("digest").alias("r_digest"),
