@@ -23,12 +23,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, trimmed, whole_texts
 from .lexicon import Lexicon, compile_lexicon
 
 LEXICON_WORDS = 262_144
 LONGEST_WORD = 48  # bytes; longer words are merged
-MEMO_WORDS = 300_000  # words that a worker remembers between lookups
+MEMO_WORDS = 200_000  # words that a worker remembers between lookups
+TEXTS_AT_ONCE = 128
 COUNTED_AT_ONCE = 400_000  # distinct words counted before they are handed on
 NEVER = 1 << 40  # the rank of pairs that are not merged
 #: Fixed value: how byte-level BPE splits text before it merges.
@@ -129,6 +130,7 @@ def _cut(vocabulary: Vocabulary):
 
 def word_counts(docs: DataFrame, vocabulary_path: str, text_col: str = "text") -> DataFrame:
     """``word, n`` over all texts, counted map-side before the shuffle."""
+    whole_texts(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary_path))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +148,7 @@ def word_counts(docs: DataFrame, vocabulary_path: str, text_col: str = "text") -
                     yield handed()
         yield handed()
 
-    return docs.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text_col).mapInArrow(trimmed(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, vocabulary_path: str, text_col: str = "text", words: int = LEXICON_WORDS) -> bytes:
@@ -169,16 +171,23 @@ def build_lexicon(docs: DataFrame, vocabulary_path: str, text_col: str = "text",
 
 
 def encode(
-    docs: DataFrame, vocabulary_path: str, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), words: int = LEXICON_WORDS
+    docs: DataFrame,
+    vocabulary_path: str,
+    text_col: str = "text",
+    carry: tuple[str, ...] = ("doc_id",),
+    words: int = LEXICON_WORDS,
+    round_trip: bool = False,
 ) -> DataFrame:
     """``carry`` columns, ``n_tokens long, token_ids binary`` (little-endian unsigned 32 bit), one
-    row per row of ``docs``.
+    row per row of ``docs``; with ``round_trip`` also ``decoded``, as ``decode`` makes it from the
+    ids, in the same pass.
 
     Special tokens of the vocabulary that stand in a text become their ids, none are added.
     Null and empty texts have no tokens; a very long word is merged with a heap; repeated rows,
     null ids and an empty table need nothing special; other columns are ignored.
     """
     spark = docs.sparkSession
+    whole_texts(spark)
     shared = spark.sparkContext.broadcast((Vocabulary(vocabulary_path), build_lexicon(docs, vocabulary_path, text_col, words)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,8 +202,8 @@ def encode(
                 memo[w] = vocabulary.merge_word(b) if found is None else found
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(at, TEXTS_AT_ONCE)
                 texts = part.column(part.num_columns - 1).to_pylist()
                 split = [cut(t) if t else [] for t in texts]
                 if len(memo) > MEMO_WORDS:
@@ -202,32 +211,37 @@ def encode(
                 distinct = set().union(*split)
                 learn([w for w in distinct if w not in memo])
                 ids = [b"".join(map(memo.__getitem__, words)) for words in split]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    [*part.schema.names[:-1], "n_tokens", "token_ids"],
-                )
+                columns = {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "token_ids": pa.array(ids, pa.binary())}
+                if round_trip:
+                    columns["decoded"] = _texts(ids, vocabulary.bytes)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns.values()], [*part.schema.names[:-1], *columns])
 
     kept = docs.select(*carry, F.col(text_col).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{schema}{', ' if schema else ''}n_tokens long, token_ids binary")
+    more = ", decoded string" if round_trip else ""
+    return kept.mapInArrow(trimmed(run), f"{schema}{', ' if schema else ''}n_tokens long, token_ids binary{more}")
+
+
+def _texts(ids: list[bytes], bytes_of: list[bytes]) -> pa.Array:
+    """Packed ids to text; bytes that are not UTF-8 become U+FFFD."""
+    pick = bytes_of.__getitem__
+    return pa.array([b"".join(map(pick, array("I", x))).decode("utf-8", "replace") for x in ids], pa.string())
 
 
 def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
-    """``encoded`` with ``decoded string`` in place of ``token_ids`` beside all other columns;
+    """``encoded`` with ``decoded string`` beside all other columns;
     special tokens are kept, bytes that are not UTF-8 become U+FFFD."""
+    whole_texts(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary_path).bytes)
     others = [c for c in encoded.columns if c != "token_ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pick = shared.value.__getitem__
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = part.column(part.num_columns - 1)
-                texts = [b"".join(map(pick, array("I", x))) for x in ids.to_pylist()]
-                texts = [t.decode("utf-8", "replace") for t in texts]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(at, TEXTS_AT_ONCE)
+                texts = _texts(part.column(part.num_columns - 1).to_pylist(), shared.value)
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, "decoded"])
 
     src = encoded.select(*others, F.coalesce("token_ids", F.lit(b"")).alias("token_ids"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields)
-    return src.mapInArrow(run, f"{schema}, decoded string")
+    return src.mapInArrow(trimmed(run), f"{schema}, decoded string")

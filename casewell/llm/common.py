@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewell.storage import new_path, shared_dir, stored, table
 
-__all__ = ["Sieve", "arrow_rows", "ascii_lower", "drop_keys", "new_path", "shared_dir", "stored", "table"]
+__all__ = ["Sieve", "arrow_rows", "ascii_lower", "drop_keys", "hash_sample", "new_path", "shared_dir", "stored", "table", "trimmed", "whole_texts"]
 
 
 def ascii_lower(c: Column) -> Column:
@@ -31,6 +35,39 @@ def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def whole_texts(spark: SparkSession, n: int = 1000) -> None:
+    """At most ``n`` rows in a batch between the JVM and Python from now on: for operators whose
+    Python runs when their result is read. Batches of whole texts otherwise take hundreds of MB
+    beside the heap. A smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= n:
+        spark.conf.set(name, str(n))
+
+
+def trimmed(run):
+    """A batch function that gives memory back when its task ends: Spark keeps its Python workers, and
+    what their allocators hold counts against the executor until the next task."""
+
+    @wraps(run)
+    def whole(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # where the C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
+def hash_sample(rows: DataFrame, total: int, most: int, *key: str) -> DataFrame:
+    """All rows if there are ``most`` at most, else about ``most`` of them, those of the smallest key
+    hashes. Each task filters its own rows, so what a driver collects does not grow with the tasks."""
+    if total <= most:
+        return rows
+    parts = 1 << 30
+    return rows.filter(F.pmod(F.xxhash64(*key, F.lit(17)), F.lit(parts)) < int(parts * (most / total)))
+
+
 class Sieve:
     """A bitmap of 2**bits positions: which keys may be in a set. It is made by aggregation
     and has ``2**bits / 8`` bytes however many keys there are, so it can be broadcast.

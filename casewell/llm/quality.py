@@ -17,9 +17,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import hash_sample, stored
 
-MOST_LABELS = 50_000  # labelled rows that the logistic model is fitted on
+MOST_LABELS = 50_000  # labelled rows, about, that the logistic model is fitted on
 BROADCAST_PLACES = 100_000
 FEATURES = ("shout", "marks", "lone", "repeats", "few_words")
 RIDGE = 1e-6
@@ -86,8 +86,8 @@ def classify(
     p_quality, kept``; ``kept`` says ``p_quality >= least``.
 
     ``labels`` has ``doc_id, quality`` (0 or 1; several labels of a document are averaged and
-    rounded up, null labels ignored). The sample are the ``most_labels`` labelled rows of the
-    smallest id hashes. Without labels of both kinds every document has probability one and is
+    rounded up, null labels ignored). The sample are about ``most_labels`` labelled rows, those of
+    the smallest id hashes. Without labels of both kinds every document has probability one and is
     kept. Null texts are empty texts; null hosts form one host, null paths one path of a
     host; ties do not matter; repeated rows count as rows; an empty table gives no rows.
     """
@@ -100,7 +100,8 @@ def classify(
         "features",
     )
     known = labels.filter("quality is not null").groupBy("doc_id").agg(F.round(F.avg("quality")).alias("quality"))
-    sample = rows.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash").limit(most_labels).select(*FEATURES, "quality").toPandas()
+    labelled = stored(rows.join(known, "doc_id").select("doc_id", *FEATURES, "quality"), "labelled")
+    sample = hash_sample(labelled, labelled.count(), most_labels, "doc_id").toPandas().sort_values(["doc_id", *FEATURES])
     x, y = sample[list(FEATURES)].to_numpy(float), sample["quality"].to_numpy(float)
     if len(set(y)) < 2:
         w, prior = np.array([30.0] + [0.0] * len(FEATURES)), 1 - CLIP

@@ -60,7 +60,7 @@ def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = bpe.decode(bpe.encode(docs, vocabulary_path()), vocabulary_path())
+    out = bpe.encode(docs, vocabulary_path(), round_trip=True)
     return out.select(
         "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     )

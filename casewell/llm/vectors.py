@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import hash_sample, stored
 
 SAMPLE = 20_000  # vectors that the tree is fitted on
 BRANCH = 16
@@ -181,7 +181,7 @@ def nearest_neighbours(
     if not rows.groupBy("vec_id").count().filter("count > 1").isEmpty():
         rows = rows.groupBy("vec_id").agg(F.min("vec").alias("vec"), F.max("asks").alias("asks"))
 
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec_id", "vec").toArrow()
+    sample = hash_sample(rows, total, SAMPLE, "vec_id").select("vec_id", "vec").toArrow().sort_by("vec_id")
     x = _matrix(sample.column("vec"), dim)
     tree = Tree(x, int(np.clip(total / LEAF_ROWS, 1, SAMPLE // 8)))
     shared = spark.sparkContext.broadcast(tree)
@@ -195,14 +195,15 @@ def nearest_neighbours(
     filed = stored(rows.select("vec_id", "vec", "asks").mapInArrow(file, f"vec_id long, vec {kind}, asks boolean, leaf long"), "filed")
 
     # widen until the calibrated recall is reached
-    asked = filed.filter("asks").orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(CALIBRATION).select("vec_id", "vec").toArrow()
+    asking = filed.filter("asks")
+    asked = hash_sample(asking, asking.count(), CALIBRATION, "vec_id").select("vec_id", "vec").toArrow().sort_by("vec_id")
     q_ids, q = asked.column("vec_id").to_numpy(), _matrix(asked.column("vec"), dim)
-    if not len(q):
+    if asking.isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     truth = exact_neighbours(filed, q_ids, q, k).join(filed.select("vec_id", "leaf"), "vec_id").select("query_id", "leaf").collect()
     turn = {int(i): {leaf: n for n, leaf in enumerate(tree.visits(v), 1)} for i, v in zip(q_ids, q, strict=True)}
     needed = sorted(turn[r["query_id"]][r["leaf"]] for r in truth)
-    most = needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)] if needed else 1
+    most = needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)] if needed else None
 
     sizes = filed.groupBy("leaf").agg(F.count(F.lit(1)).alias("rows"))
     blocks = stored(sizes.select("leaf", F.ceil(F.col("rows") / BLOCK).cast("int").alias("row_blocks")), "blocks", narrow=True)
