@@ -21,7 +21,7 @@ def text_hash() -> Column:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps."""
     judged = quality.classify(docs, table(spark, sf_dir, "labels"))
-    gone = stored(judged.filter("not kept").select("doc_id", "text_hash"), "rejected")
+    gone = stored(judged.filter("not kept").select("doc_id", "text_hash"), "rejected", narrow=True)
     return drop_keys(docs, gone, {"doc_id": F.col("doc_id"), "text_hash": text_hash()})
 
 
@@ -33,7 +33,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates, the one with the smallest id."""
     classes = near_dedup.near_duplicates(docs)
-    gone = stored(classes.filter("not kept").select("doc_id", "text_hash"), "near")
+    gone = stored(classes.filter("not kept").select("doc_id", "text_hash"), "near", narrow=True)
     return drop_keys(docs, gone, {"doc_id": F.col("doc_id"), "text_hash": text_hash()})
 
 
@@ -45,8 +45,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
-    encoded = bpe.encode(docs.withColumn("text_sha256", sha("text")), vocabulary_path(), carry=("doc_id", "lang", "source", "text_sha256"))
-    out = bpe.decode(encoded, vocabulary_path())
+    docs = docs.withColumn("text_sha256", sha("text"))
+    out = bpe.encode(docs, vocabulary_path(), carry=("doc_id", "lang", "source", "text_sha256"), round_trip=True)
     return out.select("doc_id", "lang", "source", "n_tokens", "token_ids", (sha("decoded") == F.col("text_sha256")).alias("exact"))
 
 
