@@ -25,7 +25,7 @@ class Settings:
     loop_hours: int = 48
     loop_visits: int = 3
     alert_score: float = 55.0
-    alert_limit: int = 100
+    alert_limit: int | None = 100  # None for all
 
 
 def daily_activity(calls: DataFrame) -> DataFrame:
@@ -144,7 +144,8 @@ def alerts(
     for p in parts[1:]:
         union = union.unionByName(p)
     order = [F.desc("score"), F.desc("confidence"), "alert_type", F.array_join("entities", ","), "summary"]
-    return numbered(union.orderBy(*order).limit(s.alert_limit), "alert_id", "ALT-%05d", order)
+    kept = union.orderBy(*order).limit(s.alert_limit) if s.alert_limit else union
+    return numbered(kept, "alert_id", "ALT-%05d", order)
 
 
 def emerging_clusters(communities: DataFrame, least: int = 12) -> DataFrame:

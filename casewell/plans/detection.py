@@ -95,7 +95,7 @@ SELECT entity, day, round(greatest(0, least(100, 50 + 8 * least(z, 6))), 2) AS s
   CASE WHEN 50 + 8 * least(z, 6) >= 85 THEN 'CRITICAL' WHEN 50 + 8 * least(z, 6) >= 70 THEN 'HIGH' WHEN 50 + 8 * least(z, 6) >= 55 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM hits""")
 def d7_spikes(spark, sf):
     spikes = detectors.communication_spikes(calls(spark, sf))
-    scored = detectors.alerts(spikes=spikes, s=detectors.Settings(alert_limit=1_000_000_000))
+    scored = detectors.alerts(spikes=spikes, s=detectors.Settings(alert_limit=None))
     found = F.from_json("evidence", "entity long, day date")
     return scored.select(found["entity"].alias("entity"), found["day"].alias("day"), "score", "confidence", "severity")
 
