@@ -158,7 +158,7 @@ def build_lexicon(docs: DataFrame, vocabulary_path: str, text_col: str = "text",
     vocabulary = Vocabulary(vocabulary_path)
     kind = F.floor(F.log2("n") * 16).cast("int")
     counts = word_counts(docs, vocabulary_path, text_col).filter((F.octet_length("word") <= LONGEST_WORD) & (F.col("n") > 1))
-    counts = stored(counts.select("word", kind.alias("class")), "words")
+    counts = stored(counts.select("word", kind.alias("class")), "words", narrow=True)
     taken, least = 0, None
     for r in sorted(counts.groupBy("class").count().collect(), reverse=True):
         if (taken := taken + r["count"]) > words:
