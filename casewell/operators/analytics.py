@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict, deque
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,28 +64,30 @@ def betweenness(edges: DataFrame, most: int = MOST_EDGES) -> DataFrame:
     shared = spark.sparkContext.broadcast(near)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        adjacent = shared.value
-        total = np.zeros(len(adjacent))
+        near = shared.value
+        degree = np.array([len(x) for x in near], np.int64)
+        start, ends = np.cumsum(degree) - degree, np.concatenate([*near, np.zeros(0, np.int64)])
+        n = len(near)
+        total = np.zeros(n)
+
+        def spread(front: np.ndarray, values: np.ndarray) -> np.ndarray:
+            """Each node's sum of the values of its neighbours in ``front``."""
+            d = degree[front]
+            at = np.repeat(start[front] - np.cumsum(d) + d, d) + np.arange(d.sum())
+            return np.bincount(ends[at], np.repeat(values, d), n)
+
         for batch in batches:
             for s in batch.column(0).to_pylist():
-                ways, far, order = np.zeros(len(adjacent)), np.full(len(adjacent), -1), []
-                ways[s], far[s], queue = 1, 0, deque([s])
-                before: dict[int, list[int]] = defaultdict(list)
-                while queue:
-                    v = queue.popleft()
-                    order.append(v)
-                    for w in adjacent[v]:
-                        if far[w] < 0:
-                            far[w] = far[v] + 1
-                            queue.append(w)
-                        if far[w] == far[v] + 1:
-                            ways[w] += ways[v]
-                            before[w].append(v)
-                gain = np.zeros(len(adjacent))
-                for w in reversed(order[1:]):
-                    for v in before[w]:
-                        gain[v] += ways[v] / ways[w] * (1 + gain[w])
-                    total[w] += gain[w]
+                ways, seen = np.zeros(n), np.zeros(n, bool)
+                ways[s], seen[s], levels = 1, True, [np.array([s])]
+                while len(levels[-1]):
+                    more = spread(levels[-1], ways[levels[-1]])
+                    levels.append(np.flatnonzero((more > 0) & ~seen))
+                    ways[levels[-1]], seen[levels[-1]] = more[levels[-1]], True
+                gain = np.zeros(n)
+                for v, w in zip(levels[-3:0:-1], levels[-2:1:-1], strict=True):
+                    gain[v] = ways[v] * spread(w, (1 + gain[w]) / ways[w])[v]
+                total += gain
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["no", "part"])
 
@@ -167,49 +168,53 @@ def bridges(edges: DataFrame, most: int = MOST_EDGES) -> DataFrame:
 
 def communities(edges: DataFrame, most: int = MOST_EDGES) -> DataFrame:
     """``id, community_id, size``: greedy modularity, merging the pair of communities that gains
-    most until none gains. Components are independent once the number of all edges is known, so
-    each is a group of its own. Communities are numbered by size, then least member."""
+    most until none gains, the least nodes first on ties. Components are independent once the number of
+    all edges is known, so each is a group of its own. Communities are numbered by size, then least member."""
     m = max(_checked(edges.select("src", "dst").distinct(), most), 1)
 
     def of_part(pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(pdf["src"]) | set(pdf["dst"]))
-        number = {v: i for i, v in enumerate(names)}
-        gain: list[dict[int, float]] = [{} for _ in names]
-        share = [0.0] * len(names)
-        for a, b in {(number[x], number[y]) for x, y in zip(pdf["src"], pdf["dst"], strict=True) if x != y}:
-            gain[a][b] = gain[b][a] = 1.0
-            share[a] += 1 / (2 * m)
-            share[b] += 1 / (2 * m)
-        for a in range(len(names)):
-            for b in gain[a]:
-                gain[a][b] = 1 / m - 2 * share[a] * share[b]
-        queue = [(-g, a, b) for a in range(len(names)) for b, g in gain[a].items() if a < b]
-        heapq.heapify(queue)
-        members = {i: [i] for i in range(len(names))}
-        while queue:
-            g, a, b = heapq.heappop(queue)
-            if a not in members or b not in members or gain[a].get(b) != -g:
+        number, n = {v: i for i, v in enumerate(names)}, len(names)
+        a, b = np.array([number[x] for x in pdf["src"]]), np.array([number[x] for x in pdf["dst"]])
+        a, b = a[a != b], b[a != b]
+        src, dst = np.concatenate([a, b]), np.concatenate([b, a])
+        share = np.bincount(src, minlength=n)
+        near = np.split(dst[np.argsort(src, kind="stable")], np.cumsum(share)[:-1])
+        rows = [(x, np.ones(len(x), np.int64)) for x in near]
+        now, alive, none = np.arange(n), np.ones(n, bool), np.iinfo(np.int64).min
+
+        def gains(v: int) -> np.ndarray:
+            """2 m^2 times the gain of merging ``v`` with each, in whole numbers."""
+            to, count = rows[v]
+            links = np.bincount(now[to], count, n).astype(np.int64)
+            links[v] = 0
+            to = np.flatnonzero(links)
+            rows[v] = to, links[to]
+            return np.where(alive & (now != v), 2 * m * links - share[v] * share, none)
+
+        # ``best`` bounds every node's gains from above; it is made exact where it is the greatest
+        best, partner, exact = np.full(n, np.iinfo(np.int64).max), np.full(n, -1), np.zeros(n, bool)
+        while n:
+            v = int(best.argmax())
+            if not exact[v]:
+                g = gains(v)
+                partner[v], exact[v] = g.argmax(), True
+                best[v] = g[partner[v]]
                 continue
-            if -g <= 1e-12:
+            if best[v] <= 0:
                 break
-            for c in set(gain[a]) | set(gain[b]):
-                if c in (a, b):
-                    continue
-                if c in gain[a] and c in gain[b]:
-                    new = gain[a][c] + gain[b][c]
-                elif c in gain[a]:
-                    new = gain[a][c] - 2 * share[b] * share[c]
-                else:
-                    new = gain[b][c] - 2 * share[a] * share[c]
-                gain[a][c] = gain[c][a] = new
-                gain[c].pop(b, None)
-                heapq.heappush(queue, (-new, min(a, c), max(a, c)))
-            gain[a].pop(b, None)
-            gain[b] = {}
-            share[a] += share[b]
-            members[a] += members.pop(b)
-        rows = [(names[i], names[min(own)]) for own in members.values() for i in own]
-        return pd.DataFrame(rows, columns=["id", "head"])
+            v, w = sorted((v, int(partner[v])))
+            rows[v] = tuple(np.concatenate(x) for x in zip(rows[v], rows[w], strict=True))
+            rows[w] = None
+            share[v], share[w], alive[w], best[w], exact[w] = share[v] + share[w], 0, False, none, True
+            now[now == w] = v
+            g = gains(v)
+            exact[alive & ((partner == v) | (partner == w) | (g == best))] = False
+            up = alive & (g > best)
+            best[up], partner[up], exact[up] = g[up], v, True
+            partner[v], exact[v] = g.argmax(), True
+            best[v] = g[partner[v]]
+        return pd.DataFrame({"id": names, "head": [names[i] for i in now]})
 
     kind = edges.schema["src"].dataType.simpleString()
     placed = stored(_by_component(edges).groupBy("root").applyInPandas(of_part, f"id {kind}, head {kind}"), "communities")
