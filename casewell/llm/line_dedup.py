@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 RATIO = 0.1
+LOW_RATIO = 0.005  # for hosts of hundreds of pages and more; on smaller ones MIN_PAGES alone decides
 MIN_PAGES = 5
 BROADCAST_LINES = 200_000  # 1.6 MB of hashes; beyond, host lists are joined by a shuffle
 

@@ -39,6 +39,7 @@ d AS (SELECT doc_id, d.source, string_split(coalesce(text, ''), chr(10)) AS line
 k AS (SELECT *, list_filter(lines, lambda x: length(trim(x)) = 0 OR NOT list_contains(bad, x)) AS kept FROM d)
 SELECT doc_id, source, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped, sha256(array_to_string(kept, chr(10))) AS clean_sha256 FROM k
 """
+OP7_LOW = OP7.replace(f"pages > {line_dedup.RATIO} *", f"pages > {line_dedup.LOW_RATIO} *")
 
 
 def op5() -> str:
@@ -99,4 +100,4 @@ SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secr
 """
 
 
-ORACLES = {"op2_warc_revisits": op2(), "op4_mix_sources": OP4, "op5_url_filter": op5(), "op7_line_dedup": OP7, "op8_exact_dedup": OP8, "op10_secret_scan": op10()}
+ORACLES = {"op2_warc_revisits": op2(), "op4_mix_sources": OP4, "op5_url_filter": op5(), "op7_line_dedup": OP7, "op7_line_dedup_low": OP7_LOW, "op8_exact_dedup": OP8, "op10_secret_scan": op10()}
