@@ -57,6 +57,23 @@ def f8(spark, sf):
     return a.join(b, "k").filter("a < b").select("a", "b", F.round(similarity.name_similarity(F.col("a"), F.col("b")), 5).alias("s"))
 
 
+ROWS = "n AS (SELECT DISTINCT p_name AS a, lower(p_type) AS b FROM part)"
+
+
+@query("f6_f7_jaro_winkler_of_rows", f"""WITH {ROWS}
+  SELECT a, b, round(jaro_similarity(a, b), 6) AS j, round(jaro_similarity(a, b) + ({PREFIX}) * 0.1 * (1 - jaro_similarity(a, b)), 6) AS jw FROM n""")
+def f6_rows(spark, sf):
+    pairs = part(spark, sf).select(F.col("p_name").alias("a"), F.lower("p_type").alias("b")).distinct()
+    return pairs.select("a", "b", F.round(similarity.jaro("a", "b"), 6).alias("j"), F.round(similarity.jaro_winkler("a", "b"), 6).alias("jw"))
+
+
+@query("f8_name_similarity_of_rows", f"""WITH {ROWS}
+  SELECT a, b, round(0.6 * (jaro_similarity(a, b) + ({PREFIX}) * 0.1 * (1 - jaro_similarity(a, b))) + 0.4 * (1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b))), 5) AS s FROM n""")
+def f8_rows(spark, sf):
+    pairs = part(spark, sf).select(F.col("p_name").alias("a"), F.lower("p_type").alias("b")).distinct()
+    return pairs.select("a", "b", F.round(similarity.name_similarity(F.col("a"), F.col("b")), 5).alias("s"))
+
+
 @query("f9_display_name", "SELECT c_custkey, array_to_string(list_transform(regexp_extract_all(c_name, '([\\p{L}]+|[^\\p{L}]+)'), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), '') AS name FROM customer")
 def f9(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", text.display_name(F.col("c_name")).alias("name"))
