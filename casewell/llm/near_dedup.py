@@ -288,9 +288,9 @@ def _shareable(asked: DataFrame, nodes: DataFrame, texts: DataFrame, weights) ->
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, text_hash, class_id, class_size, n_links, kept``.
+    """One row per row of ``docs``: ``doc_id, text_hash, class_id, class_size, n_compared_links, kept``.
 
-    ``class_id`` is the least id of the class, ``class_size`` its rows, ``n_links`` the node's
+    ``class_id`` is the least id of the class, ``class_size`` its rows, ``n_compared_links`` the node's
     compared neighbours of at least ``similarity``; the row of the least id is kept (rows that
     repeat it as well). Texts without words, null ones included, and rows without an id are
     classes of their own. An empty table gives no rows; extra columns are ignored.
@@ -373,14 +373,14 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, similarity: fl
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "doc_id", "n", "root")
     classes = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"))
-    named = named.select("node", "root").join(classes, "root").join(ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links")), "node", "left")
-    named = stored(named.select("node", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes", narrow=True)
+    named = named.select("node", "root").join(classes, "root").join(ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_compared_links")), "node", "left")
+    named = stored(named.select("node", "class_id", "class_size", F.coalesce("n_compared_links", F.lit(0)).alias("n_compared_links")), "classes", narrow=True)
     alone = rows_.filter("node = 0 or doc_id is null").select(
-        "doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept")
+        "doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_compared_links"), F.lit(True).alias("kept")
     )
     return (
         real.select("doc_id", "text_hash", "node")
         .join(named, "node")
-        .select("doc_id", "text_hash", "class_id", "class_size", "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+        .select("doc_id", "text_hash", "class_id", "class_size", "n_compared_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
         .unionByName(alone)
     )

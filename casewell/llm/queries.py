@@ -20,7 +20,7 @@ def vocabulary_path() -> str:
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return near_dedup.near_duplicates(docs).select("doc_id", "class_id", "class_size", "n_links", "kept")
+    return near_dedup.near_duplicates(docs).select("doc_id", "class_id", "class_size", "n_compared_links", "kept")
 
 
 def captures(pages: DataFrame) -> DataFrame:
