@@ -15,6 +15,7 @@ from casewell.functions.values import risk_tier
 from casewell.storage import stored
 
 from .components import connected_components
+from .frames import running
 from .graph import both_ways
 
 #: Above this many edges the measures that need one machine's memory refuse to run.
@@ -222,11 +223,9 @@ def communities(edges: DataFrame, most: int = MOST_EDGES) -> DataFrame:
 
 
 def _numbered(placed: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
     sizes = placed.groupBy("head").agg(F.count(F.lit(1)).alias("size"))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("size"), "head")
-    return placed.join(sizes.withColumn("community_id", F.row_number().over(order)), "head").select("id", "community_id", "size")
+    sizes = running(sizes, [F.desc("size"), "head"], {"community_id": F.lit(1)})
+    return placed.join(sizes, "head").select("id", F.col("community_id").cast("int").alias("community_id"), "size")
 
 
 def label_communities(edges: DataFrame, rounds: int = 5) -> DataFrame:

@@ -2,32 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casewell.storage import stored
+from casewell.storage import discard, stored
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, root``: the least node of the component of each node that has an edge.
 
-    Each round every node hooks to the least of its neighbours and itself, chains of hooks are
-    shortened once, and the edges are rewritten between the hooks. Every round at least
-    halves what is left of a component. Nothing is collected; each round is written to the
-    shared folder, so a lost executor costs one round at most. An edge to itself gives its
-    node; null ends are left out.
+    Every round deals its own hash-random ranks to the nodes that are left. A node hooks to the
+    one of least rank among its neighbours and itself, chains of hooks are shortened once, and
+    the edges are rewritten between the hooks. The ranks are drawn afresh, so no order of the ids,
+    a path of consecutive ones included, makes a bad case: the nodes left shrink by a factor of
+    two and more a round in expectation, and rounds grow with the logarithm of a component's
+    size. A round writes its hooks and its edges, both of the size of what is left; the hooks
+    of all rounds are joined from the last to the first, which costs about as much as the first
+    one alone. Nothing is collected, and a lost executor costs one round at most.
+
+    An edge to itself gives its node; null ends are left out; an empty table gives no rows.
     """
     ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null")
-    ends = stored(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", narrow=True)
-    label = stored(ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct().withColumn("root", F.col("node")), "labels", narrow=True)
-    links = ends.filter("a <> b")
+    pairs = stored(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", narrow=True)
+    links, rounds, done = pairs.filter("a <> b"), [], []
     while not links.isEmpty():
+        no = F.lit(len(rounds))
+
+        def ranked(c: str, no: Column = no) -> Column:
+            return F.struct(F.xxhash64(c, no).alias("rank"), F.col(c).alias("node"))
+
         ways = links.select(F.col("a").alias("v"), F.col("b").alias("w")).union(links.select("b", "a"))
-        hook = ways.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("w", "v").alias("to"))
+        hook = ways.groupBy("v").agg(F.min(ranked("w")).alias("best")).select("v", F.least("best", ranked("v"))["node"].alias("to"))
         further = hook.select(F.col("v").alias("to"), F.col("to").alias("further"))
-        hook = stored(hook.join(further, "to", "left").select("v", F.coalesce("further", "to").alias("to")), "hooks", narrow=True)
-        label = stored(label.join(hook, label["root"] == hook["v"], "left").select("node", F.coalesce("to", "root").alias("root")), "labels", narrow=True)
+        hook = stored(hook.join(further, "to").select("v", F.col("further").alias("to")), "hooks", narrow=True)
         left, right = hook.select(F.col("v").alias("a"), F.col("to").alias("a2")), hook.select(F.col("v").alias("b"), F.col("to").alias("b2"))
         moved = links.join(left, "a").join(right, "b").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b"))
         links = stored(moved.filter("a <> b").distinct(), "edges", narrow=True)
-    return label
+        rounds.append(hook)
+        done.append(links)
+    loops = pairs.filter("a = b").select(F.col("a").alias("node"))
+    if not rounds:
+        return loops.withColumn("root", F.col("node"))
+    place = rounds[-1]
+    for i, hook in enumerate(reversed(rounds[:-1]), 1):
+        later = place.select(F.col("v").alias("to"), F.col("to").alias("last"))
+        place = hook.join(later, "to", "left").select("v", F.coalesce("last", "to").alias("to"))
+        if i % 4 == 0:  # so that no plan grows with the number of rounds
+            place = stored(place, "hooks", narrow=True)
+            done.append(place)
+    place = stored(place, "places", narrow=True)
+    least = stored(place.groupBy("to").agg(F.min("v").alias("root")), "roots", narrow=True)
+    named = place.join(least, "to").select(F.col("v").alias("node"), "root")
+    alone = loops.join(place, loops["node"] == place["v"], "left_anti").withColumn("root", F.col("node"))
+    out = stored(named.unionByName(alone), "components", narrow=True)
+    discard(pairs, *rounds, *done, place, least)
+    return out

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewell.functions.values import micros
+from casewell.storage import stored
 
 SECOND = 1_000_000
+PART_ROWS = 500_000  # rows of a range that one task sorts
 
 
 def follow_join(first: DataFrame, second: DataFrame, on: tuple[str, str], ts: tuple[str, str], seconds: int, inclusive_start: bool = False) -> DataFrame:
@@ -48,13 +50,44 @@ def keep_first(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
-def forward_fill(rows: DataFrame, column: str, order: str, partition: str | None = None) -> DataFrame:
-    """``column`` with its last value that is not null, in ``order``."""
-    w = (Window.partitionBy(partition) if partition else Window.partitionBy(F.lit(0))).orderBy(order)
-    return rows.withColumn(column, F.last(column, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def in_ranges(rows: DataFrame, order: list, part_rows: int = PART_ROWS) -> DataFrame:
+    """``rows`` with ``__part``: ranges of about ``part_rows`` rows along ``order``, numbered along it.
+    What follows can work in every range by itself and hand a row a range on."""
+    rows = stored(rows, "rows")
+    parts = -(-rows.count() // part_rows)
+    if parts <= 1:
+        return rows.withColumn("__part", F.lit(0))
+    return stored(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+
+
+def running(rows: DataFrame, order: list, sums: dict[str, Column], part_rows: int = PART_ROWS) -> DataFrame:
+    """``rows`` with the running sums ``sums`` (name to summand) along the whole table's ``order``, the
+    row itself included: sums within each range, and the total of the ranges before it."""
+    placed = in_ranges(rows, order, part_rows)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("__part").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    offsets = totals.select(F.col("__part").alias("__at"), *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums])
+    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = placed.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()})
+    out = out.join(F.broadcast(offsets), F.col("__part") == F.col("__at"))  # a row for each range
+    return out.withColumns({n: F.col(n) + F.col(f"__{n}") for n in sums}).drop("__part", "__at", *[f"__{n}" for n in sums])
+
+
+def forward_fill(rows: DataFrame, column: str, order: str, partition: str | None = None, part_rows: int = PART_ROWS) -> DataFrame:
+    """``column`` with its last value that is not null, in ``order``. Without a partition the rows are cut
+    into ranges, and each range takes over the last value of those before it."""
+    upto = lambda w: w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    if partition:
+        return rows.withColumn(column, F.last(column, ignorenulls=True).over(upto(Window.partitionBy(partition))))
+    placed = in_ranges(rows, [order], part_rows)
+    last = placed.groupBy("__part").agg(F.max_by(column, F.when(F.col(column).isNotNull(), F.col(order))).alias("__last"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    handed = last.select(F.col("__part").alias("__at"), F.last("__last", ignorenulls=True).over(before).alias("__last"))
+    own = F.last(column, ignorenulls=True).over(upto(Window.partitionBy("__part")))
+    out = placed.withColumn(column, own).join(F.broadcast(handed), F.col("__part") == F.col("__at"))  # a row for each range
+    return out.withColumn(column, F.coalesce(column, "__last")).drop("__part", "__at", "__last")
 
 
 def numbered(rows: DataFrame, name: str, pattern: str, order: list) -> DataFrame:
-    """Sequential ids like ``ALT-00001``, for results of a bounded number of rows."""
-    w = Window.partitionBy(F.lit(0)).orderBy(*order)
-    return rows.withColumn(name, F.format_string(pattern, F.row_number().over(w)))
+    """Sequential ids like ``ALT-00001`` along ``order``, for results of any length."""
+    return running(rows, order, {name: F.lit(1)}).withColumn(name, F.format_string(pattern, F.col(name)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,30 +16,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the
-    session. Only where the session names none (tests) a local one is made."""
+    session. Only in local mode (tests), where the session names none, one is made; on a cluster
+    a folder of one machine would lose rows, so that is refused."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     scala = spark.sparkContext._jsc.sc().getCheckpointDir()
     if scala.isDefined():
         return scala.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="casewell-")
     spark.sparkContext.setCheckpointDir(own)
     return own
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    with suppress(Exception):  # the JVM may be gone before this runs
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder; what is written there goes when the driver ends."""
     path = f"{shared_dir(spark).rstrip('/')}/casewell-{label}-{uuid.uuid4().hex}"
-
-    def remove() -> None:
-        try:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the JVM may be gone before this runs
-            pass
-
-    atexit.register(remove)
+    atexit.register(_remove, spark, path)
     return path
 
 
@@ -51,4 +53,12 @@ def stored(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     path = new_path(spark, label)
     df = df.coalesce(2 * spark.sparkContext.defaultParallelism) if narrow else df
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` made, once nothing reads them any more."""
+    for t in tables:
+        _remove(t.sparkSession, t._stored_at)

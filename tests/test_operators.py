@@ -281,3 +281,26 @@ def test_movie_header():
     box = struct.pack(">I4s", 8 + len(mvhd), b"moov") + mvhd
     assert media.movie(box) == {"duration": 5.5}
     assert media.movie(b"\0\0") == {}
+
+
+def test_a_path_of_consecutive_ids_takes_few_rounds(spark, monkeypatch):
+    from casewell.operators import components
+
+    rounds, keep = [], components.stored
+    monkeypatch.setattr(components, "stored", lambda df, label, **k: rounds.append(label) or keep(df, label, **k))
+    path = spark.range(5000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    found = components.connected_components(path).agg(F.count(F.lit(1)), F.max("root")).first()
+    assert tuple(found) == (5001, 0) and rounds.count("hooks") < 25
+
+
+def test_running_sums_and_fills_over_ranges(spark):
+    from itertools import accumulate
+
+    from casewell.operators import frames
+
+    rows = spark.range(1000).select((F.col("id") * 7 % 1009).alias("k"), F.when(F.col("id") % 3 == 0, F.col("id")).alias("v"))
+    found = frames.running(rows, ["k"], {"n": F.lit(1), "s": F.col("k")}, part_rows=50).orderBy("k").collect()
+    assert [r.n for r in found] == list(range(1, 1001)) and [r.s for r in found] == list(accumulate(r.k for r in found))
+    few, one = (Counter((r.k, r.v) for r in frames.forward_fill(rows, "v", "k", part_rows=n).collect()) for n in (37, 10_000))
+    assert few == one
+    assert frames.numbered(rows.limit(0), "no", "N-%03d", ["k"]).count() == 0
