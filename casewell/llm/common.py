@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
-from functools import wraps
+from functools import reduce, wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewell.storage import new_path, shared_dir, stored, table
+from casewell.storage import discard, new_path, shared_dir, stored, table
 
-__all__ = ["Sieve", "arrow_rows", "ascii_lower", "drop_keys", "hash_sample", "new_path", "shared_dir", "stored", "table", "trimmed", "whole_texts"]
+__all__ = ["Sieve", "arrow_rows", "ascii_lower", "discard", "drop_keys", "hash_sample", "literal_rows", "new_path", "shared_dir", "stored", "table", "trimmed", "whole_texts"]
 
 
 def ascii_lower(c: Column) -> Column:
@@ -68,49 +69,67 @@ def hash_sample(rows: DataFrame, total: int, most: int, *key: str) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(*key, F.lit(17)), F.lit(parts)) < int(parts * (most / total)))
 
 
+def literal_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table of the driver's, as one literal that the JVM reads."""
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+
 class Sieve:
-    """A bitmap of 2**bits positions: which keys may be in a set. It is made by aggregation
-    and has ``2**bits / 8`` bytes however many keys there are, so it can be broadcast.
-    A miss is certain; a hit has to be checked by an exact join."""
-
-    BLOCK = 32768  # bits of one row of Spark's bitmap functions
-
-    def __init__(self, keys: DataFrame, on: list[str], bits: int = 23):
-        self.bits, self.on = bits, on
-        v = self._slot([F.col(c) for c in on])
-        self.rows = (
-            keys.select(v.alias("v"))
-            .groupBy(F.bitmap_bucket_number("v").alias("__sieve_no"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("__sieve_bits"))
-        )
+    """Which keys may be in a set: a Bloom filter cut into blocks of 32,768 bits, made by aggregation.
+
+    It is sized by the number of keys, 16 bits each with four hashes within a block, so that under
+    one stranger in a hundred passes; ``MOST_BLOCKS`` blocks (16 MB), which hold ten million keys,
+    bound what is broadcast. Beyond that more strangers pass. A miss is certain at any size; a hit
+    has to be checked by an exact join, so the bound costs time and never rows."""
 
-    def _slot(self, key: list[Column]) -> Column:
-        return F.pmod(F.xxhash64(*key), F.lit(1 << self.bits)) + F.lit(1)
+    BLOCK, KEY_BITS, MOST_BLOCKS = 32768, 16, 4096
+
+    def __init__(self, keys: DataFrame, on: list[str]):
+        """``keys`` is read twice: a stored table."""
+        self.blocks = min(max(-(-keys.count() * self.KEY_BITS // self.BLOCK), 1), self.MOST_BLOCKS)
+        block, places = self._places([F.col(c) for c in on])
+        bits = keys.select(block.alias("__sieve_no"), F.explode(F.array(*places)).alias("v"))
+        self.rows = bits.groupBy("__sieve_no").agg(F.bitmap_construct_agg("v").alias("__sieve_bits"))
+
+    def _places(self, key: list[Column]) -> tuple[Column, list[Column]]:
+        h = F.xxhash64(*key, F.lit(2))
+        return F.pmod(F.xxhash64(*key), F.lit(self.blocks)), [F.shiftrightunsigned(h, 15 * i).bitwiseAND(F.lit(self.BLOCK - 1)) for i in range(4)]
 
     def mark(self, df: DataFrame, key: list[Column], flag: str) -> DataFrame:
         """``df`` with the boolean ``flag``: the key may be in the set."""
-        v = self._slot(key)
-        at = F.bitmap_bit_position(F.col("__sieve_v"))
-        byte = F.conv(F.hex(F.substring("__sieve_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        bit = F.getbit(byte, (at % 8).cast("int")) == 1
+        block, places = self._places(key)
+
+        def bit(at: Column) -> Column:
+            byte = F.conv(F.hex(F.substring("__sieve_bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+            return F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1
+
+        hit = F.col("__sieve_bits").isNotNull()
+        for at in places:
+            hit = hit & bit(at)
         return (
-            df.withColumn("__sieve_v", v)
-            .withColumn("__sieve_at", F.bitmap_bucket_number("__sieve_v"))
+            df.withColumn("__sieve_at", block)
             .join(F.broadcast(self.rows.withColumnRenamed("__sieve_no", "__sieve_at")), "__sieve_at", "left")
-            .withColumn(flag, F.coalesce(bit, F.lit(False)))
-            .drop("__sieve_at", "__sieve_v", "__sieve_bits")
+            .withColumn(flag, F.coalesce(hit, F.lit(False)))
+            .drop("__sieve_at", "__sieve_bits")
         )
 
 
-def drop_keys(docs: DataFrame, gone: DataFrame, key: dict[str, Column], bits: int = 23) -> DataFrame:
-    """``docs`` without the rows whose key is in ``gone`` (columns named as in ``key``).
-    Rows that miss the sieve pass without a shuffle; only hits are joined exactly."""
-    marked = Sieve(gone, list(key), bits).mark(docs, list(key.values()), "__maybe")
-    for name, c in key.items():
-        marked = marked.withColumn(f"__k_{name}", c)
-    same = [F.col(f"__k_{n}").eqNullSafe(F.col(f"__g_{n}")) for n in key]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    exact = marked.filter("__maybe").join(gone.select([F.col(n).alias(f"__g_{n}") for n in key]), on, "left_anti")
-    return marked.filter("not __maybe").select(docs.columns).unionByName(exact.select(docs.columns))
+def _same(left: list[str], right: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right, strict=True)])
+
+
+def drop_keys(docs: DataFrame, gone: DataFrame, key: dict[str, Column]) -> DataFrame:
+    """``docs`` without the rows whose key is in ``gone`` (a stored table, columns named as in ``key``;
+    null equals null). Rows that miss the sieve pass without a shuffle. Of those that hit it the
+    keys alone are joined exactly; the few that turn out to be strangers make a sieve of their
+    own, and only their rows are shuffled whole."""
+    ours, theirs = [f"__k_{n}" for n in key], [f"__g_{n}" for n in key]
+    marked = Sieve(gone, list(key)).mark(docs, list(key.values()), "__maybe")
+    hits = marked.filter("__maybe").select([c.alias(n) for n, c in zip(ours, key.values(), strict=True)])
+    known = gone.select([F.col(n).alias(g) for n, g in zip(key, theirs, strict=True)])
+    spared = stored(hits.join(known, _same(ours, theirs), "left_anti").distinct(), "spared", narrow=True)
+    rest = marked.filter("not __maybe").select(docs.columns)
+    if spared.isEmpty():
+        return rest
+    again = Sieve(spared, ours).mark(docs, list(key.values()), "__maybe").filter("__maybe").withColumns(dict(zip(theirs, key.values(), strict=True)))
+    return rest.unionByName(again.join(spared, _same(theirs, ours), "left_semi").select(docs.columns))

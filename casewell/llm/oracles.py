@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, secrets, url_filter, warc
+from . import line_dedup, secrets, url_filter
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -42,17 +42,24 @@ SELECT doc_id, source, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::
 OP7_LOW = OP7.replace(f"pages > {line_dedup.RATIO} *", f"pages > {line_dedup.LOW_RATIO} *")
 
 
+#: The contract's rules, stated again: host, path, verdict, longest first.
+HOST_RULES = (("example.com", "/de/", "block"), ("example.net", "/en/", "allow"), ("org", "/fr/", "allow"), ("net", "/", "block"))
+
+
 def op5() -> str:
-    ranked = sorted(url_filter.HOST_RULES, key=lambda r: -len(r.label))
-    rule = " ".join(f"WHEN regexp_matches(subject, {quoted(r.regex())}) THEN {quoted(r.label)}" for r in ranked)
-    verdict = " ".join(f"WHEN rule = {quoted(r.label)} THEN {quoted(r.verdict)}" for r in ranked)
-    fits = {v: " OR ".join(f"regexp_matches(subject, {quoted(r.regex())})" for r in url_filter.PATTERN_RULES if r.verdict == v) for v in ("allow", "block")}
+    """Host and path by splitting, host rules by string functions, patterns as globs."""
+    fit = {f"{h}{p}": f"(host = {quoted(h)} OR ends_with(host, {quoted('.' + h)})) AND starts_with(path, {quoted(p)})" for h, p, _ in HOST_RULES}
+    rule = " ".join(f"WHEN {c} THEN {quoted(n)}" for n, c in fit.items())
+    verdict = " ".join(f"WHEN rule = {quoted(h + p)} THEN {quoted(v)}" for h, p, v in HOST_RULES)
+    pattern = lambda text: "*" + "".join({"^": "[!a-z0-9]", "*": "*", "?": "[?]"}.get(c, c.lower()) for c in text) + "*"
+    fits = {v: " OR ".join(f"padded GLOB {quoted(pattern(r.text))}" for r in url_filter.read_rules() if r.verdict == v) for v in ("allow", "block")}
     return f"""
-WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{UPPER.lower()}') AS host,
-  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*(.*)$', 1), '') AS rest, contains(url, '://') AS good FROM pages),
-s AS (SELECT *, host || rest AS subject FROM p),
-r AS (SELECT *, CASE WHEN NOT coalesce(good, false) THEN NULL {rule} END AS rule FROM s)
-SELECT page_id, host, path, rule, CASE {verdict} WHEN NOT coalesce(good, false) THEN 'allow' WHEN {fits["allow"]} THEN 'allow' WHEN {fits["block"]} THEN 'block' ELSE 'allow' END AS verdict FROM r
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS after FROM pages),
+h AS (SELECT *, split_part(split_part(split_part(after, '/', 1), '?', 1), '#', 1) AS raw FROM u),
+p AS (SELECT page_id, after IS NOT NULL AS good, coalesce(translate(raw, '{UPPER}', '{UPPER.lower()}'), '') AS host, coalesce(substr(after, length(raw) + 1), '') AS tail FROM h),
+s AS (SELECT *, split_part(split_part(tail, '?', 1), '#', 1) AS path, ' ' || translate(host || tail, '{UPPER}', '{UPPER.lower()}') || ' ' AS padded FROM p),
+r AS (SELECT *, CASE WHEN NOT good THEN NULL {rule} END AS rule FROM s)
+SELECT page_id, host, path, rule, CASE {verdict} WHEN NOT good THEN 'allow' WHEN {fits["allow"]} THEN 'allow' WHEN {fits["block"]} THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
 
 
@@ -60,12 +67,12 @@ def op2() -> str:
     return rf"""
 WITH v AS (SELECT page_id AS i, url, html, unnest([0, 1, 2, 3]) AS v FROM pages),
 k AS (SELECT *, v = 0 OR (v = 2 AND i % 4 = 0) AS "full", (CASE WHEN v >= 2 AND i % 4 = 0 THEN 1 ELSE 0 END) + (CASE WHEN v = 3 AND i % 11 = 5 THEN 5 ELSE 0 END) AS version FROM v),
-raw AS (SELECT i * 4 + v AS record_id, CASE WHEN "full" THEN 'response' ELSE 'revisit' END AS kind, i + v::BIGINT * 1000000000 AS ts,
+raw AS (SELECT url, i * 4 + v AS record_id, CASE WHEN "full" THEN 'response' ELSE 'revisit' END AS kind, i + v::BIGINT * 1000000000 AS ts,
   CASE WHEN i % 7 <> 0 THEN (CASE WHEN "full" THEN '' ELSE 'W/' END) || '"v' || version::VARCHAR || '"' END AS etag, CASE WHEN i % 5 >= 2 THEN 'day ' || version::VARCHAR END AS modified,
   CASE WHEN "full" THEN sha256(coalesce(html, '')) END AS digest, contains(url, '://') AS good, regexp_extract(url, '(?s)^.*?://([^#]*)', 1) AS rest FROM k),
-parts AS (SELECT *, regexp_replace(translate(regexp_extract(rest, '^([^/?]*)', 1), '{UPPER}', '{UPPER.lower()}'), '^www\.|:(80|443)$', '', 'g') AS host,
-  regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
-  list_sort(list_filter(string_split(regexp_extract(rest, '(?s)^[^?]*\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, {quoted(warc.TRACKING)}))) AS query FROM raw),
+parts AS (SELECT *, regexp_replace(regexp_replace(translate(regexp_extract(rest, '^([^/?]*)', 1), '{UPPER}', '{UPPER.lower()}'), '^www\.', ''), CASE lower(split_part(url, '://', 1)) WHEN 'http' THEN ':80$' WHEN 'https' THEN ':443$' ELSE '$^x' END, '') AS host,
+  rtrim(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/') AS path,
+  list_sort(list_filter(string_split(regexp_extract(rest, '(?s)^[^?]*\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT starts_with(lower(x), 'utm_') AND NOT list_contains(['gclid', 'fbclid', 'phpsessid', 'jsessionid'], lower(split_part(x, '=', 1))))) AS query FROM raw),
 r AS (SELECT *, CASE WHEN good THEN host || path || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END END AS canonical FROM parts),
 a AS (SELECT *, max(CASE WHEN kind = 'response' THEN [ts, record_id] END) OVER (PARTITION BY canonical ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM r),
 m AS (SELECT a.*, b.record_id AS b_id, b.digest AS b_digest, b.etag AS b_etag, regexp_replace(a.etag, '^\s*W/', '') = regexp_replace(b.etag, '^\s*W/', '') AS same_etag, a.modified = b.modified AS same_day

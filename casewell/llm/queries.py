@@ -68,12 +68,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(mixing.with_words(docs)).drop("key")
+    return mixing.mix(mixing.with_words(docs))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    judged = url_filter.judge_urls(pages, url_filter.HOST_RULES + url_filter.PATTERN_RULES, carry=("page_id",))
+    judged = url_filter.judge_urls(pages, url_filter.HOST_RULES + url_filter.read_rules(), carry=("page_id",))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 

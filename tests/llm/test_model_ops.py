@@ -147,6 +147,36 @@ def test_revisits(spark):
     assert warc.resolve_revisits(spark.createDataFrame([], FIELDS)).count() == 0
 
 
+def test_headers_that_differ_in_case_are_one(spark):
+    rows = [
+        (1, "response", "http://a.com/", 1, None, None, {"ETag": "x", "etag": "y", "VIA": None, "via": "v", "Set-Cookie": "c"}, "D1"),
+        (2, "revisit", "http://a.com/", 2, None, None, {"Date": None, "DATE": "2", "date": "3", "eTag": None, "EXPIRES": "", "X-Own": "no"}, None),
+    ]
+    found = {r.record_id: r.resolved_headers for r in warc.resolve_revisits(spark.createDataFrame(rows, FIELDS)).collect()}
+    assert found[1] == {"etag": "x", "via": "v", "set-cookie": "c"}
+    assert found[2] == {"etag": "x", "via": "v", "set-cookie": "c", "date": "2", "expires": ""}
+
+
+def test_responses_without_an_id_answer(spark):
+    rows = [
+        (None, "response", "http://a.com/", 1, '"v"', None, None, "D"),
+        (2, "revisit", "http://a.com/", 2, '"v"', None, None, None),
+        (3, "response", "http://a.com/", 3, None, None, {"b": "2"}, "E"),
+        (3, "response", "http://a.com/", 3, None, None, {"a": "1"}, "D"),
+        (4, "revisit", "http://a.com/", 4, None, None, None, None),
+    ]
+    found = {r.record_id: r for r in warc.resolve_revisits(spark.createDataFrame(rows, FIELDS)).collect()}
+    assert (found[2].state, found[2].resolved_id, found[2].resolved_digest) == ("resolved", None, "D")
+    assert (found[4].state, found[4].resolved_id, found[4].resolved_digest, found[4].resolved_headers) == ("unchecked", 3, "D", {"a": "1"})
+
+
+def test_canonical_urls(spark):
+    same = [("http://a.com/x?ref=main", "http://a.com/x?ref=main#f"), ("HTTP://www.A.com:80/x/", "https://a.com:443/x"), ("http://a.com/?utm_source=1&b&a", "http://a.com?a&b&GCLID=2")]
+    other = [("http://a.com/x?ref=main", "http://a.com/x?ref=branch"), ("http://a.com/?sid=1", "http://a.com/?sid=2"), ("http://a.com:443/", "https://a.com:443/"), ("http://a.com/X", "http://a.com/x")]
+    df = spark.createDataFrame(same + other, "a string, b string").select(warc.canonical_url(F.col("a")).alias("a"), warc.canonical_url(F.col("b")).alias("b"))
+    assert [r.a == r.b for r in df.collect()] == [True] * len(same) + [False] * len(other)
+
+
 def test_revisits_of_a_hot_url_are_brute_force(spark):
     import random
 

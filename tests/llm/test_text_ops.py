@@ -113,9 +113,14 @@ URLS = [
     "http://a.net/x", "http://net/x", "http://NET/", "http://a.net", "http://a.net?x", "https://example.net/en/1", "https://b.example.net/en/", "https://b.example.net/en", "https://xexample.net/en/1",
     "http://example.com/de/1#x", "http://example.com/DE/1", "http://o.org/fr/", "http://casino.example.com/", "http://spam-farm.example.com/", "http://casinos.example.com/",
     "no url", None, "", "://", "a://b://c/d", "http://h/a.EXE?x", "http://x.casinobonuses.com/", "http://casino.example.com/responsible-gaming/", "http://h/%0a/ads/\nx", "http://a.net/x", "http://É.NET/en/",
+    "http://a.b?x.net/", "https://good.com#x.org/fr/", "http://good.com/x?u=.net/", "http://u:p@a.net/x", "http://a.net:8080/x", "http://net:80/", "http://example.com/a?b=/de/", "http://a.net./x",
+    "http://x.org/fr/?a#b", "http://h/x/../ads/" + "y" * 50_000, "http://h/cheap-pills.", "http://h/adult-x\ny.",
 ]
 
 
+PATTERN_RULES = url_filter.read_rules()
+
+
 def brute_url(url):
     if url is None or "://" not in url:
         return "", "", None, "allow"
@@ -128,7 +133,7 @@ def brute_url(url):
     if fits:
         best = max(fits, key=lambda r: len(r.label))
         return host, path, best.label, best.verdict
-    own = {r.verdict for r in url_filter.PATTERN_RULES if re.search(r.regex(), host + tail, re.ASCII)}
+    own = {r.verdict for r in PATTERN_RULES if re.search(r.regex(), host + tail, re.ASCII)}
     return host, path, None, "allow" if "allow" in own or not own else "block"
 
 
@@ -136,10 +141,30 @@ def test_urls_are_brute_force(spark, sf):
     mine = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string").withColumn("host", F.lit(1))
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     for df in (mine, pages, mine.limit(0)):
-        found = url_filter.judge_urls(df, url_filter.HOST_RULES + url_filter.PATTERN_RULES, carry=("page_id",)).collect()
+        found = url_filter.judge_urls(df, url_filter.HOST_RULES + PATTERN_RULES, carry=("page_id",)).collect()
         assert Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in found) == Counter((r["page_id"], *brute_url(r["url"])) for r in df.collect())
 
 
+def test_rules_are_read_from_a_file(spark, tmp_path):
+    (tmp_path / "list").write_text("! note\n\n^bad^\n@@/good/\n")
+    rules = url_filter.read_rules(tmp_path / "list")
+    assert rules == (url_filter.Rule("^bad^", "block"), url_filter.Rule("/good/", "allow"))
+    df = spark.createDataFrame([(1, "http://bad/"), (2, "http://bad/good/"), (3, "http://badly/"), (None, "http://x/BAD")], "url_id long, url string")
+    assert {r.url_id: r.verdict for r in url_filter.judge_urls(df, rules, carry=("url_id",)).collect()} == {1: "block", 2: "allow", 3: "allow", None: "block"}
+    assert {r.verdict for r in url_filter.judge_urls(df, ()).collect()} == {"allow"}
+
+
+def test_the_sql_of_urls_is_brute_force(tmp_path):
+    import duckdb
+
+    from casewell.llm.oracles import ORACLES
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(URLS)))
+    assert Counter(con.execute(ORACLES["op5_url_filter"]).fetchall()) == Counter((i, *brute_url(u)) for i, u in enumerate(URLS))
+
+
 def test_rules_are_filed_under_whole_rarest_tokens(spark):
     subjects = spark.createDataFrame([("casino.com/a",), ("b.com/",), ("c.com/",)], "subject string")
     rules = (url_filter.Rule("||casino.com/", "block"), url_filter.Rule("casinobonus", "block"), url_filter.Rule("^a*z.", "block"))
@@ -223,6 +248,41 @@ def test_a_mix_is_applied(request, table):
     assert +found == +want
 
 
+def test_rows_that_repeat_the_id_at_a_cut_add_up(spark):
+    """Two equal rows of one id at the cut, and a hot id with texts of several sizes."""
+    two = [(7, "w " * 15, "a"), (7, "w " * 15, "a")]
+    hot = [(None, "x " * (1 + i % 3), "a") for i in range(60)] + [(i, "y " * 5, "b" if i % 2 else None) for i in range(40)]
+    for rows, ranges in ((two, 100_000), (hot, 1), (hot, 100_000)):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+        goal = brute_targets({s: sum(size(t) for _, t, x in rows if x == s) for s in {x for *_, x in rows}}, (3, 1, 2), 0.77)
+        mixed = mixing.mix(mixing.with_words(df), share=0.77, range_rows=ranges).collect()
+        assert len(mixed) == len(rows) and all(r.taken <= 2 * r.size for r in mixed)
+        found, taken = Counter(), Counter()
+        for r in mixing.apply_mix(df, share=0.77, range_rows=ranges).collect():
+            found[r.source] += size(r.text)
+        for r in mixed:
+            taken[r.source] += r.taken
+        assert found == taken == {s: int(x + 1e-9) for s, x in goal.items()}
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 300])
+def test_ranges_do_not_show(docs, ranges):
+    one, many = (mixing.mix(mixing.with_words(docs), range_rows=n).collect() for n in (100_000, ranges))
+    assert Counter(map(tuple, one)) == Counter(map(tuple, many))
+
+
+def test_budgets_over_many_sources(spark, monkeypatch):
+    from casewell.operators import frames
+
+    r = random.Random(3)
+    sizes = {f"s{i:03}": r.randrange(1, 1000) for i in range(100)} | {None: 50}
+    monkeypatch.setattr(frames.running, "__defaults__", (7,))
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    found = {x.source: x.target for x in mixing.budgets(df).collect()}
+    want = brute_targets(sizes)
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-6 for k in want)
+
+
 def test_first_words(spark):
     df = spark.createDataFrame([("  a  b\tc ", 2), ("a", 1), ("a b", 5)], "t string, n int")
     assert [r.x for r in df.select(mixing.first_words(F.col("t"), F.col("n")).alias("x")).collect()] == ["  a  b", "a", "a b"]
