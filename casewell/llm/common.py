@@ -124,12 +124,12 @@ def drop_keys(docs: DataFrame, gone: DataFrame, key: dict[str, Column]) -> DataF
     keys alone are joined exactly; the few that turn out to be strangers make a sieve of their
     own, and only their rows are shuffled whole."""
     ours, theirs = [f"__k_{n}" for n in key], [f"__g_{n}" for n in key]
-    marked = Sieve(gone, list(key)).mark(docs, list(key.values()), "__maybe")
-    hits = marked.filter("__maybe").select([c.alias(n) for n, c in zip(ours, key.values(), strict=True)])
+    marked = Sieve(gone, list(key)).mark(docs, list(key.values()), "__sieve_hit")
+    hits = marked.filter("__sieve_hit").select([c.alias(n) for n, c in zip(ours, key.values(), strict=True)])
     known = gone.select([F.col(n).alias(g) for n, g in zip(key, theirs, strict=True)])
     spared = stored(hits.join(known, _same(ours, theirs), "left_anti").distinct(), "spared", narrow=True)
-    rest = marked.filter("not __maybe").select(docs.columns)
+    rest = marked.filter("not __sieve_hit").select(docs.columns)
     if spared.isEmpty():
         return rest
-    again = Sieve(spared, ours).mark(docs, list(key.values()), "__maybe").filter("__maybe").withColumns(dict(zip(theirs, key.values(), strict=True)))
+    again = Sieve(spared, ours).mark(docs, list(key.values()), "__sieve_hit").filter("__sieve_hit").withColumns(dict(zip(theirs, key.values(), strict=True)))
     return rest.unionByName(again.join(spared, _same(theirs, ours), "left_semi").select(docs.columns))

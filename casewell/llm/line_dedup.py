@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-RATIO = 0.1
-LOW_RATIO = 0.005  # for hosts of hundreds of pages and more; on smaller ones MIN_PAGES alone decides
-MIN_PAGES = 5
+RATIO = 0.005
+MIN_PAGES = 5  # what a share means on hosts of less than MIN_PAGES / RATIO pages; all pages of a host of fewer
 BROADCAST_LINES = 200_000  # 1.6 MB of hashes; beyond, host lists are joined by a shuffle
 
 
@@ -33,14 +32,17 @@ def _host(c: Column) -> Column:
 
 
 def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``host_key, line, pages, host_pages``: lines that over ``ratio`` of the host's pages
-    and at least ``min_pages`` pages have. Blank lines never count, a line counts once a page."""
+    """``host_key, line, pages, host_pages``: lines that over ``ratio`` of the host's pages have, and
+    at least ``min_pages`` pages, or all pages of a host of two pages or more that has fewer.
+    Blank lines never count, a line counts once a page."""
     host = _host(F.col(host_col)).alias("host_key")
     filled = F.filter(lines_of(F.col(text_col)), lambda x: F.length(F.trim(x)) > 0)
     keys = F.array_distinct(F.transform(filled, line_key))
     pages = docs.select(host).groupBy("host_key").agg(F.count(F.lit(1)).alias("host_pages"))
     counts = docs.select(host, F.explode(keys).alias("line")).groupBy("host_key", "line").agg(F.count(F.lit(1)).alias("pages"))
-    return counts.filter(F.col("pages") >= min_pages).join(pages, "host_key").filter(F.col("pages") > ratio * F.col("host_pages"))
+    least = F.greatest(F.lit(2), F.least(F.lit(min_pages), F.col("host_pages")))
+    some = counts.filter(F.col("pages") >= min(2, min_pages)).join(pages, "host_key")
+    return some.filter((F.col("pages") >= least) & (F.col("pages") > ratio * F.col("host_pages")))
 
 
 def drop_boilerplate(
@@ -51,10 +53,12 @@ def drop_boilerplate(
     min_pages: int = MIN_PAGES,
     broadcast_lines: int = BROADCAST_LINES,
 ) -> DataFrame:
-    """``docs`` with ``clean_text``, ``n_lines`` and ``n_dropped`` added.
+    """``docs`` with ``clean_text``, ``n_lines`` and ``n_dropped`` added, in place of columns that
+    have these names.
 
     Kept lines stay in order and are joined by line feeds; blank lines stay. Null text is an
-    empty text of one line, null hosts form one host. The number of boilerplate lines is
+    empty text of one line, null hosts form one host. Repeated rows are pages of their own and count
+    as such, very long texts are read whole, an empty table gives no rows. The number of boilerplate lines is
     counted first: up to ``broadcast_lines`` the lists travel to the texts, beyond it texts
     and lists meet by host in a join that adaptive execution splits where a host is hot.
     """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, secrets, url_filter
+from . import secrets, url_filter
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -30,16 +30,15 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
-OP7 = f"""
+OP7 = """
 WITH l AS (SELECT source, list_distinct(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(trim(x)) > 0)) AS lines FROM documents),
 n AS (SELECT source, count(*) AS host_pages FROM documents GROUP BY 1),
 c AS (SELECT source, line, count(*) AS pages FROM (SELECT source, unnest(lines) AS line FROM l) GROUP BY 1, 2),
-bad AS (SELECT c.source, list(line) AS lines FROM c JOIN n ON c.source IS NOT DISTINCT FROM n.source WHERE pages >= {line_dedup.MIN_PAGES} AND pages > {line_dedup.RATIO} * host_pages GROUP BY 1),
+bad AS (SELECT c.source, list(line) AS lines FROM c JOIN n ON c.source IS NOT DISTINCT FROM n.source WHERE pages >= greatest(2, least(5, host_pages)) AND pages > 0.005 * host_pages GROUP BY 1),
 d AS (SELECT doc_id, d.source, string_split(coalesce(text, ''), chr(10)) AS lines, coalesce(bad.lines, []) AS bad FROM documents d LEFT JOIN bad ON d.source IS NOT DISTINCT FROM bad.source),
 k AS (SELECT *, list_filter(lines, lambda x: length(trim(x)) = 0 OR NOT list_contains(bad, x)) AS kept FROM d)
 SELECT doc_id, source, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped, sha256(array_to_string(kept, chr(10))) AS clean_sha256 FROM k
 """
-OP7_LOW = OP7.replace(f"pages > {line_dedup.RATIO} *", f"pages > {line_dedup.LOW_RATIO} *")
 
 
 #: The contract's rules, stated again: host, path, verdict, longest first.
@@ -107,4 +106,4 @@ SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secr
 """
 
 
-ORACLES = {"op2_warc_revisits": op2(), "op4_mix_sources": OP4, "op5_url_filter": op5(), "op7_line_dedup": OP7, "op7_line_dedup_low": OP7_LOW, "op8_exact_dedup": OP8, "op10_secret_scan": op10()}
+ORACLES = {"op2_warc_revisits": op2(), "op4_mix_sources": OP4, "op5_url_filter": op5(), "op7_line_dedup": OP7, "op8_exact_dedup": OP8, "op10_secret_scan": op10()}

@@ -82,17 +82,12 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest_neighbours(rows, F.col("vec_id") % 100 == 0)
 
 
-def op7_line_dedup(spark: SparkSession, sf_dir: str, ratio: float = line_dedup.RATIO) -> DataFrame:
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    out = line_dedup.drop_boilerplate(docs, ratio=ratio)
+    out = line_dedup.drop_boilerplate(docs)
     return out.select("doc_id", "source", "n_lines", "n_dropped", F.sha2(F.col("clean_text").cast("binary"), 256).alias("clean_sha256"))
 
 
-def op7_line_dedup_low(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``op7_line_dedup``, by the ratio that still catches repeated lines of large hosts."""
-    return op7_line_dedup(spark, sf_dir, line_dedup.LOW_RATIO)
-
-
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
@@ -101,7 +96,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return quality.classify(docs, table(spark, sf_dir, "labels").select("doc_id", "quality")).drop("text_hash")
+    return quality.classify(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")).drop("text_hash")
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +123,6 @@ _ALL = (
     op5_url_filter,
     op6_nearest,
     op7_line_dedup,
-    op7_line_dedup_low,
     op8_exact_dedup,
     op9_quality,
     op10_secret_scan,

@@ -11,6 +11,7 @@ scans every document.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from re import _constants as K
 from re import _parser as parser
@@ -18,7 +19,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sieve, stored
+from .common import Sieve, literal_rows, stored
 
 
 @dataclass(frozen=True)
@@ -93,46 +94,72 @@ def _pieces(nodes) -> list[tuple[str | None, ...]]:
 
 def postings(docs: DataFrame, trigrams: list[str], text_col: str = "text") -> DataFrame:
     """The inverted index over the trigrams that queries name: ``trigram, doc_id, text_hash``.
-    Trigrams are ASCII, so ASCII folding of the text is enough."""
+    Trigrams are ASCII, so ASCII folding of the text is enough. Texts without any of them, null and
+    empty ones included, have no postings; a trigram has one posting for each row that has it,
+    equal rows too, however often it stands in the text. ``docs`` has ``doc_id, text_hash``
+    and the text; other columns are ignored, an empty table has an empty index."""
     has = F.filter(F.array(*[F.lit(t) for t in trigrams]), lambda t: F.contains(F.col("__low"), t))
     return docs.withColumn("__low", F.lower(F.col(text_col))).select("doc_id", "text_hash", F.explode(has).alias("trigram"))
 
 
 def candidates(index: DataFrame, rules: tuple[SecretRule, ...]) -> DataFrame:
-    """Postings intersected per alternative, alternatives united: ``doc_id, text_hash, kinds``."""
+    """Postings intersected per alternative, alternatives united: ``doc_id, text_hash, kinds``, a row
+    for each id and text that some rule may match. Postings of equal rows count once, a null id is
+    an id like others, and an empty index gives no candidates."""
     terms = []
     for r in rules:
         for i, alternative in enumerate(trigram_query(r.regex) or []):
-            terms += [(t, r.kind, i, len(alternative)) for t in sorted(alternative)]
-    spark = index.sparkSession
-    queries = F.broadcast(spark.createDataFrame(terms, "trigram string, kind string, alternative int, need int"))  # as long as the rules
+            named = sorted(alternative)[:62]  # a bit each; those left out make no candidate less
+            terms += [{"trigram": t, "kind": r.kind, "alternative": i, "bit": 1 << k, "need": (1 << len(named)) - 1} for k, t in enumerate(named)]
+    queries = literal_rows(index.sparkSession, terms, "trigram string, kind string, alternative int, bit long, need long")
     return (
-        index.join(queries, "trigram")
+        index.join(F.broadcast(queries), "trigram")  # as long as the rules
         .groupBy("doc_id", "text_hash", "kind", "alternative", "need")
-        .agg(F.count(F.lit(1)).alias("have"))
+        .agg(F.bit_or("bit").alias("have"))
         .filter("have = need")
         .groupBy("doc_id", "text_hash")
         .agg(F.collect_set("kind").alias("kinds"))
     )
 
 
+SPAN = "struct<start:int,kind:string,end:int>"
+BLOCK = 256  # matches that are counted off in one go
+
+
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def match_spans(text: Column, rule: SecretRule) -> Column:
     """``array<struct<start, kind, end>>`` of the rule's matches in code points, leftmost and not
-    overlapping, those that fail the length test left out. The pieces between matches and the
-    matches alternate, which gives the offsets."""
-    wanted = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group))
-    whole = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
-    steps = F.arrays_zip(F.split(text, rule.regex, -1).alias("gap"), whole.alias("hit"), wanted.alias("part"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:string,end:int>>").alias("out"))
+    overlapping, those that fail the length test left out; null without a match. The pieces
+    between matches and the matches alternate, which gives the offsets: those of blocks of matches
+    first, then those within each block, so that time grows with the number of matches. What is
+    tested is read from the match itself, not from the text again."""
+    length = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))
+
+    def blocks(steps: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int")), lambda i: F.slice(steps, i * BLOCK + 1, F.lit(BLOCK)))
+
+    def starts(parts: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        size = lambda part: F.aggregate(part, F.lit(0), lambda n, x: n + length(x))
+        return F.aggregate(parts, begin, lambda a, part: F.struct((a["at"] + size(part)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
 
     def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.coalesce(F.length(x["hit"]), F.lit(0))
+        begin, end = acc["at"] + F.length(x["gap"]), acc["at"] + length(x)
+        tested = F.regexp_extract(x["hit"], rule.regex, rule.group) if rule.group else x["hit"]
         one = F.array(F.struct(begin.alias("start"), F.lit(rule.kind).alias("kind"), end.alias("end")))
-        good = F.coalesce(F.length(x["part"]) >= rule.least, F.lit(False))
+        good = F.coalesce(F.length(tested) >= rule.least, F.lit(False))
         return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(F.regexp_like(text, F.lit(rule.regex)), F.aggregate(steps, start, step, lambda acc: acc["out"]))
+    def within(part: Column, at: Column) -> Column:
+        return F.aggregate(part, F.struct(at.alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")), step)["out"]
+
+    steps = F.arrays_zip(F.split(text, rule.regex, -1).alias("gap"), F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0)).alias("hit"))
+    spans = _bound(steps, lambda s: _bound(blocks(s), lambda parts: F.flatten(F.zip_with(parts, starts(parts), within))))
+    return F.when(F.regexp_like(text, F.lit(rule.regex)), spans)
 
 
 def _run(rule: SecretRule) -> SecretRule:
@@ -155,7 +182,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[SecretRule, ...] = BASE_RULES + M
     rules = tuple(map(_run, rules))
     indexed = tuple(r for r in rules if trigram_query(r.regex))
     scanned = tuple(r for r in rules if r not in indexed)
-    empty = F.array().cast("array<struct<start:int,kind:string,end:int>>")
+    empty = F.array().cast(f"array<{SPAN}>")
 
     def spans_by(some: tuple[SecretRule, ...], when=lambda r: F.lit(True)) -> Column:
         return F.flatten(F.array(empty, *[F.coalesce(F.when(when(r), match_spans(F.col("text"), r)), empty) for r in some]))

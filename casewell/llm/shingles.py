@@ -30,6 +30,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def fold_bytes(body: np.ndarray) -> np.ndarray:
+    """Bytes as positive numbers, ASCII letters in lower case."""
+    return _FOLD[body]
+
+
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     if len(_powers.get(name, ())) < n:
         x = np.full(max(n, CHUNK_BYTES), base, np.uint64)

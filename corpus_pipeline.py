@@ -21,7 +21,7 @@ def text_hash() -> Column:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps."""
     judged = quality.classify(docs, table(spark, sf_dir, "labels"))
-    gone = stored(judged.filter("not kept").select("doc_id", "text_hash"), "rejected", narrow=True)
+    gone = stored(judged.filter("not kept or toxic").select("doc_id", "text_hash"), "rejected", narrow=True)
     return drop_keys(docs, gone, {"doc_id": F.col("doc_id"), "text_hash": text_hash()})
 
 

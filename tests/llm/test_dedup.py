@@ -15,14 +15,30 @@ from pyspark.sql import functions as F
 
 def test_sieve_never_misses(spark):
     keys = spark.range(0, 1000, 7).withColumnRenamed("id", "k")
-    marked = Sieve(keys, ["k"], bits=15).mark(spark.range(1000), [F.col("id")], "maybe").filter("maybe")
+    marked = Sieve(keys, ["k"]).mark(spark.range(1000), [F.col("id")], "maybe").filter("maybe")
     found = {r.id for r in marked.collect()}
     assert set(range(0, 1000, 7)) <= found and len(found) < 400
-    rest = drop_keys(spark.range(1000), keys, {"k": F.col("id")}, bits=15)
+    rest = drop_keys(spark.range(1000), keys, {"k": F.col("id")})
     assert sorted(r.id for r in rest.collect()) == [i for i in range(1000) if i % 7]
     assert Sieve(keys.limit(0), ["k"]).mark(spark.range(9), [F.col("id")], "maybe").filter("maybe").count() == 0
 
 
+def test_a_large_sieve_lets_few_strangers_pass(spark):
+    sieve = Sieve(spark.range(10_000_000), ["id"])
+    assert sieve.blocks * sieve.BLOCK / 8 <= 16 << 20
+    asked = sieve.mark(spark.range(9_900_000, 10_400_000), [F.col("id")], "maybe").groupBy(F.col("id") < 10_000_000).agg(F.avg(F.col("maybe").cast("int")))
+    share = {bool(known): x for known, x in asked.collect()}
+    assert share[True] == 1 and share[False] < 0.02
+
+
+def test_strangers_that_pass_a_sieve_stay(spark, monkeypatch):
+    monkeypatch.setattr(Sieve, "MOST_BLOCKS", 1)
+    gone = spark.range(0, 60_000, 2).select(F.col("id").alias("k"), F.when(F.col("id") % 3 == 0, F.col("id")).alias("n"))
+    docs = spark.range(60_000).select("id", F.when(F.col("id") % 3 == 0, F.col("id")).alias("n"), F.lit("x").alias("k"), F.lit(1).alias("__maybe"))
+    rest = drop_keys(docs, gone, {"k": F.col("id"), "n": F.col("n")})
+    assert rest.columns == docs.columns and sorted(r.id for r in rest.select("id").collect()) == list(range(1, 60_000, 2))
+
+
 def brute_exact(rows):
     groups = defaultdict(list)
     for r in rows:

@@ -50,6 +50,79 @@ def test_sparse_places_shrink_to_their_parent(spark):
     assert not out[5].kept and out[301].kept and out[600].kept
 
 
+def test_toxicity_on_held_out_labels(spark):
+    base = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{base}/labels.parquet")
+    docs = spark.read.parquet(f"{base}/documents.parquet").join(labels.select("doc_id"), "doc_id")
+    judged = {r.doc_id: r for r in quality.classify(docs, labels.filter("doc_id % 2 = 0")).collect()}
+    held = labels.filter("doc_id % 2 = 1").collect()
+    assert np.mean([judged[r.doc_id].toxic for r in held if r.toxic]) > 0.6
+    assert np.mean([judged[r.doc_id].toxic for r in held if not r.toxic]) < 0.01
+    assert np.mean([judged[r.doc_id].kept == bool(r.quality) for r in held]) > 0.99
+
+
+def strength(groups):
+    """``kappa`` of (sum, number, parent) groups by the method of moments."""
+    total = sum(n for _, n, _ in groups)
+    spread = sum(n * (s / n - m) ** 2 for s, n, m in groups) / total
+    noise, inner = sum(m * (1 - m) for *_, m in groups) / total, sum(n * m * (1 - m) for _, n, m in groups) / total
+    return max(min(inner / (spread - noise) - 1, 1e6), 1.0) if spread - noise > 1e-9 else 1e6
+
+
+def brute_posteriors(rows, prior):
+    hosts, paths = {}, {}
+    for h, q, p in rows:
+        for d, k in ((hosts, h), (paths, (h, q))):
+            s, n = d.get(k, (0.0, 0))
+            d[k] = s + p, n + 1
+    mean = sum(p for *_, p in rows) / len(rows)
+    k = strength([(s, n, mean) for s, n in hosts.values()])
+    whole = {h: (s + k * mean) / (n + k) for h, (s, n) in hosts.items()}
+    m = strength([(s, n, whole[h]) for (h, _), (s, n) in paths.items()])
+    logit = lambda x: math.log(min(max(x, 1e-6), 1 - 1e-6) / (1 - min(max(x, 1e-6), 1 - 1e-6)))
+    out = []
+    for h, q, p in rows:
+        a = (hosts[h][0] - p + k * mean) / (hosts[h][1] - 1 + k)
+        b = (paths[h, q][0] - p + m * a) / (paths[h, q][1] - 1 + m)
+        out.append((a, b, 1 / (1 + math.exp(-(logit(p) + logit(b) - logit(prior))))))
+    return out
+
+
+def test_place_posteriors_are_brute_force_and_sql(spark):
+    import duckdb
+
+    rng = np.random.default_rng(8)
+    rows = [(i, h, q, float(x)) for i, (h, q) in enumerate([(f"h{i % 7}" if i % 11 else None, f"p{i % 3}" if i % 5 else None) for i in range(300)] + [("one", "only")]) for x in [np.clip(rng.normal(0.3 + 0.08 * (i % 7) + 0.1 * (i % 3), 0.2), 0, 1)]]
+    df = spark.createDataFrame(rows, "no long, host string, path string, p double")
+    found = {r.no: (r.p_host, r.p_path, r.p_both) for r in quality.place_posteriors(df, "p", 0.6).collect()}
+    want = brute_posteriors([r[1:] for r in rows], 0.6)
+    assert all(abs(a - b) < 1e-9 for i, w in enumerate(want) for a, b in zip(found[i], w, strict=True)) and len(found) == len(rows)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE scored (no BIGINT, host VARCHAR, path VARCHAR, p DOUBLE)")
+    con.executemany("INSERT INTO scored VALUES (?, ?, ?, ?)", rows)
+    kappa = lambda s, n, m: f"""CASE WHEN sum({n} * ({s} / {n} - {m}) ^ 2) / sum({n}) - sum({m} * (1 - {m})) / sum({n}) > 1e-9
+      THEN greatest(least(sum({n} * {m} * (1 - {m})) / sum({n}) / (sum({n} * ({s} / {n} - {m}) ^ 2) / sum({n}) - sum({m} * (1 - {m})) / sum({n})) - 1, 1e6), 1.0) ELSE 1e6 END"""
+    sql = f"""WITH m AS (SELECT avg(p) AS mean FROM scored), h AS (SELECT host, sum(p) AS hs, count(*) AS hn FROM scored GROUP BY 1), q AS (SELECT host, path, sum(p) AS s, count(*) AS n FROM scored GROUP BY 1, 2),
+    a AS (SELECT any_value(mean) AS mean, {kappa("hs", "hn", "mean")} AS k FROM h, m), g AS (SELECT h.*, a.*, (hs + k * mean) / (hn + k) AS hp FROM h, a),
+    b AS (SELECT {kappa("s", "n", "hp")} AS l FROM q JOIN g ON q.host IS NOT DISTINCT FROM g.host),
+    x AS (SELECT no, p, (hs - p + k * mean) / (hn - 1 + k) AS p_host, s, n, l FROM scored c JOIN g ON c.host IS NOT DISTINCT FROM g.host JOIN q ON c.host IS NOT DISTINCT FROM q.host AND c.path IS NOT DISTINCT FROM q.path, b)
+    SELECT no, p_host, (s - p + l * p_host) / (n - 1 + l) FROM x"""
+    assert all(abs(found[no][0] - a) < 1e-9 and abs(found[no][1] - b) < 1e-9 for no, a, b in con.execute(sql).fetchall())
+
+
+def test_evidence_of_texts_does_not_depend_on_their_neighbours():
+    import pyarrow as pa
+
+    from casewell.llm import evidence
+    from casewell.llm.shingles import chunks
+
+    texts = ["LOUD!! LOUD!! words", "", None, "a b", "é", "ab", "x " * 700_000, "calm words stand here"]
+    whole = [evidence.features(at, raw) for *_, at, raw in chunks(pa.array(texts, pa.string()).fill_null(""))]
+    alone = [evidence.features(at, raw) for t in texts for *_, at, raw in chunks(pa.array([t or ""], pa.string()))]
+    assert np.allclose(np.concatenate([s for *_, s in whole]), np.concatenate([s for *_, s in alone]))
+    assert [b.tolist() for o, b, s in whole for b in np.split(b, np.searchsorted(o, np.arange(1, len(s))))] == [b.tolist() for _, b, _ in alone]
+
+
 # --- nearest neighbours --------------------------------------------------------------------------
 
 

@@ -91,6 +91,13 @@ def test_secrets_are_brute_force(spark, docs, odd):
         assert found == want
 
 
+def test_secrets_of_repeated_rows_and_of_many_matches(spark):
+    many = " ".join(f"token={i:08}" for i in range(1000)) + " tail"
+    df = spark.createDataFrame([(1, "ghp_" + "a" * 36), (1, "ghp_" + "a" * 36), (2, many), (None, many)], "doc_id long, text string")
+    found = Counter((r.doc_id, tuple((s.start, s["rank"], s.kind, s.end) for s in r.spans)) for r in secrets.scan_secrets(df).collect())
+    assert found == Counter((r["doc_id"], brute_spans(r["text"])) for r in df.collect()) and len(brute_spans(many)) == 1000
+
+
 def test_secrets_of_nothing(none):
     assert secrets.scan_secrets(none).count() == 0
 
