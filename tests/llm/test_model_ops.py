@@ -175,13 +175,43 @@ def test_recall_with_a_hot_vector(spark):
     assert hot and all(found[q] == {i for _, i in want[q]} for q in hot)
 
 
+def test_deep_trees_have_small_cells_and_the_calibrated_recall(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 8)) * 3
+    x = (centres[rng.integers(40, size=6000)] + rng.normal(size=(6000, 8))).astype(np.float32)
+    x[:1500] = x[0]
+    rows = [(i, v.tolist(), i % 100 == 0) for i, v in enumerate(rng.permutation(x))]
+    df = spark.createDataFrame(rows, "vec_id long, vec array<float>, asks boolean")
+    index = vectors.Index(df, 6000, 8, 160, 4)
+    sizes = sorted((r.n for r in index.filed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    assert sum(sizes) == 6000 and index.trees is not None and sizes[0] >= 1500 and sizes[1] <= 64
+    want = brute_nearest([r[:2] for r in rows], lambda i: i % 100 == 0)
+    found = {}
+    for r in vectors.nearest_neighbours(df, F.col("asks"), vec_col="vec", sample=160, leaf_rows=4).collect():
+        found.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    assert all(sorted(v) == sorted(v, key=lambda p: p) and len(v) == 10 for v in found.values())
+    assert np.mean([sum(s <= want[q][-1][0] + 1e-9 for s, _ in found[q]) / 10 for q in want]) >= 0.9
+
+
+def test_recall_on_the_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    want = brute_nearest(rows, lambda i: i % 100 == 0)
+    found = {}
+    for r in vectors.nearest_neighbours(df, F.col("vec_id") % 100 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = np.mean([len(found[q] & {i for _, i in want[q]}) / len(want[q]) for q in want])
+    print(f"recall of {len(want)} queries over {len(rows)} vectors: {recall:.3f}")
+    assert set(found) == set(want) and recall >= 0.9
+
+
 def test_best_bin_first_takes_every_leaf_once():
     x = np.random.default_rng(2).normal(size=(500, 4))
     tree = vectors.Tree(x, 20)
     leaves = {i for i, n in enumerate(tree.count) if not n}
-    order = tree.visits(x[3])
+    order = [leaf for leaf, _ in tree.visits(x[3])]
     assert set(order) == leaves and len(order) == len(leaves) and set(tree.leaf_of(x)) <= leaves
-    assert tree.visits(x[3], 3) == order[:3]
+    assert [leaf for leaf, _ in tree.visits(x[3], 3)] == order[:3]
 
 
 # --- revisits ------------------------------------------------------------------------------------
