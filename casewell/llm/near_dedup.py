@@ -1,11 +1,13 @@
 """MinHash near-dedup by improved consistent weighted sampling over TF-IDF shingles.
 
-Weight of a shingle in a text: ``(1 + ln tf) * idf``. The idf is exact for shingles in at least
-``max(N / 16, 50)`` texts and flat below: ``idf = (2 + ln min(N / df, cap)) / (2 + ln cap)``. By
-counting, there are at most 16 times the mean number of shingles of a text of the former, so
-the table of their document frequencies can be broadcast however large the corpus is; all rarer
-shingles have the weight 1 and need no table. It also keeps the members of a large group of
-copies from being judged by their few own shingles alone.
+Weight of a shingle in a text: ``(1 + ln tf) * idf`` with ``idf = (2 + ln(N / df)) / (2 + ln(N / T))``
+over N texts, the document frequency counted over all of them. It is exact down to T, a
+``RARE`` part of all pairs of a text and one of its shingles (one text in 800 where texts have 330
+shingles); below T, and that is where the shingles of single texts and of small groups of copies
+are, the idf is 1. By counting, at most ``1 / RARE`` shingles reach T however large the corpus
+is, so their table can be broadcast, and it keeps two copies from being judged by the few shingles
+they do not share, as those would outweigh all others. On tables of some hundred texts T is 1
+and every idf is exact.
 
 Texts with the same weighted shingles are one node from the start. 64 samples in 16 bands of 4
 make the buckets. In a bucket all nodes are compared to its least node, not to each other, by
@@ -23,7 +25,7 @@ one. No link between two nodes that share a bucket is lost.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +34,16 @@ from pyspark.sql import functions as F
 
 from casewell.operators.components import connected_components
 
-from .common import Sieve, arrow_rows, stored, trimmed
+from .common import Sieve, arrow_rows, discard, stored, trimmed
 from .shingles import chunks, mix64, shingles
 
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
-COMMON_SHARE, COMMON_LEAST, SMOOTH = 1 / 16, 50, 2
-COUNTED_AT_ONCE = 1_500_000  # shingles
-CANDIDATES_AT_ONCE = 1_000_000  # shingles counted exactly in one pass over the corpus
+SMOOTH = 2
+RUN = 1 << 20  # pairs of a text and a shingle in a run of texts
+RARE = 4 / RUN  # of all such pairs: shingles with fewer texts share one idf
+FILTER_BITS = 1 << 27  # of the largest filter of possible shingles, 16 MB
+BLOCK_MEMBERS = 2048  # nodes compared to one text in one go
 EPSILON = 1e-9
 ARROW_ROWS = 1000
 
@@ -56,13 +60,13 @@ def _gamma_quantiles(n: int = 65_536) -> np.ndarray:
 
 
 class Weights:
-    """Log weights of shingles; ``hashes`` and ``df`` of the common ones, sorted by hash."""
+    """Log weights of shingles; ``hashes`` and ``df`` of those in ``least`` texts or more, sorted by hash."""
 
-    def __init__(self, total: int, hashes: np.ndarray, df: np.ndarray):
-        order = np.argsort(hashes)
+    def __init__(self, total: int, least: float, hashes: np.ndarray, df: np.ndarray):
+        order = np.argsort(hashes.astype(np.uint64))
         self.hashes = hashes[order].astype(np.uint64)
-        cap = max(1.0, total / common_from(total))
-        self.log_idf = np.log((SMOOTH + np.log(np.minimum(total / np.maximum(df[order], 1), cap))) / (SMOOTH + math.log(cap)))
+        part = np.minimum(df[order], total)  # of copies of a hash
+        self.log_idf = np.log((SMOOTH + np.log(total / np.maximum(part, least))) / (SMOOTH + math.log(max(total, 1) / least))) if len(hashes) else np.zeros(0)
 
     def log(self, h: np.ndarray, tf: np.ndarray) -> np.ndarray:
         out = np.log1p(np.log(tf))
@@ -74,66 +78,80 @@ class Weights:
         return out
 
 
-def common_from(total: int) -> float:
-    return max(COMMON_SHARE * total, COMMON_LEAST)
-
-
-def _document_frequency(texts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles in at least ``common_from(total)`` texts, and in how many. Such a shingle reaches
-    that share in some run of texts, so the first pass hands on only what does there; the second
-    counts these exactly, a bounded number at a time."""
-    share = common_from(total) / max(total, 1)
+def rare_below(pairs: int) -> float:
+    """T: a shingle in fewer texts has the idf of one in T, where texts and their shingles are ``pairs``."""
+    return max(1.0, RARE * pairs)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Shingles of runs of texts, in how many texts of the run each is, and their sum, which is ``RUN``
+    at least but in a task that has no more."""
+    held, kept, n = None, [], 0
+
+    def counted() -> tuple[np.ndarray, np.ndarray, int]:
+        h, c = np.unique(np.concatenate(kept), return_counts=True)
+        return h, c, int(c.sum())
+
+    for batch in batches:
+        for _, _, at, raw in chunks(batch.column(0)):
+            kept.append(shingles(at, raw)[0])
+            n += len(kept[-1])
+            if n >= RUN:
+                if held is not None:
+                    yield held
+                held, kept, n = counted(), [], 0
+    if kept:
+        rest = counted()
+        if held is not None:
+            h = np.concatenate([held[0], rest[0]])
+            c = np.concatenate([held[1], rest[1]])
+            own, at = np.unique(h, return_inverse=True)
+            rest = own, np.bincount(at, c, len(own)).astype(np.int64), held[2] + rest[2]
+        held = rest
+    if held is not None:
+        yield held
+
+
+def _document_frequency(texts: DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
+    """T, the shingles in T texts or more, and in how many.
+
+    Two passes over the texts, whatever they are. A shingle that has its part of all pairs has
+    that part of the pairs of some run of texts, so the first pass hands on only what does
+    there. A bitmap of these, bounded in size, lets the second pass count just them; what it
+    lets pass besides is counted and dropped, so a full bitmap costs a shuffle and no result.
+    """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []
-        n = 0
-
-        def handed() -> pa.RecordBatch:
-            h, c = np.unique(np.concatenate(kept), return_counts=True)
-            h = h[c >= share * n]
-            return pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64))], ["h"])
-
-        for batch in batches:
-            for i, j, at, raw in chunks(batch.column(0)):
-                kept.append(shingles(at, raw)[0])
-                n += j - i
-                if sum(map(len, kept)) >= COUNTED_AT_ONCE:
-                    yield handed()
-                    kept, n = [], 0
-        if n:
-            yield handed()
-
-    possible = stored(texts.select("text").mapInArrow(trimmed(local), "h long").distinct(), "possible", narrow=True)
-    blocks = -(-possible.count() // CANDIDATES_AT_ONCE)
-    spark, hashes, dfs = texts.sparkSession, [], []
-    for b in range(blocks):
-        some = possible.filter(F.pmod("h", F.lit(blocks)) == b).toPandas()["h"].to_numpy().astype(np.uint64)
-        asked = spark.sparkContext.broadcast(np.sort(some))
-
-        def count(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
-            want = asked.value
-            n = np.zeros(len(want), np.int64)
-            for batch in batches:
-                for _, _, at, raw in chunks(batch.column(0)):
-                    h = shingles(at, raw)[0]
-                    k = np.searchsorted(want, h)
-                    k[k == len(want)] = 0
-                    n += np.bincount(k[want[k] == h], minlength=len(want))
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(want[some].astype(np.int64)), pa.array(n[some])], ["h", "df"])
-
-        counted = texts.select("text").mapInArrow(trimmed(count), "h long, df long").groupBy("h").agg(F.sum("df").alias("df"))
-        got = counted.filter(F.col("df") >= common_from(total)).toPandas()
-        hashes.append(got["h"].to_numpy())
-        dfs.append(got["df"].to_numpy())
-        asked.unpersist()
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return join(hashes), join(dfs)
-
-
-def content_hash(h: np.ndarray, tf: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        for h, c, m in _runs(batches):
+            h = h[c >= RARE * m].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([*h, None], pa.int64()), pa.array([*np.zeros(len(h), np.int64), m], pa.int64())], ["h", "m"])
+
+    possible = stored(texts.select("text").mapInArrow(trimmed(local), "h long, m long").groupBy("h").agg(F.sum("m").alias("m")), "possible", narrow=True)
+    pairs = possible.filter("h is null").agg(F.sum("m")).first()[0] or 0
+    possible, least = possible.filter("h is not null"), rare_below(pairs)
+    bits = min(max(1 << (64 * possible.count()).bit_length(), 1 << 15), FILTER_BITS)
+    place = F.pmod("h", F.lit(bits))
+    marked = possible.groupBy(F.shiftright(place, 15).alias("block")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit((1 << 15) - 1))).alias("bits"))
+    table = np.zeros(bits // 8, np.uint8)
+    for r in marked.collect():  # at most FILTER_BITS
+        table[r["block"] * 4096 : (r["block"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    shared = texts.sparkSession.sparkContext.broadcast(table)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, low = shared.value, np.uint64(len(shared.value) * 8 - 1)
+        for h, c, _ in _runs(batches):
+            at = (h & low).astype(np.int64)
+            some = (marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            yield pa.RecordBatch.from_arrays([pa.array(h[some].astype(np.int64)), pa.array(c[some].astype(np.int64))], ["h", "df"])
+
+    counted = texts.select("text").mapInArrow(trimmed(count), "h long, df long").groupBy("h").agg(F.sum("df").alias("df"))
+    got = counted.filter(F.col("df") >= least).toPandas()  # at most 1 / RARE rows
+    return least, got["h"].to_numpy(np.int64), got["df"].to_numpy(np.int64)
+
+
+def content_hash(h: np.ndarray, tf: np.ndarray, cuts: np.ndarray, factor: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """One number for each text's shingles and counts; texts without any have 0."""
-    total = np.concatenate([[np.uint64(0)], np.cumsum(mix64(h * np.uint64(0x9E3779B97F4A7C15) + tf.astype(np.uint64)))])
+    total = np.concatenate([[np.uint64(0)], np.cumsum(mix64(h * np.uint64(factor) + tf.astype(np.uint64)))])
     out = mix64(total[cuts[1:]] - total[cuts[:-1]] + np.diff(cuts).astype(np.uint64))
     return np.where(np.diff(cuts) > 0, out | np.uint64(1), np.uint64(0)).astype(np.int64)
 
@@ -161,7 +179,8 @@ def consistent_samples(h: np.ndarray, log_weight: np.ndarray, cuts: np.ndarray,
 
 
 def _sketch(texts: DataFrame, weights, bands: int, rows: int) -> DataFrame:
-    """``doc_id, text_hash, node, buckets``; node 0 and no buckets for texts without words."""
+    """``doc_id, text_hash, node, check, buckets``; node 0 and no buckets for texts without words. ``check``
+    is a second number for the same shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quantiles = _gamma_quantiles()
@@ -170,7 +189,7 @@ def _sketch(texts: DataFrame, weights, bands: int, rows: int) -> DataFrame:
         for batch in batches:
             for i, j, at, raw in chunks(batch.column(2)):
                 h, tf, cuts = shingles(at, raw)
-                node = content_hash(h, tf, cuts)
+                node, check = content_hash(h, tf, cuts), content_hash(h, tf, cuts, 0xD6E8FEB86659FD93)
                 full = np.flatnonzero(np.diff(cuts) > 0)
                 lists = np.zeros((j - i, bands), np.int64)
                 if len(full):
@@ -184,11 +203,11 @@ def _sketch(texts: DataFrame, weights, bands: int, rows: int) -> DataFrame:
                 sizes = np.where(np.diff(cuts) > 0, bands, 0)
                 buckets = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(lists[full].ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[i:j], batch.column(1)[i:j], pa.array(node), buckets], ["doc_id", "text_hash", "node", "buckets"]
+                    [batch.column(0)[i:j], batch.column(1)[i:j], pa.array(node), pa.array(check), buckets], ["doc_id", "text_hash", "node", "check", "buckets"]
                 )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.select("doc_id", "text_hash", "text").mapInArrow(trimmed(run), f"doc_id {kind}, text_hash long, node long, buckets array<bigint>")
+    return texts.select("doc_id", "text_hash", "text").mapInArrow(trimmed(run), f"doc_id {kind}, text_hash long, node long, check long, buckets array<bigint>")
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -217,51 +236,59 @@ def _weighted_sets(texts: pa.Array, w: Weights) -> Iterator[tuple[np.ndarray, np
             yield h[s:e], x[s:e]
 
 
-def _with_texts(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """``a, b, text_a, text_b``: a pair is a row with its two texts, so no group is ever gathered."""
-    pairs = stored(pairs.select("a", "b"), "pairs", narrow=True)
-    found = _texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), nodes, texts)
-    left = found.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = found.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+def _against(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, weights, judge: Callable, schema: str) -> DataFrame:
+    """``a, b`` and what ``judge`` says of their sets, for each pair of nodes, stored.
 
-
-def _similarity(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, weights) -> DataFrame:
-    """``a, b`` to ``a, b, similarity``."""
+    Nodes are sorted behind the text of the ``b`` they are compared to, blocks of ``BLOCK_MEMBERS``
+    at most, so a text travels once for a block and not once for a pair, and a ``b`` with a third
+    of all nodes is many tasks, each of which holds one set at a time."""
+    pairs = stored(pairs.select("a", "b").distinct(), "pairs", narrow=True)
+    found = _texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), nodes, texts)
+    sizes = stored(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS).cast("int").alias("blocks")), "sizes", narrow=True)
+    some = F.pmod(F.xxhash64("a", F.lit(3)), F.col("blocks")).cast("int")
+    members = pairs.join(sizes, "b").withColumn("block", some).join(found.withColumnRenamed("node", "a"), "a").select("b", "block", "a", "text")
+    heads = sizes.join(found.withColumnRenamed("node", "b"), "b")
+    heads = heads.select("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("a"), "text")
+    names = [f.split(" ")[0] for f in schema.split(", ")]
+    kinds = [{"long": pa.int64(), "double": pa.float64(), "array<bigint>": pa.list_(pa.int64())}[f.split(" ")[1]] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = weights.value
+        w, head = weights.value, None
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                j = [weighted_jaccard(x, y) for x, y in zip(_weighted_sets(part.column(2), w), _weighted_sets(part.column(3), w), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(j, pa.float64())], ["a", "b", "similarity"])
+                out = []
+                for a, b, x in zip(part.column(2).to_pylist(), part.column(0).to_pylist(), _weighted_sets(part.column(3), w), strict=True):
+                    if a is None:
+                        head = x[0].copy(), x[1].copy()
+                    else:
+                        out.append((a, b, *judge(x, head)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    rows = members.unionByName(heads).repartition("b", "block").sortWithinPartitions("b", "block", F.col("a").isNotNull())
+    out = stored(rows.select("b", "block", "a", "text").mapInArrow(trimmed(run), schema), "compared")
+    discard(pairs, found, sizes)
+    return out
 
-    return stored(_with_texts(pairs, nodes, texts).mapInArrow(trimmed(run), "a long, b long, similarity double"), "compared")
+
+def _similarity(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, weights) -> DataFrame:
+    """``a, b`` to ``a, b, similarity``, the lesser node first."""
+    out = _against(pairs, nodes, texts, weights, lambda x, y: (weighted_jaccard(x, y),), "a long, b long, similarity double")
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").dropDuplicates(["a", "b"])
 
 
 def _against_centre(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, weights) -> DataFrame:
     """``a`` (a node), ``b`` (a centre) to ``a, b, similarity, mask, light``: which of the centre's
     shingles the node has, as bits, and the least weight of one of them in the node."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = weights.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                j, masks, light = [], [], []
-                for x, y in zip(_weighted_sets(part.column(2), w), _weighted_sets(part.column(3), w), strict=True):
-                    has = np.isin(y[0], x[0], assume_unique=True)
-                    shared = x[1][np.isin(x[0], y[0], assume_unique=True)]
-                    bits = np.packbits(np.pad(has, (0, -len(has) % 64)), bitorder="little")
-                    j.append(weighted_jaccard(x, y))
-                    masks.append(bits.view(np.int64).tolist())
-                    light.append(float(shared.min()) if len(shared) else 0.0)
-                columns = [part.column(0), part.column(1), pa.array(j, pa.float64()), pa.array(masks, pa.list_(pa.int64())), pa.array(light, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "similarity", "mask", "light"])
+    def judge(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> tuple[float, list[int], float]:
+        has = np.isin(y[0], x[0], assume_unique=True)
+        shared = x[1][np.isin(x[0], y[0], assume_unique=True)]
+        bits = np.packbits(np.pad(has, (0, -len(has) % 64)), bitorder="little")
+        return weighted_jaccard(x, y), bits.view(np.int64).tolist(), float(shared.min()) if len(shared) else 0.0
 
-    schema = "a long, b long, similarity double, mask array<bigint>, light double"
-    return stored(_with_texts(pairs, nodes, texts).mapInArrow(trimmed(run), schema), "centred")
+    return _against(pairs, nodes, texts, weights, judge, "a long, b long, similarity double, mask array<bigint>, light double")
 
 
 def _shareable(asked: DataFrame, nodes: DataFrame, texts: DataFrame, weights) -> DataFrame:
@@ -285,6 +312,25 @@ def _shareable(asked: DataFrame, nodes: DataFrame, texts: DataFrame, weights) ->
     return stored(whole.join(own, "node", "left").select("node", "weight", (F.col("weight") - F.coalesce("own", F.lit(0.0))).alias("shareable")), "shareable", narrow=True)
 
 
+def _nodes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows``, and ``node, doc_id, text_hash, n``: one of the texts of each node, and their number. Where
+    texts of one node differ in the second number, 64 bits were too few, and the node is told
+    apart by both."""
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        one, lo, hi = F.min(F.struct("doc_id", "text_hash")).alias("one"), F.min("check").alias("lo"), F.max("check").alias("hi")
+        real = rows.filter("node <> 0 and doc_id is not null").groupBy("node").agg(one, F.count(F.lit(1)).alias("n"), lo, hi)
+        return stored(real.select("node", "one.*", "n", "lo", "hi"), "nodes")
+
+    nodes = grouped(rows)
+    clash = nodes.filter("lo <> hi").select("node").withColumn("clash", F.lit(True))
+    if not clash.isEmpty():
+        both = F.when(F.col("clash"), F.xxhash64("node", "check").bitwiseOR(F.lit(1))).otherwise(F.col("node"))
+        rows = stored(rows.join(clash, "node", "left").withColumn("node", both).drop("clash"), "sketch")
+        nodes = grouped(rows)
+    return rows, nodes.drop("lo", "hi")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -293,7 +339,11 @@ def near_duplicates(
     ``class_id`` is the least id of the class, ``class_size`` its rows, ``n_compared_links`` the node's
     compared neighbours of at least ``similarity``; the row of the least id is kept (rows that
     repeat it as well). Texts without words, null ones included, and rows without an id are
-    classes of their own. An empty table gives no rows; extra columns are ignored.
+    classes of their own. Equal texts are one node, very long ones are read whole, ties go to the
+    least id. An empty table gives no rows; extra columns are ignored, whatever their names.
+
+    The texts are read five times: for the shingles that are possibly frequent, for their counts,
+    for the samples, and for the texts of compared nodes, and written never but for the latter.
     """
     with arrow_rows(docs.sparkSession, ARROW_ROWS):  # every Python stage ends in a written table
         return _near_duplicates(docs, id_col, text_col, similarity, bands, rows)
@@ -304,12 +354,10 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, similarity: fl
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     total = texts.count()
-    weights = spark.sparkContext.broadcast(Weights(total, *_document_frequency(texts, total)))
+    weights = spark.sparkContext.broadcast(Weights(total, *_document_frequency(texts)))  # at most 1 / RARE shingles
     rows_ = stored(_sketch(texts, weights, bands, rows), "sketch")
+    rows_, nodes = _nodes(rows_)
     real = rows_.filter("node <> 0 and doc_id is not null")
-    nodes = stored(
-        real.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.count(F.lit(1)).alias("n")).select("node", "one.*", "n"), "nodes"
-    )
     lists = real.select("node", "buckets").dropDuplicates(["node"]).select("node", F.explode("buckets").alias("bucket"))
     size = lists.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead"))
     members = stored(lists.join(stored(size.filter("n > 1"), "buckets", narrow=True), "bucket"), "members")  # bucket, node, n, lead
@@ -318,7 +366,7 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, similarity: fl
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
     close = F.col("similarity") >= similarity
-    first = _similarity(members.filter("node <> lead").select(*pairs_of(F.col("node"), F.col("lead"))).distinct(), nodes, texts, weights)
+    first = _similarity(members.filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")), nodes, texts, weights)
     roots = connected_components(first.filter(close))
 
     def mixed(labels: DataFrame, own: DataFrame) -> DataFrame:

@@ -97,9 +97,8 @@ def weighted(rows):
         w = [x for x in w.translate({i: 32 for i in (9, 10, 11, 12, 13)}).split(" ") if x]
         sets.append(Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter())
     df, n = Counter(k for s in sets for k in s), len(rows)
-    least = near_dedup.common_from(n)
-    cap = max(1.0, n / least)
-    idf = lambda k: (near_dedup.SMOOTH + math.log(min(n / df[k], cap))) / (near_dedup.SMOOTH + math.log(cap)) if df[k] >= least else 1.0
+    least = max(1.0, near_dedup.RARE * sum(map(len, sets)))
+    idf = lambda k: (2 + math.log(n / max(df[k], least))) / (2 + math.log(n / least))
     return [{k: (1 + math.log(c)) * idf(k) for k, c in s.items()} for s in sets]
 
 
@@ -156,6 +155,67 @@ def test_a_fuzzy_ball_loses_no_link(spark):
     assert found == brute_near(df.collect())
 
 
+def test_a_thousand_copies_are_brute_force(spark):
+    """A cluster of 1,000 near copies among other texts: all idf are exact, pairs by matrices."""
+    import random
+
+    from .conftest import words
+
+    r = random.Random(9)
+    base, rows = words(80, 77).split(), []
+    for i in range(1000):
+        w = list(base)
+        for _ in range(r.randrange(0, 5)):
+            w[r.randrange(len(w))] = words(1, 5000 + r.randrange(3000))
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, words(60, 9000 + i) + " " + " ".join(base[:20])) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = weighted(df.collect())
+    number = {k: i for i, k in enumerate(sorted({k for s in sets for k in s}))}
+    x = np.zeros((len(sets), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        for k, v in s.items():
+            x[i, number[k]] = v
+    total, root = x.sum(1), list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets) - 1):
+        shared = np.minimum(x[i], x[i + 1 :]).sum(1)
+        for j in np.flatnonzero(shared >= 0.8 * (total[i] + total[i + 1 :] - shared)) + i + 1:
+            root[find(i)] = find(j)
+    least = {}
+    for i in range(len(sets)):
+        least.setdefault(find(i), i)
+    found = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(df).collect()}
+    assert found == {i: least[find(i)] for i in range(len(sets))}
+
+
+def test_frequencies_are_exact_over_runs_and_tasks(spark, monkeypatch):
+    docs = [(" ".join(f"w{j % (3 + i % 40)}" for j in range(30)) + (f" own{i} a b c d" if i % 2 else " every text has these five words"),) for i in range(600)]
+    df = spark.createDataFrame(docs, "text string").repartition(5)
+    monkeypatch.setattr(near_dedup, "RUN", 500)
+    monkeypatch.setattr(near_dedup, "RARE", 4 / 500)
+    want = Counter()
+    for (t,) in docs:
+        *_, at, raw = next(chunks(pa.array([t])))
+        want.update(shingles(at, raw)[0].tolist())
+    least, h, n = near_dedup._document_frequency(df)
+    assert least == 4 / 500 * sum(want.values())
+    assert dict(zip(h.tolist(), n.tolist(), strict=True)) == {k: c for k, c in want.items() if c >= least} and len(h)
+
+
+def test_nodes_that_share_a_number_are_told_apart(spark):
+    rows = [(1, 10, 5, 1), (2, 20, 5, 2), (3, 10, 5, 1), (4, 30, 7, 3), (5, 0, 0, 0), (None, 40, 7, 9)]
+    out, nodes = near_dedup._nodes(spark.createDataFrame(rows, "doc_id long, text_hash long, node long, check long"))
+    by = {r.doc_id: r.node for r in out.collect()}
+    assert by[1] == by[3] != by[2] and by[4] == 7 and by[5] == 0
+    assert Counter((r.doc_id, r.n) for r in nodes.collect()) == Counter([(1, 2), (2, 1), (4, 1)])
+
+
 def test_samples_agree_as_often_as_texts_are_similar():
     """The estimator is unbiased: equal samples over all samples are near the weighted Jaccard."""
     rng = np.random.default_rng(3)
