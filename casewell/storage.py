@@ -5,11 +5,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from contextlib import suppress
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_scratch: list[list[str]] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,9 +45,29 @@ def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder; what is written there goes when the driver ends."""
     path = f"{shared_dir(spark).rstrip('/')}/casewell-{label}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
+    for made in _scratch:
+        made.append(path)
     return path
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes what is stored inside when it ends, but for the tables handed to what it yields."""
+    made: list[str] = []
+    _scratch.append(made)
+
+    def keep(table: DataFrame) -> DataFrame:
+        made.remove(table._stored_at)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _scratch.remove(made)
+        for path in made:
+            _remove(spark, path)
+
+
 def stored(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: the lineage is cut,
     lost executors lose nothing, and later readers prune columns. ``narrow`` is for tables of a
