@@ -158,7 +158,7 @@ def build_lexicon(docs: DataFrame, vocabulary_path: str, text_col: str = "text",
     vocabulary = Vocabulary(vocabulary_path)
     kind = F.floor(F.log2("n") * 16).cast("int")
     counts = word_counts(docs, vocabulary_path, text_col).filter((F.octet_length("word") <= LONGEST_WORD) & (F.col("n") > 1))
-    counts = stored(counts.select("word", kind.alias("class")), "words", narrow=True)
+    counts = stored(counts.select("word", kind.alias("class")), "words")
     taken, least = 0, None
     for r in sorted(counts.groupBy("class").count().collect(), reverse=True):
         if (taken := taken + r["count"]) > words:
@@ -184,7 +184,8 @@ def encode(
 
     Special tokens of the vocabulary that stand in a text become their ids, none are added.
     Null and empty texts have no tokens; a very long word is merged with a heap; repeated rows,
-    null ids and an empty table need nothing special; other columns are ignored.
+    null ids and an empty table need nothing special; other columns are ignored. The session's
+    Arrow batches stay small afterwards, see ``whole_texts``: the result may be read at any time.
     """
     spark = docs.sparkSession
     whole_texts(spark)
@@ -229,11 +230,14 @@ def _texts(ids: list[bytes], bytes_of: list[bytes]) -> pa.Array:
 
 
 def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
-    """``encoded`` with ``decoded string`` beside all other columns;
-    special tokens are kept, bytes that are not UTF-8 become U+FFFD."""
+    """``encoded`` with ``decoded string`` beside all other columns, in place of one of that name;
+    special tokens are kept, bytes that are not UTF-8 become U+FFFD. Null ids are no tokens and
+    decode to an empty text, as empty ones do; very long ones, repeated rows, null documents and
+    an empty table need nothing special. The session's Arrow batches stay small afterwards, see
+    ``whole_texts``: the result may be read at any time."""
     whole_texts(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary_path).bytes)
-    others = [c for c in encoded.columns if c != "token_ids"]
+    others = [c for c in encoded.columns if c not in ("token_ids", "decoded")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

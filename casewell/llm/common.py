@@ -13,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewell.storage import discard, new_path, shared_dir, stored, table
+from casewell.storage import discard, new_path, scratch, shared_dir, stored, table
 
-__all__ = ["Sieve", "arrow_rows", "ascii_lower", "discard", "drop_keys", "hash_sample", "literal_rows", "new_path", "shared_dir", "stored", "table", "trimmed", "whole_texts"]
+__all__ = ["Sieve", "arrow_rows", "ascii_lower", "discard", "drop_keys", "hash_sample", "literal_rows", "new_path", "scratch", "shared_dir", "stored", "table", "trimmed", "whole_texts"]
 
 
 def ascii_lower(c: Column) -> Column:

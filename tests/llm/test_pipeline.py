@@ -35,6 +35,8 @@ def test_stages_follow_each_other(spark, sf):
     t = Tokenizer.from_file(vocabulary_path())
     want = Counter((r.doc_id, tuple(t.encode(r.text, add_special_tokens=False).ids)) for r in mixed.collect())
     assert Counter((r.doc_id, tuple(np.frombuffer(r.token_ids, "<u4").tolist())) for r in out) == want
+    whole = Counter((r.doc_id, tuple(np.frombuffer(r.token_ids, "<u4").tolist())) for r in corpus_pipeline.run(spark, sf).collect())
+    assert whole == want
 
 
 def test_pipeline_of_nothing_and_of_odd_rows(spark, odd, none, tmp_path):
@@ -46,3 +48,19 @@ def test_pipeline_of_nothing_and_of_odd_rows(spark, odd, none, tmp_path):
             docs = stage(spark, docs, base)
             assert docs.columns == df.columns
         assert corpus_pipeline.STAGES[-1][1](spark, docs, base).filter("not exact").count() == 0
+
+
+def test_quality_stage_of_odd_rows(spark, odd, docs, tmp_path):
+    """Odd rows among others, with labels of both kinds: rejected and toxic documents go, whatever else."""
+    base = f"file://{tmp_path}"
+    loud, calm, rude = "BUY!! NOW!! ", "some calm words stand here in a row ", "you idiot and moron "
+    rows = [(1000 + i, (loud if i % 3 == 0 else calm + (rude if i % 3 == 1 else "")) * (2 + i % 5), "en", f"s{i % 4}", 50) for i in range(300)]
+    more = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df = odd.unionByName(more, allowMissingColumns=True)
+    labels = [(1000 + i, None if i % 50 == 49 else int(i % 3 != 0), int(i % 3 == 1)) for i in range(200)] + [(None, 0, 1), (5, 1, 0), (2, 1, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
+    out = corpus_pipeline.quality_stage(spark, df, base)
+    assert out.columns == df.columns
+    left = Counter(r.doc_id for r in out.collect())
+    assert {i for i in left if i is not None and i >= 1000} == {1000 + i for i in range(300) if i % 3 == 2}
+    assert left[2] in (0, 2)
