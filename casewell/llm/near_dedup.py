@@ -41,9 +41,10 @@ SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 SMOOTH = 2
 RUN = 1 << 20  # pairs of a text and a shingle in a run of texts
+SHINGLE_BYTES = 6  # of text, about, for a shingle
 RARE = 4 / RUN  # of all such pairs: shingles with fewer texts share one idf
 FILTER_BITS = 1 << 27  # of the largest filter of possible shingles, 16 MB
-BLOCK_MEMBERS = 2048  # nodes compared to one text in one go
+BLOCK_MEMBERS = 256  # nodes compared to one text in one go
 EPSILON = 1e-9
 ARROW_ROWS = 1000
 
@@ -112,8 +113,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
         yield held
 
 
-def _document_frequency(texts: DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
-    """T, the shingles in T texts or more, and in how many.
+def _document_frequency(texts: DataFrame, size: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """T, the shingles in T texts or more, and in how many. ``size`` is the texts' bytes: tables of many
+    small partitions are read in tasks that hold some runs each, as a task of less than a run hands
+    on nearly all it has.
 
     Two passes over the texts, whatever they are. A shingle that has its part of all pairs has
     that part of the pairs of some run of texts, so the first pass hands on only what does
@@ -126,7 +129,8 @@ def _document_frequency(texts: DataFrame) -> tuple[float, np.ndarray, np.ndarray
             h = h[c >= RARE * m].astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([*h, None], pa.int64()), pa.array([*np.zeros(len(h), np.int64), m], pa.int64())], ["h", "m"])
 
-    possible = stored(texts.select("text").mapInArrow(trimmed(local), "h long, m long").groupBy("h").agg(F.sum("m").alias("m")), "possible", narrow=True)
+    texts = texts.select("text").coalesce(max(size // (4 * SHINGLE_BYTES * RUN), 1))
+    possible = stored(texts.mapInArrow(trimmed(local), "h long, m long").groupBy("h").agg(F.sum("m").alias("m")), "possible", narrow=True)
     pairs = possible.filter("h is null").agg(F.sum("m")).first()[0] or 0
     possible, least = possible.filter("h is not null"), rare_below(pairs)
     bits = min(max(1 << (64 * possible.count()).bit_length(), 1 << 15), FILTER_BITS)
@@ -144,7 +148,7 @@ def _document_frequency(texts: DataFrame) -> tuple[float, np.ndarray, np.ndarray
             some = (marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             yield pa.RecordBatch.from_arrays([pa.array(h[some].astype(np.int64)), pa.array(c[some].astype(np.int64))], ["h", "df"])
 
-    counted = texts.select("text").mapInArrow(trimmed(count), "h long, df long").groupBy("h").agg(F.sum("df").alias("df"))
+    counted = texts.mapInArrow(trimmed(count), "h long, df long").groupBy("h").agg(F.sum("df").alias("df"))
     got = counted.filter(F.col("df") >= least).toPandas()  # at most 1 / RARE rows
     return least, got["h"].to_numpy(np.int64), got["df"].to_numpy(np.int64)
 
@@ -353,8 +357,8 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, similarity: fl
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    total = texts.count()
-    weights = spark.sparkContext.broadcast(Weights(total, *_document_frequency(texts)))  # at most 1 / RARE shingles
+    total, size = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    weights = spark.sparkContext.broadcast(Weights(total, *_document_frequency(texts, size)))  # at most 1 / RARE shingles
     rows_ = stored(_sketch(texts, weights, bands, rows), "sketch")
     rows_, nodes = _nodes(rows_)
     real = rows_.filter("node <> 0 and doc_id is not null")

@@ -203,7 +203,7 @@ def test_frequencies_are_exact_over_runs_and_tasks(spark, monkeypatch):
     for (t,) in docs:
         *_, at, raw = next(chunks(pa.array([t])))
         want.update(shingles(at, raw)[0].tolist())
-    least, h, n = near_dedup._document_frequency(df)
+    least, h, n = near_dedup._document_frequency(df, 3_000 * 5)
     assert least == 4 / 500 * sum(want.values())
     assert dict(zip(h.tolist(), n.tolist(), strict=True)) == {k: c for k, c in want.items() if c >= least} and len(h)
 
