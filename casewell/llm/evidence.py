@@ -20,9 +20,13 @@ BUCKETS = 2 << BUCKET_BITS
 SHAPE = ("capitals", "marks", "mark runs", "repeated words", "distinct words", "shortness")
 RIDGE = 1e-3
 SMOOTH = 1.0
+TEXTS_AT_ONCE = 500
 _MARK = np.array([33 <= b <= 47 or 58 <= b <= 64 or 91 <= b <= 96 or 123 <= b <= 126 for b in range(256)])
 
 
+_dot = np.einsum  # small products, on one core
+
+
 def features(at: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a run of texts: owner and bucket of each present bucket, and a row of ``SHAPE`` for each text.
     Shares of capitals and marks are of bytes, those of words of words; a text without words has
@@ -59,14 +63,24 @@ class Evidence:
     slopes: np.ndarray
 
     def log_odds(self, owner: np.ndarray, bucket: np.ndarray, shape: np.ndarray) -> np.ndarray:
-        return self.start + np.bincount(owner, self.weights[bucket], len(shape)) + shape @ self.slopes
+        return self.start + np.bincount(owner, self.weights[bucket], len(shape)) + _dot("ij,j->i", shape, self.slopes)
+
+
+def fit(owner: np.ndarray, bucket: np.ndarray, shape: np.ndarray, y: np.ndarray, rounds: int = 60) -> Evidence:
+    """``y`` (0 or 1, both present) for each text, ``owner`` in order; L-BFGS, from zeros, so the same rows
+    give the same model. Sums are taken over blocks of texts, so that memory stays at the size of
+    the sample."""
+    n = len(y)
+    cuts = np.searchsorted(owner, np.arange(0, n + TEXTS_AT_ONCE, TEXTS_AT_ONCE))
+    blocks = [(slice(i * TEXTS_AT_ONCE, min((i + 1) * TEXTS_AT_ONCE, n)), slice(s, e)) for i, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if e > s]
 
+    def per_bucket(of_text: np.ndarray) -> np.ndarray:
+        out = np.zeros(BUCKETS)
+        for _, part in blocks:
+            out += np.bincount(bucket[part], of_text[owner[part]], BUCKETS)
+        return out
 
-def fit(owner: np.ndarray, bucket: np.ndarray, shape: np.ndarray, y: np.ndarray, rounds: int = 100) -> Evidence:
-    """``y`` (0 or 1, both present) for each text; L-BFGS, from zeros, so the same rows give the same
-    model."""
-    n, yes = len(y), y[owner]
-    ones, noes = np.bincount(bucket, yes, BUCKETS), np.bincount(bucket, 1 - yes, BUCKETS)
+    ones, noes = per_bucket(y), per_bucket(1 - y)
     ratio = np.log((ones + SMOOTH) / (y.sum() + 2 * SMOOTH)) - np.log((noes + SMOOTH) / ((1 - y).sum() + 2 * SMOOTH))
     ratio[ones + noes == 0] = 0
     middle, spread = shape.mean(0), shape.std(0) + 1e-9
@@ -77,12 +91,14 @@ def fit(owner: np.ndarray, bucket: np.ndarray, shape: np.ndarray, y: np.ndarray,
 
     def value(w: np.ndarray) -> tuple[float, np.ndarray]:
         sparse, slopes, start = parts(w)
-        z = start + np.bincount(owner, (sparse * ratio)[bucket], n) + dense @ slopes
+        z, weights = start + _dot("ij,j->i", dense, slopes), sparse * ratio
+        for texts, part in blocks:
+            z[texts] += np.bincount(owner[part] - texts.start, weights[bucket[part]], texts.stop - texts.start)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         off = (p - y) / n
-        g = np.concatenate([np.bincount(bucket, off[owner], BUCKETS) * ratio, dense.T @ off, [off.sum()]])
+        g = np.concatenate([per_bucket(off) * ratio, _dot("ij,i->j", dense, off), [off.sum()]])
         g[:-1] += RIDGE * w[:-1]
-        return float(np.mean(np.logaddexp(0, z) - y * z) + RIDGE / 2 * (w[:-1] @ w[:-1])), g
+        return float(np.mean(np.logaddexp(0, z) - y * z) + RIDGE / 2 * _dot("i,i", w[:-1], w[:-1])), g
 
     w = np.zeros(BUCKETS + k + 1)
     moves: list[tuple[np.ndarray, np.ndarray]] = []
@@ -90,25 +106,25 @@ def fit(owner: np.ndarray, bucket: np.ndarray, shape: np.ndarray, y: np.ndarray,
     for _ in range(rounds):
         d, scales = g.copy(), []
         for s, t in reversed(moves):
-            scales.append((s @ d) / (s @ t))
+            scales.append(_dot("i,i", s, d) / _dot("i,i", s, t))
             d -= scales[-1] * t
         if moves:
-            d *= (moves[-1][0] @ moves[-1][1]) / (moves[-1][1] @ moves[-1][1])
+            d *= _dot("i,i", *moves[-1]) / _dot("i,i", moves[-1][1], moves[-1][1])
         for (s, t), a in zip(moves, reversed(scales), strict=True):
-            d += s * (a - (t @ d) / (s @ t))
+            d += s * (a - _dot("i,i", t, d) / _dot("i,i", s, t))
         step = 1.0 if moves else 1 / max(np.abs(g).sum(), 1e-12)
         while True:
             new = w - step * d
             new_loss, new_g = value(new)
-            if new_loss <= loss - 1e-4 * step * (g @ d) or step < 1e-10:
+            if new_loss <= loss - 1e-4 * step * _dot("i,i", g, d) or step < 1e-10:
                 break
             step /= 2
         s, t = new - w, new_g - g
         done = loss - new_loss < 1e-7 * max(1.0, abs(loss))
-        if s @ t > 1e-14:
+        if _dot("i,i", s, t) > 1e-14:
             moves = [*moves, (s, t)][-8:]
         w, loss, g = new, new_loss, new_g
         if done:
             break
     sparse, slopes, start = parts(w)
-    return Evidence(float(start - (middle / spread) @ slopes), (sparse * ratio).astype(np.float32), slopes / spread)
+    return Evidence(float(start - _dot("i,i", middle / spread, slopes)), (sparse * ratio).astype(np.float32), slopes / spread)

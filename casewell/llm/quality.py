@@ -27,7 +27,7 @@ from . import evidence
 from .common import arrow_rows, discard, hash_sample, stored, trimmed
 from .shingles import chunks
 
-MOST_LABELS = 10_000  # labelled documents, about, that the logistic model is fitted on
+MOST_LABELS = 8_000  # labelled documents, about, that the logistic model is fitted on
 BROADCAST_PLACES = 100_000
 CLIP = 1e-6
 ARROW_ROWS = 1000
@@ -61,20 +61,25 @@ def fit_evidence(texts: DataFrame, labels: DataFrame, most_labels: int = MOST_LA
     kind = texts.schema["doc_id"].dataType.simpleString()
     found = rows.select("doc_id", *TARGETS, "text").mapInArrow(trimmed(run), f"doc_id {kind}, quality double, toxic double, buckets array<int>, shape array<double>")
     with arrow_rows(texts.sparkSession, ARROW_ROWS):
-        sample = found.toArrow().sort_by("doc_id").combine_chunks()
-    discard(known)
-    lists = sample.column("buckets").combine_chunks()
-    n = len(lists)
-    size = np.diff(lists.offsets.to_numpy()) if n else np.zeros(0, np.int64)
-    owner, bucket = np.repeat(np.arange(n, dtype=np.int32), size), lists.flatten().to_numpy()
-    shape = sample.column("shape").combine_chunks().flatten().to_numpy().reshape(-1, len(evidence.SHAPE))
+        stored_sample = stored(found, "sample", narrow=True)
+    sample = stored_sample.toArrow().combine_chunks()
+    order = np.argsort(sample.column("doc_id").to_numpy())
+    size = np.diff(sample.column("buckets").chunk(0).offsets.to_numpy()) if len(order) else np.zeros(0, np.int64)
+    bucket = sample.column("buckets").chunk(0).flatten().to_numpy() if len(order) else np.zeros(0, np.int32)
+    shape = np.array(sample.column("shape").to_pylist(), float).reshape(-1, len(evidence.SHAPE))[order]
+    labelled = {t: sample.column(t).to_numpy()[order] for t in TARGETS}
+    del sample
+    discard(known, stored_sample)
+    start = (np.cumsum(size) - size)[order]
+    at = np.repeat(start - np.cumsum(size[order]) + size[order], size[order]) + np.arange(size.sum())
+    owner, bucket = np.repeat(np.arange(len(order), dtype=np.int32), size[order]), bucket[at]
+    del at
     out = {}
-    for t in TARGETS:
-        y = sample.column(t).to_numpy()
+    for t, y in labelled.items():
         has = np.isfinite(y)
         if len(set(y[has])) < 2:
             continue
-        place, mine = np.cumsum(has) - 1, has[owner]
+        place, mine = np.cumsum(has, dtype=np.int32) - np.int32(1), has[owner]
         out[t] = evidence.fit(place[owner[mine]], bucket[mine], shape[has], y[has]), float(y[has].mean())
     return out
 
