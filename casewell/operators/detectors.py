@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,16 +44,31 @@ def z_scores(rows: DataFrame, key: str, value: str, least_rows: int) -> DataFram
     return rows.join(own, key).withColumn("z", F.round((F.col(value) - F.col("mean")) / F.col("std"), 2) + 0.0)
 
 
+def exact_z_scores(rows: DataFrame, key: str, value: str, least_rows: int, least_z: float, unit: float = 1) -> DataFrame:
+    """As ``z_scores``, the rows at ``least_z`` or above. Values are whole numbers of ``unit``, so whether a
+    row lies at the limit is decided without rounding and does not depend on the order of sums: with
+    n rows, sum S and sum of squares Q, ``(v - mean) / std >= z`` is ``n v > S`` and
+    ``(n v - S) ** 2 >= z ** 2 (n Q - S ** 2)``."""
+    whole = lambda c: c.cast("decimal(38,0)")
+    z = Fraction(str(least_z))
+    rows = rows.withColumn("__v", whole(F.round(F.col(value) / unit)))
+    own = rows.groupBy(key).agg(whole(F.count("__v")).alias("__n"), whole(F.sum("__v")).alias("__s"), whole(F.sum(whole(F.col("__v") * F.col("__v")))).alias("__q"))
+    own = own.withColumn("__spread", whole(F.col("__n") * F.col("__q")) - whole(F.col("__s") * F.col("__s"))).filter((F.col("__n") >= least_rows) & (F.col("__spread") > 0))
+    out = rows.join(own, key).withColumn("__off", whole(F.col("__n") * F.col("__v")) - F.col("__s"))
+    far = whole(F.col("__off") * F.col("__off")) * z.denominator**2 >= F.col("__spread") * z.numerator**2
+    real = lambda c: F.col(c).cast("double")
+    out = out.filter((F.col("__off") > 0) & far).withColumn("mean", real("__s") / real("__n") * unit).withColumn("std", F.sqrt(real("__spread")) / real("__n") * unit)
+    return out.withColumn("z", F.round(real("__off") / F.sqrt(real("__spread")), 2)).drop("__v", "__n", "__s", "__q", "__spread", "__off")
+
+
 def communication_spikes(calls: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Days on which an entity is ``spike_z`` deviations above its mean over active days."""
-    z = z_scores(daily_activity(calls), "entity", "n", s.spike_days)
-    return z.filter((F.col("n") - F.col("mean")) / F.col("std") >= s.spike_z)
+    return exact_z_scores(daily_activity(calls), "entity", "n", s.spike_days, s.spike_z)
 
 
 def amount_outliers(payments: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Payments ``money_z`` deviations above the sender's mean."""
-    z = z_scores(payments, "sender", "amount", s.money_rows)
-    return z.filter((F.col("amount") - F.col("mean")) / F.col("std") >= s.money_z)
+    """Payments ``money_z`` deviations above the sender's mean; amounts are read in hundredths."""
+    return exact_z_scores(payments, "sender", "amount", s.money_rows, s.money_z, 0.01)
 
 
 def contact_chains(calls: DataFrame, s: Settings = Settings()) -> DataFrame:

@@ -93,18 +93,14 @@ def complement(part: Column, whole: Column) -> Column:
 
 
 def running_balance(rows: DataFrame, key: str, order: str, amount: str, start: float, floor: float) -> DataFrame:
-    """``key, order, balance``: after each signed amount, never below the floor. The floor makes it
-    no plain prefix sum, so a key's amounts are folded in order."""
-    lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, amount))).alias("all"))
-    begin = F.struct(F.lit(float(start)).alias("b"), F.array().cast("array<double>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        b = F.greatest(F.lit(float(floor)), acc["b"] + x[amount])
-        return F.struct(b.alias("b"), F.concat(acc["out"], F.array(b)).alias("out"))
-
-    balances = F.aggregate("all", begin, step, lambda acc: acc["out"])
-    zipped = F.explode(F.arrays_zip(F.col("all").alias("x"), balances.alias("y")))
-    return lists.select(key, zipped.alias("z")).select(key, F.col(f"z.x.{order}").alias(order), F.round("z.y", 2).alias("balance"))
+    """``key, order, balance``: after each signed amount, never below the floor, in decimals. With the running
+    sum S of the amounts it is ``S + max(start, max of floor - S so far)``, which two running
+    aggregates give."""
+    number = "decimal(28,8)"
+    along = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = rows.select(key, order, F.sum(F.col(amount).cast(number)).over(along).alias("__sum"))
+    lift = F.greatest(F.lit(start).cast(number), F.max(F.lit(floor).cast(number) - F.col("__sum")).over(along))
+    return sums.withColumn("__lift", lift).select(key, order, F.round(F.col("__sum") + F.col("__lift"), 2).cast("double").alias("balance"))
 
 
 def joined_list(rows: DataFrame, by: str, value: str, separator: str = "; ", empty: str = "NONE") -> DataFrame:

@@ -12,7 +12,10 @@ from .registry import query
 
 SPIKES = f"""WITH {CALLS}, daily AS (
   SELECT entity, ts::DATE AS day, count(*) AS n FROM (SELECT entity_a AS entity, ts FROM calls UNION ALL SELECT entity_b, ts FROM calls) GROUP BY 1, 2),
-own AS (SELECT entity, avg(n) AS mean, stddev_pop(n) AS std, count(*) AS k FROM daily GROUP BY 1)"""
+own AS (SELECT entity, avg(n) AS mean, stddev_pop(n) AS std, count(*) AS k, sum(n)::HUGEINT AS s, sum(n * n)::HUGEINT AS q FROM daily GROUP BY 1)"""
+#: In whole numbers: what lies exactly at the limit counts, whatever the order of sums.
+FAR = "k >= 3 AND k * q > s * s AND k * n > s AND (k * n - s) * (k * n - s) >= 4 * (k * q - s * s)"
+Z = "round((k * n - s)::DOUBLE / sqrt((k * q - s * s)::DOUBLE), 2)"
 
 
 @query("a1_daily_activity", f"WITH {CALLS} SELECT entity, ts::DATE AS day, count(*)::BIGINT AS n FROM (SELECT entity_a AS entity, ts FROM calls UNION ALL SELECT entity_b, ts FROM calls) GROUP BY 1, 2")
@@ -27,14 +30,18 @@ def a2(spark, sf):
     return own.filter("days >= 3 and std > 0").select("entity", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "days")
 
 
-@query("d1_communication_spike", SPIKES + " SELECT entity, day, n::BIGINT AS n, round((n - mean) / std, 2) AS z FROM daily JOIN own USING (entity) WHERE k >= 3 AND std > 0 AND (n - mean) / std >= 2.0")
+@query("d1_communication_spike", SPIKES + f" SELECT entity, day, n::BIGINT AS n, {Z} AS z FROM daily JOIN own USING (entity) WHERE {FAR}")
 def d1(spark, sf):
     return detectors.communication_spikes(calls(spark, sf)).select("entity", "day", "n", "z")
 
 
-@query("d2_financial_anomaly", """WITH own AS (SELECT o_custkey, avg(o_totalprice) AS mean, stddev_pop(o_totalprice) AS std, count(*) AS k FROM orders GROUP BY 1)
-  SELECT o_orderkey AS payment_id, o_custkey AS sender, o_totalprice AS amount, round((o_totalprice - mean) / std, 2) AS z
-  FROM orders JOIN own USING (o_custkey) WHERE k >= 3 AND std > 0 AND (o_totalprice - mean) / std >= 2.5""")
+MONEY = """cents AS (SELECT o_orderkey, o_custkey, o_totalprice, round(o_totalprice * 100)::HUGEINT AS v FROM orders),
+spent AS (SELECT o_custkey, count(*)::HUGEINT AS k, sum(v)::HUGEINT AS s, sum(v * v)::HUGEINT AS q FROM cents GROUP BY 1),
+money AS (SELECT o_orderkey AS payment_id, o_custkey AS sender, o_totalprice AS amount, round((k * v - s)::DOUBLE / sqrt((k * q - s * s)::DOUBLE), 2) AS z
+  FROM cents JOIN spent USING (o_custkey) WHERE k >= 3 AND k * q > s * s AND k * v > s AND 4 * (k * v - s) * (k * v - s) >= 25 * (k * q - s * s))"""
+
+
+@query("d2_financial_anomaly", f"WITH {MONEY} SELECT * FROM money")
 def d2(spark, sf):
     return detectors.amount_outliers(payments(spark, sf)).select("payment_id", "sender", "amount", "z")
 
@@ -80,7 +87,35 @@ def d6(spark, sf):
     return detectors.plate_mismatches(crossings(spark, sf))
 
 
-@query("d7_l3_alerts")
+def _inner(sql: str) -> str:
+    """The tables of a query of the above without the carrier it starts from, and what it selects."""
+    return sql.split("FROM events)", 1)[1].lstrip(", \n")
+
+
+_CHAINS, _CONVOYS, _LOOPS = (_inner(q).replace("one AS", f"one{i} AS").replace("FROM one ", f"FROM one{i} ") for i, q in enumerate((CHAINS, CONVOYS, LOOPS)))
+
+
+def _last(sql: str, name: str) -> str:
+    """``sql``'s tables, its result as the table ``name``."""
+    at = sql.rindex("\nSELECT")
+    return f"{sql[:at]},\n{name} AS ({sql[at + 1 :]})"
+
+
+ALERTS = SPIKES + f""", hits AS (SELECT entity, day, n, {Z} AS z FROM daily JOIN own USING (entity) WHERE {FAR}), {MONEY}, {CROSSINGS},
+{_last(_CHAINS, "chains")}, {_last(_CONVOYS.replace("seen", "met_at"), "convoys")}, {_last(_LOOPS, "loops")},
+raw AS (SELECT 'COMMUNICATION_SPIKE' AS alert_type, 50 + 8 * least(z, 6) AS score, least(90, 50 + 6 * z) AS confidence, entity::VARCHAR AS entities,
+    entity::VARCHAR || ': ' || n::VARCHAR || ' contacts on ' || day::VARCHAR AS summary FROM hits
+  UNION ALL SELECT 'FINANCIAL_ANOMALY', 55 + 7 * least(z, 6), least(92, 55 + 6 * z), sender::VARCHAR, sender::VARCHAR || ': payment of ' || printf('%.2f', amount) FROM money
+  UNION ALL SELECT 'CONTACT_CHAIN', 60 + greatest(0, 10 - gap_min), 65, array_to_string(list_sort(list_distinct([a::VARCHAR, b::VARCHAR, c::VARCHAR])), ','), a::VARCHAR || ' > ' || b::VARCHAR || ' > ' || c::VARCHAR FROM chains
+  UNION ALL SELECT 'COORDINATED_MOVEMENT', 55 + 5 * least(n_vehicles, 8), 60, array_to_string(list_sort(list_distinct(string_split(vehicle_list, ','))), ','), n_vehicles::VARCHAR || ' vehicles at ' || plaza FROM convoys
+  UNION ALL SELECT 'LOCATION_LOOP', 50 + 5 * least(visits, 10), 60, vehicle::VARCHAR, vehicle::VARCHAR || ': ' || visits::VARCHAR || ' visits to ' || plaza FROM loops
+  UNION ALL SELECT 'VEHICLE_IDENTITY_MISMATCH', 88, 80, vehicle::VARCHAR, vehicle::VARCHAR || ': plate differs at ' || plaza FROM crossings WHERE upper(cross_match) = 'MISMATCH'),
+scored AS (SELECT alert_type, round(greatest(0, least(100, score)), 2)::DOUBLE AS score, round(greatest(0, least(100, confidence)), 2)::DOUBLE AS confidence, entities, summary FROM raw),
+ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, confidence DESC, alert_type, entities, summary) AS k FROM scored WHERE score >= 55)
+SELECT format('ALT-{{:05d}}', k) AS alert_id, alert_type, CASE WHEN score >= 85 THEN 'CRITICAL' WHEN score >= 70 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, score, confidence, entities, summary FROM ranked WHERE k <= 100"""
+
+
+@query("d7_l3_alerts", ALERTS)
 def d7(spark, sf):
     c, t = calls(spark, sf), crossings(spark, sf)
     out = detectors.alerts(
@@ -90,7 +125,7 @@ def d7(spark, sf):
     return out.select("alert_id", "alert_type", "severity", "score", "confidence", F.array_join("entities", ",").alias("entities"), "summary")
 
 
-@query("d7_spike_scores", SPIKES + """, hits AS (SELECT entity, day, round((n - mean) / std, 2) AS z FROM daily JOIN own USING (entity) WHERE k >= 3 AND std > 0 AND (n - mean) / std >= 2.0)
+@query("d7_spike_scores", SPIKES + f", hits AS (SELECT entity, day, {Z} AS z FROM daily JOIN own USING (entity) WHERE {FAR})" + """
 SELECT entity, day, round(greatest(0, least(100, 50 + 8 * least(z, 6))), 2) AS score, round(least(90, 50 + 6 * z), 2) AS confidence,
   CASE WHEN 50 + 8 * least(z, 6) >= 85 THEN 'CRITICAL' WHEN 50 + 8 * least(z, 6) >= 70 THEN 'HIGH' WHEN 50 + 8 * least(z, 6) >= 55 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM hits""")
 def d7_spikes(spark, sf):

@@ -257,13 +257,14 @@ def a19(spark, sf):
     return tables.joined_list(table(spark, sf, "supplier").withColumnRenamed("s_name", "reports"), "s_nationkey", "reports")
 
 
-@query("a20_floored_balance", """WITH RECURSIVE x AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice / 1000 ELSE -o_totalprice / 1000 END AS amount,
+@query("a20_floored_balance", """WITH RECURSIVE x AS (SELECT o_custkey, o_orderkey, (CASE WHEN o_orderstatus = 'F' THEN 1 ELSE -1 END * o_totalprice::DECIMAL(18, 2))::DECIMAL(18, 2) * 0.001::DECIMAL(4, 3) AS amount,
   row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
-  f AS (SELECT o_custkey, o_orderkey, k, greatest(500.0, 1000.0 + amount) AS b FROM x WHERE k = 1
-  UNION ALL SELECT x.o_custkey, x.o_orderkey, x.k, greatest(500.0, f.b + x.amount) FROM f JOIN x ON x.o_custkey = f.o_custkey AND x.k = f.k + 1)
-  SELECT o_custkey, o_orderkey, round(b, 2) AS balance FROM f""")
+  f AS (SELECT o_custkey, o_orderkey, k, greatest(500, 1000 + amount)::DECIMAL(28, 8) AS b FROM x WHERE k = 1
+  UNION ALL SELECT x.o_custkey, x.o_orderkey, x.k, greatest(500, f.b + x.amount)::DECIMAL(28, 8) FROM f JOIN x ON x.o_custkey = f.o_custkey AND x.k = f.k + 1)
+  SELECT o_custkey, o_orderkey, round(b, 2)::DOUBLE AS balance FROM f""")
 def a20(spark, sf):
-    signed = F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice") / 1000).otherwise(-F.col("o_totalprice") / 1000)
+    price = F.col("o_totalprice").cast("decimal(18,2)") * F.lit("0.001").cast("decimal(4,3)")
+    signed = F.when(F.col("o_orderstatus") == "F", price).otherwise(-price)
     return tables.running_balance(table(spark, sf, "orders").withColumn("amount", signed), "o_custkey", "o_orderkey", "amount", 1000, 500)
 
 
