@@ -47,20 +47,16 @@ CROSSINGS = """crossings AS (SELECT event_id AS crossing_id, user_id AS vehicle,
   'C' || (user_id % 10)::VARCHAR AS case_id, CASE WHEN value >= 150 THEN 'mismatch' ELSE 'MATCH' END AS cross_match FROM events)"""
 
 
-def large_orders(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").filter("o_totalprice > 480000")
-
-
-def trades(spark: SparkSession, sf: str, orders: DataFrame | None = None) -> DataFrame:
-    """The graph of all orders, or of ``orders``, as edges ``src < dst`` of customers and suppliers."""
-    o = (table(spark, sf, "orders") if orders is None else orders).select("o_orderkey", "o_custkey")
+def trades(spark: SparkSession, sf: str) -> DataFrame:
+    """The graph of all orders as edges ``src < dst`` of customers and suppliers."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
     joined = o.join(li, F.col("o_orderkey") == F.col("l_orderkey"))
     return joined.select(F.concat(F.lit("CUST::"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("SUPP::"), F.col("l_suppkey").cast("string")).alias("dst")).distinct()
 
 
 TRADES = """trades AS (SELECT DISTINCT 'CUST::' || o_custkey::VARCHAR AS src, 'SUPP::' || l_suppkey::VARCHAR AS dst
-  FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_totalprice > 480000)"""
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"""
 
 
 def parts_as_people(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,28 +8,15 @@ from casewell.operators import analytics, detectors, graph
 from casewell.operators.components import connected_components
 from casewell.storage import stored, table
 
-from .carriers import TRADES, large_orders, trades
+from .carriers import TRADES, calls, crossings, payments, trades
 from .registry import query
 
 BOTH = TRADES + ", ways AS (SELECT src AS a, dst AS b FROM trades UNION SELECT dst, src FROM trades)"
 
 
-def trade_query(name, oracle):
-    """Register a query of ``(spark, sf, orders)`` twice: by its name over the large orders that its SQL
-    selects, and as ``<name>_whole`` over all orders, with the same SQL less that condition."""
-
-    def add(f):
-        query(name, oracle)(lambda spark, sf: f(spark, sf, large_orders(spark, sf)))
-        whole = oracle.replace("o_totalprice > 480000 AND ", "").replace(" WHERE o_totalprice > 480000", "")
-        query(f"{name}_whole", whole)(lambda spark, sf: f(spark, sf, table(spark, sf, "orders")))
-        return f
-
-    return add
-
-
-def full(spark, sf, orders):
+def full(spark, sf):
     """The trade graph with the columns of merged edges."""
-    joined = orders.join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    joined = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     mentions = joined.select(
         *graph.mention(
             graph.node_id("CUST", F.col("o_custkey").cast("string")), graph.node_id("SUPP", F.col("l_suppkey").cast("string")), "BOUGHT_FROM",
@@ -54,32 +41,32 @@ def g1(spark, sf):
     return edges.select("src", "dst", "weight", F.array_join("relation_types", ",").alias("relation_types"), F.array_join("case_ids", ",").alias("case_ids"))
 
 
-@trade_query("g3_edge_merge", """SELECT 'CUST::' || o_custkey::VARCHAR AS src, 'SUPP::' || l_suppkey::VARCHAR AS dst, count(*)::DOUBLE AS weight, 'BOUGHT_FROM' AS relation_types,
+@query("g3_edge_merge", """SELECT 'CUST::' || o_custkey::VARCHAR AS src, 'SUPP::' || l_suppkey::VARCHAR AS dst, count(*)::DOUBLE AS weight, 'BOUGHT_FROM' AS relation_types,
   array_to_string(list_sort(list_distinct(list(o_orderpriority))), ',') AS case_ids, least(count(*), 25)::INT AS n_evidence
-  FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_totalprice > 480000 GROUP BY 1, 2""")
-def g3(spark, sf, orders):
-    e = full(spark, sf, orders)
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2""")
+def g3(spark, sf):
+    e = full(spark, sf)
     return e.select("src", "dst", "weight", F.array_join("relation_types", ",").alias("relation_types"), F.array_join("case_ids", ",").alias("case_ids"), F.size("evidence").alias("n_evidence"))
 
 
-@trade_query("g4_j4_cross_case_links", """WITH own AS (SELECT o_custkey AS person, l_partkey AS identifier, list_sort(list_distinct(list(o_orderpriority))) AS cases FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_totalprice > 480000 GROUP BY 1, 2)
+@query("g4_j4_cross_case_links", """WITH own AS (SELECT o_custkey AS person, l_partkey AS identifier, list_sort(list_distinct(list(o_orderpriority))) AS cases FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)
   SELECT a.person AS person_a, b.person AS person_b, 'PART' AS kind, a.identifier, a.cases <> b.cases AS cross_case FROM own a JOIN own b ON a.identifier = b.identifier AND a.person < b.person""")
-def g4(spark, sf, orders):
-    joined = orders.join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+def g4(spark, sf):
+    joined = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     owned = joined.groupBy(F.col("o_custkey").alias("person"), F.col("l_partkey").alias("identifier")).agg(F.array_sort(F.collect_set("o_orderpriority")).alias("case_ids"))
     return graph.shared_identifier_links(owned.withColumn("kind", F.lit("PART")))
 
 
-@trade_query("g5_components", f"""WITH RECURSIVE {BOTH}, reach(a, b) USING KEY (a) AS (SELECT a, min(b) FROM (SELECT a, b FROM ways UNION ALL SELECT a, a FROM ways) GROUP BY 1
+@query("g5_components", f"""WITH RECURSIVE {BOTH}, reach(a, b) USING KEY (a) AS (SELECT a, min(b) FROM (SELECT a, b FROM ways UNION ALL SELECT a, a FROM ways) GROUP BY 1
   UNION SELECT w.a, min(r.b) FROM ways w JOIN reach r ON w.b = r.a JOIN recurring.reach old ON old.a = w.a WHERE r.b < old.b GROUP BY 1)
   SELECT a AS node, b AS root FROM reach""")
-def g5(spark, sf, orders):
-    return connected_components(trades(spark, sf, orders), "src", "dst")
+def g5(spark, sf):
+    return connected_components(trades(spark, sf), "src", "dst")
 
 
-@trade_query("g6_degree", f"WITH {BOTH} SELECT a AS id, count(DISTINCT b)::BIGINT AS n_neighbours, round(count(DISTINCT b) / ((SELECT count(DISTINCT a) FROM ways) - 1.0), 4) AS degree FROM ways GROUP BY 1")
-def g6(spark, sf, orders):
-    return analytics.degree(trades(spark, sf, orders))
+@query("g6_degree", f"WITH {BOTH} SELECT a AS id, count(DISTINCT b)::BIGINT AS n_neighbours, round(count(DISTINCT b) / ((SELECT count(DISTINCT a) FROM ways) - 1.0), 4) AS degree FROM ways GROUP BY 1")
+def g6(spark, sf):
+    return analytics.degree(trades(spark, sf))
 
 
 @query("g7_betweenness")
@@ -117,16 +104,16 @@ def g11(spark, sf):
     return _ranked(spark, sf)[1]
 
 
-@trade_query("g12_s14_ego_graph", f"WITH {BOTH}, near AS (SELECT 'SUPP::1' AS id UNION SELECT b FROM ways WHERE a = 'SUPP::1') SELECT src, dst FROM trades WHERE src IN (SELECT id FROM near) AND dst IN (SELECT id FROM near) AND 'SUPP::1' IN (SELECT a FROM ways)")
-def g12(spark, sf, orders):
-    return graph.ego_graph(stored(trades(spark, sf, orders), "trades"), "SUPP::1", 1).select("src", "dst")
+@query("g12_s14_ego_graph", f"WITH {BOTH}, near AS (SELECT 'SUPP::1' AS id UNION SELECT b FROM ways WHERE a = 'SUPP::1') SELECT src, dst FROM trades WHERE src IN (SELECT id FROM near) AND dst IN (SELECT id FROM near) AND 'SUPP::1' IN (SELECT a FROM ways)")
+def g12(spark, sf):
+    return graph.ego_graph(stored(trades(spark, sf), "trades"), "SUPP::1", 1).select("src", "dst")
 
 
-@trade_query("g12_within_hops", f"""WITH {BOTH}, one AS (SELECT DISTINCT b FROM ways WHERE a = 'SUPP::1'), two AS (SELECT DISTINCT w.b FROM ways w JOIN one ON w.a = one.b),
+@query("g12_within_hops", f"""WITH {BOTH}, one AS (SELECT DISTINCT b FROM ways WHERE a = 'SUPP::1'), two AS (SELECT DISTINCT w.b FROM ways w JOIN one ON w.a = one.b),
   x AS (SELECT a AS id, 0 AS distance FROM ways WHERE a = 'SUPP::1' UNION ALL SELECT b, 1 FROM one UNION ALL SELECT b, 2 FROM two)
   SELECT id, min(distance)::INT AS distance FROM x GROUP BY 1""")
-def g12b(spark, sf, orders):
-    return graph.within_hops(stored(trades(spark, sf, orders), "trades"), "SUPP::1", 2)
+def g12b(spark, sf):
+    return graph.within_hops(stored(trades(spark, sf), "trades"), "SUPP::1", 2)
 
 
 @query("g13_shortest_path")
@@ -134,25 +121,25 @@ def g13(spark, sf):
     return graph.shortest_path(stored(trades(spark, sf), "trades"), "SUPP::1", "SUPP::2").select(F.array_join("path", " > ").alias("path"), "length")
 
 
-@trade_query("g14_neighbours", "SELECT DISTINCT 'CUST::' || o_custkey::VARCHAR AS id, 'BOUGHT_FROM' AS relation_types FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_totalprice > 480000 AND l_suppkey = 1")
-def g14(spark, sf, orders):
-    return graph.neighbours(full(spark, sf, orders), "SUPP::1").withColumn("relation_types", F.array_join("relation_types", ","))
+@query("g14_neighbours", "SELECT DISTINCT 'CUST::' || o_custkey::VARCHAR AS id, 'BOUGHT_FROM' AS relation_types FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_suppkey = 1")
+def g14(spark, sf):
+    return graph.neighbours(full(spark, sf), "SUPP::1").withColumn("relation_types", F.array_join("relation_types", ","))
 
 
-@trade_query("g15_summary", f"WITH {BOTH}, n AS (SELECT count(DISTINCT a) AS nodes FROM ways), m AS (SELECT count(*) AS edges FROM trades) SELECT nodes::BIGINT AS nodes, edges::BIGINT AS edges, round(2.0 * edges / (nodes * (nodes - 1.0)), 5) AS density FROM n, m")
-def g15(spark, sf, orders):
-    e = full(spark, sf, orders)
+@query("g15_summary", f"WITH {BOTH}, n AS (SELECT count(DISTINCT a) AS nodes FROM ways), m AS (SELECT count(*) AS edges FROM trades) SELECT nodes::BIGINT AS nodes, edges::BIGINT AS edges, round(2.0 * edges / (nodes * (nodes - 1.0)), 5) AS density FROM n, m")
+def g15(spark, sf):
+    e = full(spark, sf)
     return graph.summary(graph.nodes_of(e), e)
 
 
-@trade_query("g15_node_types", f"WITH {BOTH} SELECT split_part(a, '::', 1) AS type, count(DISTINCT a)::BIGINT AS n FROM ways GROUP BY 1")
-def g15b(spark, sf, orders):
-    return graph.nodes_of(full(spark, sf, orders)).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+@query("g15_node_types", f"WITH {BOTH} SELECT split_part(a, '::', 1) AS type, count(DISTINCT a)::BIGINT AS n FROM ways GROUP BY 1")
+def g15b(spark, sf):
+    return graph.nodes_of(full(spark, sf)).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@trade_query("g16_find_case", f"WITH {BOTH} SELECT DISTINCT a AS id FROM ways WHERE lower(a) = 'supp::1' OR split_part(a, '::', 2) = 'supp::1'")
-def g16(spark, sf, orders):
-    return graph.find_case(graph.nodes_of(full(spark, sf, orders)), "Supp::1").select("id")
+@query("g16_find_case", f"WITH {BOTH} SELECT DISTINCT a AS id FROM ways WHERE lower(a) = 'supp::1' OR split_part(a, '::', 2) = 'supp::1'")
+def g16(spark, sf):
+    return graph.find_case(graph.nodes_of(full(spark, sf)), "Supp::1").select("id")
 
 
 @query("g18_case_map", """SELECT s_suppkey AS case_id, 'Case' AS layer, n_name AS place FROM supplier JOIN nation ON s_nationkey = n_nationkey
@@ -166,10 +153,10 @@ def g18(spark, sf):
     return case_map(cases, {"Bank Counterparty": (parties, 5)}).select("case_id", "layer", "place")
 
 
-@trade_query("e13_alias_merge", """WITH m AS (SELECT 'CUST::' || (o_custkey // 2)::VARCHAR AS src, 'SUPP::' || l_suppkey::VARCHAR AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_totalprice > 480000)
+@query("e13_alias_merge", """WITH m AS (SELECT 'CUST::' || (o_custkey // 2)::VARCHAR AS src, 'SUPP::' || l_suppkey::VARCHAR AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
   SELECT src, dst, count(*)::DOUBLE AS weight, least(count(*), 25)::INT AS n_evidence FROM m GROUP BY 1, 2""")
-def e13(spark, sf, orders):
-    e = full(spark, sf, orders)
+def e13(spark, sf):
+    e = full(spark, sf)
     ids = graph.nodes_of(e).filter("type = 'CUST'").select(F.col("id").alias("alias"), F.concat(F.lit("CUST::"), F.floor(F.col("label").cast("long") / 2).cast("string")).alias("canonical"))
     out = graph.apply_aliases(e, ids)
     return out.select("src", "dst", "weight", F.size("evidence").alias("n_evidence"))
@@ -181,6 +168,22 @@ def d8(spark, sf):
     return detectors.structural_alerts(ranked, analytics.bridges(e))
 
 
+@query("d7_alerts_of_all_sources")
+def d7_all(spark, sf):
+    """The eight sources of alerts in one ranking: six detectors, bridge entities and large communities."""
+    e = stored(trades(spark, sf), "trades")
+    c, t = calls(spark, sf), crossings(spark, sf)
+    b = analytics.bridges(e)
+    ends = b.select(F.col("src").alias("id")).union(b.select("dst")).distinct()
+    clusters = detectors.emerging_clusters(analytics.label_communities(e).select("community_id", "size").distinct())
+    out = detectors.alerts(
+        detectors.communication_spikes(c), detectors.amount_outliers(payments(spark, sf)), detectors.contact_chains(c),
+        detectors.coordinated_movement(t), detectors.location_loops(t), detectors.plate_mismatches(t), ends, clusters,
+        detectors.Settings(alert_limit=None),
+    )
+    return out.select("alert_id", "alert_type", "severity", "score", "confidence", F.array_join("entities", ",").alias("entities"), "summary")
+
+
 @query("d7_j5_bridge_entities")
 def d7(spark, sf):
     e, ranked = _ranked(spark, sf)

@@ -21,14 +21,15 @@ def all_nodes():
     return {x for (x,) in connection(SF).execute(sql).fetchall()}
 
 
-@pytest.mark.parametrize("name", ["g7_betweenness", "g8_eigenvector", "g10_communities", "g10_label_communities", "g6_degree_whole"])
+@pytest.mark.parametrize("name", ["g7_betweenness", "g8_eigenvector", "g10_communities", "g10_label_communities", "g6_degree"])
 def test_every_node_is_measured(spark, sf, all_nodes, name):
     assert {r.id for r in registry.QUERIES[name](spark, sf).select("id").collect()} == all_nodes
 
 
-def test_whole_queries_name_no_price():
-    whole = [n for n in registry.ORACLES if n.endswith("_whole")]
-    assert len(whole) == 11 and not any("o_totalprice" in registry.ORACLES[n] for n in whole)
+def test_graph_queries_take_all_orders():
+    graph = [n for n in registry.ORACLES if n.startswith(("g", "e13"))]
+    assert len(graph) >= 12 and not any("o_totalprice" in registry.ORACLES[n] for n in graph)
+    assert not any(n.endswith("_whole") for n in registry.QUERIES)
 
 
 def naive_betweenness(pairs):
