@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .text import md5_div_modulo, md5_modulo
 
-#: The three layouts of times in the tables, and of camera metadata.
+#: The layouts of times in the tables (dates before months with and without seconds), and of
+#: camera metadata.
 TIME_LAYOUTS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm")
 EXIF_LAYOUTS = ("yyyy:MM:dd HH:mm:ss", "yyyy:MM:dd HH:mm")
 

@@ -26,7 +26,22 @@ def f1(spark, sf):
     return part(spark, sf).select("p_partkey", text.comparable_name(titled()).alias("name"))
 
 
-@query("f2_f3_phonetic_key")
+def sound(word: str) -> str:
+    """Soundex of a word of letters as SQL: codes, letters without one removed after the first (H, W), runs
+    made one, vowels removed."""
+    x = f"translate(upper({word}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230129022455012623019202')"
+    x = f"left({x}, 1) || replace(substr({x}, 2), '9', '')"
+    for digit in "123456":
+        x = f"regexp_replace({x}, '{digit}+', '{digit}', 'g')"
+    return f"CASE WHEN {word} = '' THEN '0000' ELSE upper(left({word}, 1)) || left(replace(substr({x}, 2), '0', '') || '000', 3) END"
+
+
+def sound_key(words: str) -> str:
+    return f"({sound(f'{words}[1]')}) || '-' || ({sound(f'{words}[-1]')})"
+
+
+@query("f2_f3_phonetic_key", f"""WITH p AS (SELECT p_partkey, regexp_replace(p_name, '[^A-Za-z]', '', 'g') AS letters, string_split({BARE.format(x="p_name")}, ' ') AS words FROM part)
+  SELECT p_partkey, {sound("letters")} AS sound, {sound_key("words")} AS key FROM p""")
 def f2(spark, sf):
     return part(spark, sf).select("p_partkey", text.sound_code(F.col("p_name")).alias("sound"), text.phonetic_key(F.col("p_name")).alias("key"))
 
@@ -227,7 +242,14 @@ def f52(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", text.md5_modulo(c, 1000).alias("h"), text.md5_div_modulo(c, 240, 240).alias("k"))
 
 
-@query("f52_j12_coordinates")
+KNOWN = ", ".join(f"({i}, '{n}', {a}, {b})" for i, (n, a, b) in enumerate(values.PLACES))
+
+
+@query("f52_j12_coordinates", f"""WITH n AS (SELECT n_name, lower(CASE WHEN n_nationkey % 2 = 0 THEN 'Vashi Toll Plaza, Mumbai' ELSE n_name END) AS key FROM nation),
+  k AS (SELECT *, ('0x' || md5(key))::UHUGEINT AS h, ('0x' || md5(key || n_name))::UHUGEINT AS g FROM n),
+  f AS (SELECT n_name, arg_min(lat, i) AS lat, arg_min(lon, i) AS lon FROM n JOIN (VALUES {KNOWN}) p(i, name, lat, lon) ON contains(key, name) OR contains(name, key) GROUP BY 1)
+  SELECT k.n_name, round(coalesce(f.lat, 18.90 + (h % 1000)::DOUBLE / 1000 * (19.25 - 18.90)) + ((g % 240)::DOUBLE - 120) / 100000 * 5, 6) AS lat,
+    round(coalesce(f.lon, 72.85 + (h // 1000 % 1000)::DOUBLE / 1000 * (73.15 - 72.85)) + ((g // 240 % 240)::DOUBLE - 120) / 100000 * 5, 6) AS lon FROM k LEFT JOIN f USING (n_name)""")
 def f52_places(spark, sf):
     place = F.when(F.col("n_nationkey") % 2 == 0, F.lit("Vashi Toll Plaza, Mumbai")).otherwise(F.col("n_name"))
     p = values.coordinates(place, F.col("n_name"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from casewell.storage import new_path
 from casewell.streaming import detectors
 
-from .carriers import CALLS, calls, crossings
+from .carriers import CALLS, CROSSINGS, calls, crossings
 from .registry import query
 
 
@@ -24,17 +24,23 @@ def follow(spark, sf):
     return detectors.follow(a, b, ("v1", "v2"), ("ts1", "ts2"), 30).select("id1", "id2")
 
 
-@query("stream_visits")
+@query("stream_visits", f"""WITH {CROSSINGS}, g AS (SELECT vehicle, plaza, ts, coalesce(ts >= lag(ts) OVER w + INTERVAL 48 HOUR, true) AS new FROM crossings WINDOW w AS (PARTITION BY vehicle, plaza ORDER BY ts)),
+  s AS (SELECT vehicle, plaza, ts, sum(new::INT) OVER (PARTITION BY vehicle, plaza ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS no FROM g)
+  SELECT vehicle, plaza, min(ts)::TIMESTAMP AS first_ts, count(*)::BIGINT AS n_visits FROM s GROUP BY vehicle, plaza, no HAVING count(*) >= 3""")
 def visits(spark, sf):
-    return detectors.visits(crossings(spark, sf))
+    return detectors.visits(crossings(spark, sf)).withColumn("first_ts", F.col("first_ts").cast("timestamp_ntz"))
 
 
-@query("stream_convoys_finished")
+@query("stream_convoys_finished", f"""WITH {CROSSINGS}, w AS (SELECT plaza, vehicle, time_bucket(INTERVAL 10 MINUTE, ts) - to_minutes((unnest([0, 10]))::INT) AS start_ts FROM crossings)
+  SELECT plaza, start_ts, array_to_string(list_sort(list_distinct(list(vehicle))), ',') AS vehicles FROM w GROUP BY 1, 2 HAVING count(DISTINCT vehicle) >= 2""")
 def convoys(spark, sf):
-    """The events as a stream of one batch, written and read back."""
+    """The events as a finished stream, written and read back. A last row, far later and of no vehicle, lets the
+    watermark pass all windows, so that none is held back when the stream ends."""
     source, out, state = new_path(spark, "source"), new_path(spark, "stream"), new_path(spark, "state")
-    rows = crossings(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    rows.write.parquet(source)
+    rows = crossings(spark, sf).select("plaza", "vehicle", F.col("ts").cast("timestamp").alias("ts"))
+    end = rows.agg((F.max("ts") + F.expr("interval 1 day")).alias("ts")).select(F.lit(None).cast("string").alias("plaza"), F.lit(None).cast("long").alias("vehicle"), "ts")
+    rows.unionByName(end.filter("ts is not null")).write.parquet(source)
     stream = spark.readStream.schema(rows.schema).parquet(source)
     detectors.run_once(detectors.convoys(stream), out, state)
-    return spark.read.schema("plaza string, start_ts timestamp, vehicles array<long>").parquet(out).withColumn("vehicles", F.array_join(F.transform("vehicles", lambda v: v.cast("string")), ","))
+    found = spark.read.schema("plaza string, start_ts timestamp, vehicles array<long>").parquet(out)
+    return found.select("plaza", F.col("start_ts").cast("timestamp_ntz").alias("start_ts"), F.array_join(F.transform("vehicles", lambda v: v.cast("string")), ",").alias("vehicles"))

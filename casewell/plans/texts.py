@@ -49,14 +49,22 @@ def s5(spark, sf):
     return timeline.report_lines(head.unionByName(body), case_of_header(F.col("text")), finding)
 
 
-@query("f22_f24_form_fields", "SELECT p_partkey, p_type AS district, p_name AS informant_name, 'IPC 1860 Section 303' AS acts_sections, 'Theft' AS case_type, 'Flat 4, ' || p_brand AS informant_address, 'Unknown man' AS accused_name_alias FROM part")
+@query("f22_f24_form_fields", """SELECT p_partkey, p_type AS district, p_name AS informant_name, 'Flat 4, ' || p_brand AS informant_address,
+  CASE p_partkey % 3 WHEN 0 THEN 'IPC 1860 Section 303' WHEN 1 THEN 'Nyaya Sanhita, 2023 Section 318(4)' ELSE 'Motor Act' END AS acts_sections,
+  CASE p_partkey % 3 WHEN 0 THEN 'Theft' WHEN 1 THEN 'Cyber Fraud' ELSE '' END AS case_type,
+  CASE p_partkey % 3 WHEN 2 THEN '' ELSE 'Unknown man' END AS accused_name_alias FROM part""")
 def f22(spark, sf):
+    """Forms of three layouts: one act with a code, an act over two lines, neither code nor accused."""
+    which = lambda *parts: F.element_at(F.array(*[F.lit(p) for p in parts]), (F.col("p_partkey") % 3 + 1).cast("int"))
     form = F.concat(
-        F.lit("District\n(native):\n"), F.col("p_type"), F.lit("\nActs Sections\n1\nIPC 1860\n303\n(a)\nName\n(native) :\n"), F.col("p_name"),
-        F.lit("\nAddress\n(native)::\nNo Type\n1\ncurrent\nFlat 4,\n"), F.col("p_brand"), F.lit("\n2\nDetails of known accused\nPresent Address(native))\n1\nअज्ञात man\n"),
+        F.lit("District\n(native):\n"), F.col("p_type"), F.lit("\nActs Sections\n"), which("1\nIPC 1860\n303\n", " 1 \n\nNyaya\n Sanhita, 2023\n318(4)\n", "2\nMotor Act\n"),
+        F.lit("(a)\nName\n(native) :\n"), F.col("p_name"), F.lit("\nAddress\n(native)::\nNo Type\n1\ncurrent\nFlat 4,\n"), F.col("p_brand"),
+        which("\n2\nDetails of known accused\nPresent Address(native))\n1\nअज्ञात man\n", "\n2\nother\nElsewhere\nDetails of known accused\n(x) Present Address(native))\n\n1\n अज्ञात man \nHere\n", "\n2\n"),
     )
     out = extraction.form_fields(table(spark, sf, "part").select("p_partkey", form.alias("form")), "form")
-    return out.select("p_partkey", "district", "informant_name", "acts_sections", "case_type", "informant_address", "accused_name_alias")
+    # without a code the act runs on to what follows it
+    first = F.when(F.col("p_partkey") % 3 == 2, F.left("acts_sections", F.lit(9))).otherwise(F.col("acts_sections"))
+    return out.select("p_partkey", "district", "informant_name", first.alias("acts_sections"), "case_type", "informant_address", "accused_name_alias")
 
 
 @query("v1_f36_stride_chunks", """SELECT doc_id, k::INT AS chunk_no, substr(text, (k * 1350 + 1)::BIGINT, 1500) AS chunk
