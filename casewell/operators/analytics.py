@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewell.functions.values import risk_tier
-from casewell.storage import stored
+from casewell.storage import discard, stored
 
 from .components import connected_components
 from .frames import running
@@ -102,9 +102,11 @@ def betweenness(edges: DataFrame, most: int = MOST_EDGES) -> DataFrame:
 
 def eigenvector(edges: DataFrame, rounds: int = 1000, tolerance: float = 1e-6, most: int = MOST_EDGES) -> DataFrame:
     """``id, eigenvector``: power iteration with the identity added, from equal values, until the sum of
-    changes is below ``n * tolerance``; zeros for all without convergence; to four digits."""
-    _checked(edges, most)
-    spark = edges.sparkSession
+    changes is below ``n * tolerance``; zeros for all without convergence; to four digits. Above
+    ``most`` edges the same iteration is done by joins."""
+    spark, kind = edges.sparkSession, edges.schema["src"].dataType.simpleString()
+    if edges.count() > most:
+        return _eigenvector_by_joins(edges, rounds, tolerance)
     names, near = _adjacency(edges)
     n = len(names)
     src = np.repeat(np.arange(n), [len(x) for x in near])
@@ -117,12 +119,30 @@ def eigenvector(edges: DataFrame, rounds: int = 1000, tolerance: float = 1e-6, m
         if np.abs(x - last).sum() < n * tolerance:
             good = True
             break
-    values = x if good else np.zeros(n)
-    frame = pd.DataFrame({"id": names, "eigenvector": values})
-    rows = spark.createDataFrame(frame, f"id {edges.schema['src'].dataType.simpleString()}, eigenvector double")
+    rows = spark.createDataFrame(pd.DataFrame({"id": names, "eigenvector": x if good else np.zeros(n)}), f"id {kind}, eigenvector double")
     return rows.select("id", F.round("eigenvector", 4).alias("eigenvector"))
 
 
+def _eigenvector_by_joins(edges: DataFrame, rounds: int, tolerance: float) -> DataFrame:
+    """A round is one join of the edges with the values and one aggregate; its values are stored, those of the
+    round before deleted."""
+    ways = stored(both_ways(edges).distinct(), "ways")
+    own = ways.select(F.col("src").alias("id")).distinct()
+    n = own.count()
+    now = stored(own.withColumn("x", F.lit(1.0 / max(n, 1))), "values")
+    for _ in range(rounds):
+        sent = ways.join(now.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "x").unionByName(now)
+        raw = stored(sent.groupBy("id").agg(F.sum("x").alias("x")), "values")
+        norm = raw.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0
+        new = stored(raw.withColumn("x", F.col("x") / norm), "values")
+        off = new.join(now.withColumnRenamed("x", "was"), "id").agg(F.sum(F.abs(F.col("x") - F.col("was")))).first()[0] or 0.0
+        discard(raw, now)
+        now = new
+        if off < n * tolerance:
+            return now.select("id", F.round("x", 4).alias("eigenvector"))
+    return now.select("id", F.lit(0.0).alias("eigenvector"))
+
+
 def _by_component(edges: DataFrame) -> DataFrame:
     roots = connected_components(edges, "src", "dst")
     return stored(edges.select("src", "dst").distinct().join(roots.withColumnRenamed("node", "src"), "src"), "parts")

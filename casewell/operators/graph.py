@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewell.functions.text import account, display_name, person_and_role, phone_digits, plate, vehicles_of
@@ -99,8 +99,6 @@ def merge_edges(mentions: DataFrame, most: int = MOST_EVIDENCE) -> DataFrame:
     Weight and sets aggregate map-side. Only mentions with evidence are ranked, and the rank
     limit is applied before their shuffle, so a hot edge sends at most ``most`` rows a task.
     """
-    from pyspark.sql import Window
-
     ends = mentions.withColumn("a", F.least("src", "dst")).withColumn("b", F.greatest("src", "dst")).filter("src is not null and dst is not null and src <> dst")
     sums = ends.groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("weight"), sorted_set("relation").alias("relation_types"), sorted_set("case_id").alias("case_ids"))
     first = Window.partitionBy("a", "b").orderBy("seq", "relation", "evidence")
@@ -125,6 +123,7 @@ def first_known(rows: DataFrame, key: str, values: list[str], seq: str = "seq")
 def shared_identifier_links(owned: DataFrame) -> DataFrame:
     """``person, identifier, kind, case_ids`` to pairs of persons that share an identifier:
     ``person_a < person_b, kind, identifier, cross_case``; ``cross_case`` if their cases differ."""
+    owned = stored(owned.select("person", "identifier", "kind", "case_ids"), "owned")  # a join of plain shuffles, in which a hot identifier is split
     a = owned.select(F.col("person").alias("person_a"), "identifier", "kind", F.col("case_ids").alias("cases_a"))
     b = owned.select(F.col("person").alias("person_b"), "identifier", "kind", F.col("case_ids").alias("cases_b"))
     differ = (F.size(F.array_except("cases_a", "cases_b")) + F.size(F.array_except("cases_b", "cases_a"))) > 0
@@ -133,15 +132,20 @@ def shared_identifier_links(owned: DataFrame) -> DataFrame:
 
 def apply_aliases(edges: DataFrame, aliases: DataFrame) -> DataFrame:
     """Edges with ends moved to their canonical node (``alias, canonical``) and merged again:
-    weights add up, sets unite, evidence stays capped, edges within one entity go."""
+    weights add up, sets unite, evidence stays capped, edges within one entity go. The cap is
+    applied before the evidence is gathered, so a hot edge is no large group."""
     moved = edges
     for end in ("src", "dst"):
         names = aliases.select(F.col("alias").alias(end), F.col("canonical").alias("__to"))
         moved = moved.join(names, end, "left").withColumn(end, F.coalesce("__to", end)).drop("__to")
-    moved = moved.withColumn("a", F.least("src", "dst")).withColumn("b", F.greatest("src", "dst")).filter("src <> dst")
-    flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    evidence = F.slice(F.array_sort(F.flatten(F.collect_list("evidence"))), 1, MOST_EVIDENCE)
-    out = moved.groupBy("a", "b").agg(F.sum("weight").alias("weight"), flat("relation_types").alias("relation_types"), flat("case_ids").alias("case_ids"), evidence.alias("evidence"))
+    moved = moved.withColumn("a", F.least("src", "dst")).withColumn("b", F.greatest("src", "dst")).filter("src <> dst").select("a", "b", "weight", "relation_types", "case_ids", "evidence")
+    moved = stored(moved, "moved")
+    sets = {c: moved.select("a", "b", F.explode(c).alias(c)).groupBy("a", "b").agg(sorted_set(c).alias(c)) for c in ("relation_types", "case_ids")}
+    first = Window.partitionBy("a", "b").orderBy("e")
+    kept = moved.select("a", "b", F.explode("evidence").alias("e")).withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= MOST_EVIDENCE)
+    out = moved.groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+    for c, rows in (*sets.items(), ("evidence", kept.groupBy("a", "b").agg(F.array_sort(F.collect_list("e")).alias("evidence")))):
+        out = out.join(rows, ["a", "b"], "left").withColumn(c, F.coalesce(c, F.array().cast(moved.schema[c].dataType)))
     return out.withColumnsRenamed({"a": "src", "b": "dst"})
 
 

@@ -25,4 +25,4 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from . import detection, graphs, matching, media, relational, scalars, sources_, streams, texts  # noqa: E402, F401
+from . import answers, detection, graphs, matching, media, relational, scalars, sources_, streams, texts  # noqa: E402, F401

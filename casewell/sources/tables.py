@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casewell.functions.text import clean_na
 
+EMBED_AT_ONCE = 100
 #: Columns that are not text, of all tables; times stay text until they are parsed.
 LONGS = frozenset(
     "Year Days_Offset_N Informant_Age Victim_Age Number_of_Accused Accused_Height_cm Total_Property_Value_INR Amount_INR Balance_INR Amount Risk_Score Age"
@@ -74,6 +78,18 @@ def write_report(rows: DataFrame, path: str, text_col: str = "report") -> None:
     rows.select(text_col).write.mode("overwrite").text(path)
 
 
+def embedded(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], text_col: str = "chunk", batch: int = EMBED_AT_ONCE) -> DataFrame:
+    """``chunks`` with ``embedding array<float>`` by ``embed``, a function of a list of texts that runs on the
+    executors, ``batch`` texts a call. Null texts are embedded as empty ones."""
+
+    @F.pandas_udf("array<float>")
+    def of_texts(texts: pd.Series) -> pd.Series:
+        filled = texts.fillna("").tolist()
+        return pd.Series([v for at in range(0, len(filled), batch) for v in embed(filled[at : at + batch])], dtype="object")
+
+    return chunks.withColumn("embedding", of_texts(F.col(text_col)))
+
+
 def append_vectors(vectors: DataFrame, path: str) -> None:
     vectors.write.mode("append").parquet(path)
 
