@@ -31,6 +31,7 @@ MOST_LABELS = 8_000  # labelled documents, about, that the logistic model is fit
 BROADCAST_PLACES = 100_000
 CLIP = 1e-6
 ARROW_ROWS = 1000
+TEXT_BYTES = 1 << 17  # of texts whose features are made in one go
 TARGETS = ("quality", "toxic")
 
 
@@ -51,7 +52,7 @@ def fit_evidence(texts: DataFrame, labels: DataFrame, most_labels: int = MOST_LA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, at, raw in chunks(batch.column(3)):
+            for i, j, at, raw in chunks(batch.column(3), TEXT_BYTES):
                 owner, bucket, shape = evidence.features(at, raw)
                 cuts = np.searchsorted(owner, np.arange(j - i + 1)).astype(np.int32)
                 buckets = pa.ListArray.from_arrays(cuts, pa.array(bucket.astype(np.int32)))
@@ -91,7 +92,7 @@ def score(texts: DataFrame, models: dict[str, tuple[evidence.Evidence, float]])
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             *others, text = batch.columns
-            for i, j, at, raw in chunks(text):
+            for i, j, at, raw in chunks(text, TEXT_BYTES):
                 f = evidence.features(at, raw)
                 p = [pa.array(1 / (1 + np.exp(-np.clip(m.log_odds(*f), -30, 30)))) for m in shared.value.values()]
                 yield pa.RecordBatch.from_arrays([*[c[i:j] for c in others], *p], [*batch.schema.names[:-1], *[f"p_{t}" for t in shared.value]])

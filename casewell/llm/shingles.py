@@ -100,15 +100,15 @@ def shingles(at: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return keys & np.uint64((1 << HASH_BITS) - 1), counts, cuts
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of texts of about ``CHUNK_BYTES`` (a longer text is a run of its own): first, end,
+def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of texts of about ``size`` bytes (a longer text is a run of its own): first, end,
     offsets and bytes. Null texts are empty."""
     if len(texts) == 0:
         return
     at, raw = _buffers(texts)
     i = 0
     while i < len(texts):
-        j = int(np.searchsorted(at, at[i] + CHUNK_BYTES, "right")) - 1
+        j = int(np.searchsorted(at, at[i] + size, "right")) - 1
         j = min(max(j, i + 1), i + 60_000, len(texts))
         yield i, j, at[i : j + 1], raw
         i = j
