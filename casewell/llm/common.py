@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from casewell.storage import discard, new_path, scratch, shared_dir, stored, table
 
-__all__ = ["Sieve", "arrow_rows", "ascii_lower", "discard", "drop_keys", "hash_sample", "literal_rows", "new_path", "scratch", "shared_dir", "stored", "table", "trimmed", "whole_texts"]
+__all__ = ["Sieve", "arrow_rows", "ascii_lower", "discard", "drop_keys", "give_back", "hash_sample", "literal_rows", "new_path", "scratch", "shared_dir", "stored", "table", "trimmed", "whole_texts"]
 
 
 def ascii_lower(c: Column) -> Column:
@@ -45,6 +45,14 @@ def whole_texts(spark: SparkSession, n: int = 1000) -> None:
         spark.conf.set(name, str(n))
 
 
+def give_back() -> None:
+    """Free what is no longer used, to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def trimmed(run):
     """A batch function that gives memory back when its task ends: Spark keeps its Python workers, and
     what their allocators hold counts against the executor until the next task."""
@@ -52,10 +60,7 @@ def trimmed(run):
     @wraps(run)
     def whole(batches):
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with suppress(OSError, AttributeError):  # where the C library has no such call
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return whole
 

@@ -24,10 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import evidence
-from .common import arrow_rows, discard, hash_sample, stored, trimmed
+from .common import arrow_rows, discard, give_back, hash_sample, stored, trimmed
 from .shingles import chunks
 
-MOST_LABELS = 8_000  # labelled documents, about, that the logistic model is fitted on
+MOST_LABELS = 6_000  # labelled documents, about, that the logistic model is fitted on
 BROADCAST_PLACES = 100_000
 CLIP = 1e-6
 ARROW_ROWS = 1000
@@ -65,23 +65,31 @@ def fit_evidence(texts: DataFrame, labels: DataFrame, most_labels: int = MOST_LA
         stored_sample = stored(found, "sample", narrow=True)
     sample = stored_sample.toArrow().combine_chunks()
     order = np.argsort(sample.column("doc_id").to_numpy())
-    size = np.diff(sample.column("buckets").chunk(0).offsets.to_numpy()) if len(order) else np.zeros(0, np.int64)
-    bucket = sample.column("buckets").chunk(0).flatten().to_numpy() if len(order) else np.zeros(0, np.int32)
-    shape = np.array(sample.column("shape").to_pylist(), float).reshape(-1, len(evidence.SHAPE))[order]
     labelled = {t: sample.column(t).to_numpy()[order] for t in TARGETS}
+    shape = np.array(sample.column("shape").to_pylist(), float).reshape(-1, len(evidence.SHAPE))[order]
+    owner = bucket = np.zeros(0, np.int32)
+    if len(order):
+        lists = sample.column("buckets").chunk(0)
+        cuts, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        bucket = np.concatenate([flat[cuts[i] : cuts[i + 1]] for i in order])
+        owner = np.repeat(np.arange(len(order), dtype=np.int32), np.diff(cuts)[order])
+        del lists, flat
     del sample
     discard(known, stored_sample)
-    start = (np.cumsum(size) - size)[order]
-    at = np.repeat(start - np.cumsum(size[order]) + size[order], size[order]) + np.arange(size.sum())
-    owner, bucket = np.repeat(np.arange(len(order), dtype=np.int32), size[order]), bucket[at]
-    del at
+    give_back()
     out = {}
     for t, y in labelled.items():
         has = np.isfinite(y)
         if len(set(y[has])) < 2:
             continue
-        place, mine = np.cumsum(has, dtype=np.int32) - np.int32(1), has[owner]
-        out[t] = evidence.fit(place[owner[mine]], bucket[mine], shape[has], y[has]), float(y[has].mean())
+        if has.all():
+            model = evidence.fit(owner, bucket, shape, y)
+        else:
+            place, mine = np.cumsum(has, dtype=np.int32) - np.int32(1), has[owner]
+            model = evidence.fit(place[owner[mine]], bucket[mine], shape[has], y[has])
+        out[t] = model, float(y[has].mean())
+    del owner, bucket
+    give_back()
     return out
 
 
