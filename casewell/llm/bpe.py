@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, trimmed, whole_texts
+from .common import give_back, stored, trimmed, whole_texts
 from .lexicon import Lexicon, compile_lexicon
 
 LEXICON_WORDS = 262_144
@@ -190,6 +190,7 @@ def encode(
     spark = docs.sparkSession
     whole_texts(spark)
     shared = spark.sparkContext.broadcast((Vocabulary(vocabulary_path), build_lexicon(docs, vocabulary_path, text_col, words)))
+    give_back()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, packed = shared.value

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from casewell.operators.components import connected_components
 
-from .common import Sieve, arrow_rows, discard, stored, trimmed
+from .common import Sieve, arrow_rows, discard, give_back, stored, trimmed
 from .shingles import chunks, mix64, shingles
 
 SIMILARITY = 0.8
@@ -359,6 +359,7 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, similarity: fl
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     total, size = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     weights = spark.sparkContext.broadcast(Weights(total, *_document_frequency(texts, size)))  # at most 1 / RARE shingles
+    give_back()
     rows_ = stored(_sketch(texts, weights, bands, rows), "sketch")
     rows_, nodes = _nodes(rows_)
     real = rows_.filter("node <> 0 and doc_id is not null")
