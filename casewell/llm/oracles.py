@@ -106,4 +106,54 @@ SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secr
 """
 
 
-ORACLES = {"op2_warc_revisits": op2(), "op4_mix_sources": OP4, "op5_url_filter": op5(), "op7_line_dedup": OP7, "op8_exact_dedup": OP8, "op10_secret_scan": op10()}
+#: CRC-32 of a blob's bytes by its table of 256 entries, made from the reflected polynomial.
+CRC_TABLE = "crc AS (SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) r(i))"
+
+
+def crc32(blob: str) -> str:
+    """An expression over a row that also has ``tab``."""
+    hexed = f"hex({blob})"
+    each = f"list_transform(range(1, length({hexed}) + 1, 2), lambda p: ('0x' || substr({hexed}, p, 2))::BIGINT)"
+    return f"xor(4294967295::BIGINT, list_reduce([4294967295::BIGINT] || {each}, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])))"
+
+
+def op11() -> str:
+    return f"""
+WITH {CRC_TABLE},
+o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '')) AS place FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {crc32("encode(conv_id::VARCHAR)")} % 9 AS h, n FROM (SELECT conv_id, count(*) AS n FROM o GROUP BY 1), crc),
+b AS (SELECT c.*, least(h, coalesce(d.n, 0)) AS taken FROM c LEFT JOIN (SELECT conv_id AS base, n FROM c) d USING (base)),
+r AS (SELECT b.conv_id, place AS depth, role, text FROM b JOIN o ON o.conv_id = base AND place <= h
+  UNION ALL SELECT b.conv_id, taken + place - h, role, text FROM b JOIN o ON o.conv_id = b.conv_id AND place > h),
+whole AS (SELECT b.conv_id, coalesce(list(struct_pack(role, text) ORDER BY depth) FILTER (depth IS NOT NULL), []) AS turns FROM b LEFT JOIN r USING (conv_id) GROUP BY 1),
+p AS (SELECT conv_id, len(turns) AS len, d AS depth, turns[1:d] AS prefix, turns[1:d - 1] AS before FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM whole)),
+n AS (SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(before) AS before, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len = depth) AS ends,
+  (count(*) - 1) * coalesce(octet_length(encode(any_value(prefix)[depth].text)), 0) AS saved FROM p GROUP BY 1, 2),
+k AS (SELECT depth - 1 AS depth, before AS prefix, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (depth, prefix)),
+s AS (SELECT a.depth, a.prefix, count(*) FILTER (z.n_children = 0) AS n_leaves, sum(z.saved) AS saved_tokens FROM f z JOIN p ON p.conv_id = z.conv_id AND p.depth <= z.depth JOIN f a ON a.depth = p.depth AND a.prefix = p.prefix GROUP BY 1, 2)
+SELECT f.conv_id, f.depth::BIGINT AS depth, m.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(f.ends, '')) AS ends_sha256
+FROM f JOIN s USING (depth, prefix) LEFT JOIN f m ON m.depth = f.depth - 1 AND m.prefix = f.before
+"""
+
+
+def op12() -> str:
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH {CRC_TABLE},
+d AS (SELECT row_number() OVER () AS row_no, doc_id, {words} AS words FROM documents),
+w AS (SELECT row_no, unnest(words) AS word FROM d),
+t AS (SELECT unnest({words}) AS word FROM benchmark),
+h AS (SELECT word, {crc32("encode(word)")} % 10000 AS bucket FROM (SELECT word FROM w UNION SELECT word FROM t), crc),
+s AS (SELECT bucket, count(*) AS s FROM w JOIN h USING (word) GROUP BY 1),
+q AS (SELECT bucket, count(*) AS t FROM t JOIN h USING (word) GROUP BY 1),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM w) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT count(*) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN q USING (bucket)),
+m AS (SELECT row_no, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM w JOIN h USING (word) JOIN g USING (bucket) GROUP BY 1),
+x AS (SELECT doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN m USING (row_no)),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM x)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= n * 10 // 100 THEN place END AS rank FROM r
+"""
+
+
+ORACLES = {"op11_prefix_trie": op11(), "op12_resample": op12(), "op2_warc_revisits": op2(), "op4_mix_sources": OP4, "op5_url_filter": op5(), "op7_line_dedup": OP7, "op8_exact_dedup": OP8, "op10_secret_scan": op10()}

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, mixing, near_dedup, quality, secrets, url_filter, vectors, warc
+from . import bpe, exact_dedup, line_dedup, mixing, near_dedup, prefix_trie, quality, resampling, secrets, simhash, url_filter, vectors, warc
 from .common import table
 from .oracles import ORACLES
 
@@ -113,6 +113,20 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each distinct sequence of first turns: ``conv_id`` (smallest member), ``depth``, ``parent_conv_id``,
+    ``n_convs``, ``n_children``, ``n_leaves``, ``saved_tokens`` and ``ends_sha256``."""
+    return prefix_trie.trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.link_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 _ALL = (
@@ -126,5 +140,8 @@ _ALL = (
     op8_exact_dedup,
     op9_quality,
     op10_secret_scan,
+    op11_prefix_trie,
+    op12_resample,
+    op13_simhash,
 )
 QUERIES = {f.__name__: f for f in _ALL}
