@@ -2,35 +2,25 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewell.functions.values import risk_tier
-from casewell.storage import discard, stored
+from casewell.storage import discard, scratch, stored
 
-from .components import connected_components
-from .frames import running
+from .components import connected_components, spanning_forest, sums_to_end
+from .frames import PART_ROWS, edge_totals, hand_on, in_ranges, running
 from .graph import both_ways
 
-#: Above this many edges the measures that need one machine's memory refuse to run.
+#: Up to this many edges they may be broadcast as whole numbers, or a component be one task; other ways beyond.
 MOST_EDGES = 5_000_000
-
-
-class GraphTooLarge(ValueError):
-    """An exact measure was asked for on a graph that does not fit its bounded memory."""
-
-
-def _checked(edges: DataFrame, most: int) -> int:
-    m = edges.count()
-    if m > most:
-        raise GraphTooLarge(f"{m} edges; exact measures take {most} at most")
-    return m
+SOURCES = 256  # whose frontiers advance together
 
 
 def degree(edges: DataFrame) -> DataFrame:
@@ -41,34 +31,41 @@ def degree(edges: DataFrame) -> DataFrame:
     return counts.withColumn("degree", F.round(share, 4))
 
 
-def _adjacency(edges: DataFrame) -> tuple[list, list[np.ndarray]]:
-    """Nodes in order, and arrays of neighbours; only behind ``_checked``."""
-    pairs = edges.select("src", "dst").distinct().toArrow()
-    src, dst = pairs.column(0).to_pylist(), pairs.column(1).to_pylist()
-    names = sorted(set(src) | set(dst))
-    number = {v: i for i, v in enumerate(names)}
-    near: list[set[int]] = [set() for _ in names]
-    for a, b in zip(src, dst, strict=True):
-        near[number[a]].add(number[b])
-        near[number[b]].add(number[a])
-    return names, [np.fromiter(sorted(x), np.int64, len(x)) for x in near]
-
-
-def betweenness(edges: DataFrame, most: int = MOST_EDGES) -> DataFrame:
-    """``id, betweenness``: exact, unweighted, normalized, to four digits. The adjacency is broadcast
-    after its size is checked; single-source searches run in parallel and their
-    dependencies are summed per node."""
-    _checked(edges, most)
-    spark = edges.sparkSession
-    names, near = _adjacency(edges)
-    n = len(names)
-    shared = spark.sparkContext.broadcast(near)
+def betweenness(edges: DataFrame, most: int = MOST_EDGES, sources: int = SOURCES) -> DataFrame:
+    """``id, betweenness``: exact, unweighted, normalized, to four digits.
+
+    Up to ``most`` edges, which are counted, the edges as arrays of whole numbers are broadcast (16 bytes
+    each way of an edge), and tasks search from their sources. Beyond that nothing is collected:
+    ``sources`` sources at a time advance as rows by joins."""
+    ways = stored(both_ways(edges.filter("src <> dst")).distinct(), "ways", narrow=True)
+    ids = stored(_numbers(both_ways(edges).select(F.col("src").alias("id")).filter("id is not null").distinct()), "ids", narrow=True)
+    n = ids.count()
+    numbered = ways.join(ids.select(F.col("id").alias("src"), F.col("no").alias("a")), "src").join(ids.select(F.col("id").alias("dst"), F.col("no").alias("b")), "dst")
+    numbered = stored(numbered.select("a", "b"), "ways", narrow=True)
+    parts = _searched(numbered, n) if numbered.count() <= 2 * most else _advanced(numbered, n, sources)
+    # each pair is met from both of its ends, which cancels the 2 of 2 / ((n - 1) (n - 2))
+    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
+    return ids.join(parts, "no", "left").select("id", F.round(F.coalesce("total", F.lit(0.0)) * scale, 4).alias("betweenness"))
+
+
+def _numbers(ids: DataFrame) -> DataFrame:
+    """``id, no``: from 0 without gaps."""
+    return running(ids, ["id"], {"no": F.lit(1).cast("long")}).withColumn("no", F.col("no") - 1)
+
+
+def _searched(ways: DataFrame, n: int) -> DataFrame:
+    """``no, total`` of each node by searches from every source over the broadcast edges ``a, b``."""
+    spark = ways.sparkSession
+    both = ways.toArrow()  # behind the count
+    src, dst = (both.column(i).to_numpy() for i in (0, 1))
+    order = np.argsort(src, kind="stable")
+    degree = np.bincount(src, minlength=n)
+    shared = spark.sparkContext.broadcast((degree, dst[order]))
+    del both, src, dst, order
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near = shared.value
-        degree = np.array([len(x) for x in near], np.int64)
-        start, ends = np.cumsum(degree) - degree, np.concatenate([*near, np.zeros(0, np.int64)])
-        n = len(near)
+        degree, ends = shared.value
+        start, n = np.cumsum(degree) - degree, len(degree)
         total = np.zeros(n)
 
         def spread(front: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -93,54 +90,78 @@ def betweenness(edges: DataFrame, most: int = MOST_EDGES) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["no", "part"])
 
     tasks = min(max(n // 64, 1), 256)
-    parts = spark.range(0, n, 1, tasks).mapInArrow(search, "no long, part double").groupBy("no").agg(F.sum("part").alias("total"))
-    # each pair is met from both of its ends, which cancels the 2 of 2 / ((n - 1) (n - 2))
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    ids = spark.createDataFrame(pd.DataFrame({"no": range(n), "id": names}), f"no long, id {edges.schema['src'].dataType.simpleString()}")
-    return ids.join(parts, "no", "left").select("id", F.round(F.coalesce("total", F.lit(0.0)) * scale, 4).alias("betweenness"))
+    return spark.range(0, n, 1, tasks).mapInArrow(search, "no long, part double").groupBy("no").agg(F.sum("part").alias("total"))
+
+
+def _advanced(ways: DataFrame, n: int, sources: int) -> DataFrame:
+    """``no, total`` of each node by frontiers as rows ``s, v, ways``: source, node and number of shortest ways to it.
+    A block of sources goes out level by level, a join and an aggregate each, in which a node is new
+    unless it lies in the last two levels; and back again, summing what each node hands to the
+    level before. A block's rows are ``sources`` times the nodes at most."""
+    spark, totals = ways.sparkSession, []
+    for first in range(0, n, sources):
+        with scratch(spark) as keep:
+            start = spark.range(first, min(first + sources, n)).select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("ways"))
+            levels = [stored(start, "level", narrow=True)]
+            while True:
+                met = levels[-1].join(ways, F.col("v") == F.col("a")).groupBy("s", F.col("b").alias("v")).agg(F.sum("ways").alias("ways"))
+                known = levels[-1].select("s", "v") if len(levels) < 2 else levels[-1].select("s", "v").union(levels[-2].select("s", "v"))
+                new = stored(met.join(known, ["s", "v"], "left_anti"), "level")
+                if new.isEmpty():
+                    break
+                levels.append(new)
+            gains, below = [], None
+            for level in levels[:0:-1]:
+                if below is None:
+                    here = level.withColumn("gain", F.lit(0.0))
+                else:
+                    sent = below.select("s", "v", ((1 + F.col("gain")) / F.col("ways")).alias("c")).join(ways, F.col("v") == F.col("a"))
+                    sent = sent.groupBy("s", F.col("b").alias("v")).agg(F.sum("c").alias("c"))
+                    here = level.join(sent, ["s", "v"], "left").select("s", "v", "ways", (F.col("ways") * F.coalesce("c", F.lit(0.0))).alias("gain"))
+                below = stored(here, "gains")
+                gains.append(below.select("v", "gain"))
+            some = reduce(DataFrame.unionByName, gains) if gains else levels[0].select("v", F.lit(0.0).alias("gain"))
+            totals.append(keep(stored(some.groupBy(F.col("v").alias("no")).agg(F.sum("gain").alias("total")), "totals", narrow=True)))
+        if len(totals) == 16:  # so that no plan grows with the number of blocks
+            whole = stored(_added(totals), "totals", narrow=True)
+            discard(*totals)
+            totals = [whole]
+    return _added(totals) if totals else ways.sparkSession.range(0).select(F.col("id").alias("no"), F.lit(0.0).alias("total"))
 
 
-def eigenvector(edges: DataFrame, rounds: int = 1000, tolerance: float = 1e-6, most: int = MOST_EDGES) -> DataFrame:
-    """``id, eigenvector``: power iteration with the identity added, from equal values, until the sum of
-    changes is below ``n * tolerance``; zeros for all without convergence; to four digits. Above
-    ``most`` edges the same iteration is done by joins."""
-    spark, kind = edges.sparkSession, edges.schema["src"].dataType.simpleString()
-    if edges.count() > most:
-        return _eigenvector_by_joins(edges, rounds, tolerance)
-    names, near = _adjacency(edges)
-    n = len(names)
-    src = np.repeat(np.arange(n), [len(x) for x in near])
-    dst = np.concatenate(near) if n else np.zeros(0, np.int64)
-    x, good = np.full(n, 1.0 / max(n, 1)), False
-    for _ in range(rounds):
-        last = x
-        x = last + np.bincount(dst, last[src], n)
-        x = x / (np.sqrt((x * x).sum()) or 1.0)
-        if np.abs(x - last).sum() < n * tolerance:
-            good = True
-            break
-    rows = spark.createDataFrame(pd.DataFrame({"id": names, "eigenvector": x if good else np.zeros(n)}), f"id {kind}, eigenvector double")
-    return rows.select("id", F.round("eigenvector", 4).alias("eigenvector"))
+def _added(totals: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, totals).groupBy("no").agg(F.sum("total").alias("total"))
 
 
-def _eigenvector_by_joins(edges: DataFrame, rounds: int, tolerance: float) -> DataFrame:
-    """A round is one join of the edges with the values and one aggregate; its values are stored, those of the
-    round before deleted."""
-    ways = stored(both_ways(edges).distinct(), "ways")
-    own = ways.select(F.col("src").alias("id")).distinct()
-    n = own.count()
-    now = stored(own.withColumn("x", F.lit(1.0 / max(n, 1))), "values")
+def eigenvector(edges: DataFrame, rounds: int = 1000, tolerance: float = 1e-6, settle: bool = True, digits: int = 4) -> DataFrame:
+    """``id, eigenvector``: power iteration with the identity added, from equal values, until the sum of
+    changes is below ``n * tolerance``; zeros for all without convergence; to four digits. Without ``settle``
+    the values after ``rounds`` rounds, whatever they change.
+
+    The edges stay where they are stored; a round is one join of them with the values, in which a hot
+    node is split, and one aggregate. Only the values move, and those of the round before go."""
+    ways = stored(both_ways(edges).filter("src is not null and dst is not null").distinct(), "ways", narrow=True)
+    own = both_ways(edges).select(F.col("src").alias("id")).filter("id is not null").distinct()
+    now = stored(own.withColumn("x", F.lit(1.0)), "values", narrow=True)
+    n, norm = now.count(), None
+    if not n:
+        return now.select("id", F.lit(0.0).alias("eigenvector"))
+    norm = float(n)  # the values of a round are x / norm
+    good = not settle
     for _ in range(rounds):
-        sent = ways.join(now.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "x").unionByName(now)
-        raw = stored(sent.groupBy("id").agg(F.sum("x").alias("x")), "values")
-        norm = raw.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0
-        new = stored(raw.withColumn("x", F.col("x") / norm), "values")
-        off = new.join(now.withColumnRenamed("x", "was"), "id").agg(F.sum(F.abs(F.col("x") - F.col("was")))).first()[0] or 0.0
-        discard(raw, now)
+        sent = ways.join(now.select(F.col("id").alias("dst"), "x"), "dst").select(F.col("src").alias("id"), "x", F.lit(None).cast("double").alias("was"))
+        sent = sent.unionByName(now.select("id", "x", F.col("x").alias("was")))
+        new = sent.groupBy("id").agg((F.sum("x") / norm).alias("x"), (F.max("was") / norm).alias("was"))
+        new = stored(new, "values", narrow=True)
+        norm = new.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0
+        off = new.agg(F.sum(F.abs(F.col("x") / norm - F.col("was")))).first()[0]
+        discard(now)
         now = new
-        if off < n * tolerance:
-            return now.select("id", F.round("x", 4).alias("eigenvector"))
-    return now.select("id", F.lit(0.0).alias("eigenvector"))
+        if settle and off < n * tolerance:
+            good = True
+            break
+    value = F.col("x") / norm if good else F.lit(0.0)
+    return now.select("id", F.round(value, digits).alias("eigenvector"))
 
 
 def _by_component(edges: DataFrame) -> DataFrame:
@@ -148,50 +169,66 @@ def _by_component(edges: DataFrame) -> DataFrame:
     return stored(edges.select("src", "dst").distinct().join(roots.withColumnRenamed("node", "src"), "src"), "parts")
 
 
-def bridges(edges: DataFrame, most: int = MOST_EDGES) -> DataFrame:
-    """``src, dst`` of the edges whose removal disconnects their component, by low links."""
-    _checked(edges, most)
-
-    def of_part(pdf: pd.DataFrame) -> pd.DataFrame:
-        near = defaultdict(set)
-        for a, b in zip(pdf["src"], pdf["dst"], strict=True):
-            if a != b:
-                near[a].add(b)
-                near[b].add(a)
-        seen, low, found = {}, {}, []
-        for root in sorted(near):
-            if root in seen:
-                continue
-            seen[root] = low[root] = len(seen)
-            stack = [(root, None, iter(sorted(near[root])))]
-            while stack:
-                v, parent, rest = stack[-1]
-                for w in rest:
-                    if w == parent:
-                        continue
-                    if w in seen:
-                        low[v] = min(low[v], seen[w])
-                    else:
-                        seen[w] = low[w] = len(seen)
-                        stack.append((w, v, iter(sorted(near[w]))))
-                        break
-                else:
-                    stack.pop()
-                    if parent is not None:
-                        low[parent] = min(low[parent], low[v])
-                        if low[v] > seen[parent]:
-                            found.append((min(v, parent), max(v, parent)))
-        return pd.DataFrame(found, columns=["src", "dst"])
-
-    kind = edges.schema["src"].dataType.simpleString()
-    return _by_component(edges).groupBy("root").applyInPandas(of_part, f"src {kind}, dst {kind}")
+def bridges(edges: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """``src, dst`` of the edges whose removal disconnects their component, for graphs of any size.
+
+    Only edges of a spanning forest can be bridges, and one is a bridge unless another edge joins the
+    two sides that it separates. Every other edge has a label of 128 random bits, and a node the
+    exclusive sum of its edges' labels. Summed over one side of a forest edge the labels within the side
+    cancel, and what is left are those of edges across: zero only if there are none (or by a chance of
+    2^-128). A side is a stretch of the tour around its tree, so the sums follow from
+    sums along the tour, which pointer doubling finds. Loops and null ends are left out."""
+    with scratch(edges.sparkSession) as keep:
+        ends = edges.filter("src is not null and dst is not null and src <> dst")
+        pairs = stored(ends.select(F.least("src", "dst").alias("ea"), F.greatest("src", "dst").alias("eb")).distinct(), "pairs", narrow=True)
+        forest = spanning_forest(pairs, "ea", "eb")
+        others = pairs.join(forest.select("ea", "eb"), ["ea", "eb"], "left_anti").withColumns({"x": F.xxhash64("ea", "eb"), "y": F.xxhash64("eb", "ea", F.lit(1))})
+        marks = others.select(F.col("ea").alias("u"), "x", "y").union(others.select("eb", "x", "y")).groupBy("u").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+        arcs = _tour(forest, part_rows)
+        # a node's mark lies on its arc to its first neighbour
+        marked = arcs.filter("v = first").join(stored(marks, "marks", narrow=True), "u").select("id", "x", "y")
+        cells = arcs.join(stored(marked, "marked", narrow=True), "id", "left").select("id", "next", F.coalesce("x", F.lit(0).cast("long")).alias("x"), F.coalesce("y", F.lit(0).cast("long")).alias("y"))
+        after = sums_to_end(cells, "x", "y")
+        there = arcs.filter("u < v").select("id", "u", "v").join(after, "id").select("u", "v", "x", "y")
+        back = arcs.filter("u > v").select("id", F.col("v").alias("u"), F.col("u").alias("v")).join(after, "id").select("u", "v", F.col("x").alias("x2"), F.col("y").alias("y2"))
+        out = there.join(back, ["u", "v"]).filter("x = x2 and y = y2").select(F.col("u").alias("src"), F.col("v").alias("dst"))
+        return keep(stored(out, "bridges", narrow=True))
+
+
+def _tour(forest: DataFrame, part_rows: int) -> DataFrame:
+    """``id, u, v, first, next``, stored: an arc for each way of a forest edge, with the ``id`` of the arc that follows it on
+    the tour around its tree; ``first`` is the first neighbour of ``u``. The arc after ``u`` to ``v`` leaves ``v`` for
+    the neighbour after ``u``. Neighbours are ordered by ranges, so a node of any degree is many
+    tasks. Each tour ends where it would enter its root's first arc again."""
+    ways = forest.select(F.col("ea").alias("u"), F.col("eb").alias("v")).union(forest.select("eb", "ea"))
+    placed = in_ranges(ways, ["u", "v"], part_rows)
+    here = Window.partitionBy("__part", "u")
+    edge = edge_totals(placed, ["u"], {"__first": F.min("v")})
+    along = Window.partitionBy("u").orderBy("__part")
+    edge = edge.select("u", "__part", F.lead("__first").over(along).alias("__later"), F.min("__first").over(Window.partitionBy("u")).alias("__least"))
+    placed = placed.withColumns({"__next": F.lead("v").over(here.orderBy("v")), "__own": F.min("v").over(here)})
+    placed = hand_on(placed, ["u"], stored(edge, "handed", narrow=True))
+    first = F.coalesce("__least", "__own")
+    arcs = placed.select("u", "v", first.alias("first"), F.coalesce("__next", "__later", first).alias("turn"), F.coalesce("__next", "__later").isNull().alias("last"))
+    arcs = stored(arcs.withColumn("id", F.monotonically_increasing_id()), "arcs", narrow=True)
+    roots = ways.select("u").distinct().join(forest.select(F.col("node").alias("u")), "u", "left_anti").withColumn("__root", F.lit(True))
+    # entering u from v goes on to u's next neighbour; at a root's last neighbour the tour ends
+    entered = arcs.join(stored(roots, "roots", narrow=True), "u", "left").filter("not (last and coalesce(__root, false))").select(F.col("v").alias("u"), F.col("u").alias("v"), "turn")
+    after = arcs.select(F.col("u").alias("v"), F.col("v").alias("turn"), F.col("id").alias("next"))
+    follows = stored(entered.join(after, ["v", "turn"]).select("u", "v", "next"), "follows", narrow=True)
+    return stored(arcs.select("id", "u", "v", "first").join(follows, ["u", "v"], "left"), "tour", narrow=True)
 
 
 def communities(edges: DataFrame, most: int = MOST_EDGES) -> DataFrame:
     """``id, community_id, size``: greedy modularity, merging the pair of communities that gains
     most until none gains, the least nodes first on ties. Components are independent once the number of
-    all edges is known, so each is a group of its own. Communities are numbered by size, then least member."""
-    m = max(_checked(edges.select("src", "dst").distinct(), most), 1)
+    all edges is known, so each is a group of its own, up to ``most`` edges in all; beyond that it is
+    ``contracted_communities``, which merges many pairs at once. Communities are numbered by size, then least
+    member."""
+    m = edges.select("src", "dst").distinct().count()
+    if m > most:
+        return contracted_communities(edges)
+    m = max(m, 1)
 
     def of_part(pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(pdf["src"]) | set(pdf["dst"]))
@@ -248,6 +285,64 @@ def _numbered(placed: DataFrame) -> DataFrame:
     return placed.join(sizes, "head").select("id", F.col("community_id").cast("int").alias("community_id"), "size")
 
 
+def contracted_communities(edges: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """``id, community_id, size`` by contraction, for graphs of any size: each round every community looks
+    for the neighbour with which merging gains most modularity (least id on ties). Those whose choice is
+    a community that is chosen back, or the less of two that chose each other, join it, in
+    order of what they gain and as long as they still gain with all that come before them added. Then
+    edges are summed between the communities left. Modularity grows with every join, and the
+    best pair of all always joins. Sums along the joiners of one community are made by ranges, so
+    a community that all others choose is many tasks."""
+    with scratch(edges.sparkSession) as keep:
+        pairs = edges.filter("src is not null and dst is not null").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+        links = stored(pairs.filter("a <> b").withColumn("w", F.lit(1).cast("long")), "links", narrow=True)
+        m = F.lit(links.count()).cast("decimal(20,0)")
+        both = links.select("a", "b").union(links.select("b", "a"))
+        share = stored(both.groupBy(F.col("a").alias("v")).agg(F.count(F.lit(1)).alias("d")), "shares", narrow=True)
+        own = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
+        place = stored(own.select(F.col("v").alias("id"), F.col("v").alias("head")), "places", narrow=True)
+        while True:
+            hook = _joins(links, share, m, part_rows)
+            if hook.isEmpty():
+                return keep(stored(_numbered(place), "communities", narrow=True))
+            moved = place.join(hook.select(F.col("v").alias("head"), "to"), "head", "left").select("id", F.coalesce("to", "head").alias("head"))
+            left, right = hook.select(F.col("v").alias("a"), F.col("to").alias("a2")), hook.select(F.col("v").alias("b"), F.col("to").alias("b2"))
+            linked = links.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("a2", "a").alias("x"), F.coalesce("b2", "b").alias("y"), "w").filter("x <> y")
+            linked = linked.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w"))
+            shared = share.join(hook.select("v", "to"), "v", "left").groupBy(F.coalesce("to", "v").alias("v")).agg(F.sum("d").alias("d"))
+            now = stored(moved, "places", narrow=True), stored(linked, "links", narrow=True), stored(shared, "shares", narrow=True)
+            discard(place, links, share)
+            place, links, share = now
+
+
+def _joins(links: DataFrame, share: DataFrame, m: Column, part_rows: int) -> DataFrame:
+    """``v, to``, stored: which communities join which in a round; no ``to`` is a ``v``. Gains are
+    ``2 m w - d_v d_to`` in whole numbers."""
+    number = "decimal(38,0)"
+    d = lambda c: F.col(c).cast("decimal(19,0)")
+    left, right = share.select(F.col("v").alias("a"), F.col("d").alias("da")), share.select(F.col("v").alias("b"), F.col("d").alias("db"))
+    gains = links.join(left, "a").join(right, "b").withColumn("gain", (2 * m * d("w") - d("da") * d("db")).cast(number))
+    gains = stored(gains.filter("gain > 0"), "gains", narrow=True)
+    ways = gains.select(F.col("a").alias("v"), F.col("b").alias("to"), "gain", "w", F.col("da").alias("dv")).unionByName(gains.select(F.col("b").alias("v"), F.col("a").alias("to"), "gain", "w", F.col("db").alias("dv")))
+    best = ways.groupBy("v").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "to", "w", "dv")).alias("best"))
+    best = stored(best.select("v", "best.*"), "choices", narrow=True)
+    chosen = best.select(F.col("v").alias("to"), F.col("to").alias("theirs"))
+    met = best.join(chosen, "to")
+    # heads: of two that chose each other the less one
+    heads = stored(met.filter("theirs = v and to < v").select("to").distinct(), "heads", narrow=True)
+    taken = share.select(F.col("v").alias("to"), F.col("d").alias("dt"))
+    wish = best.join(heads, "to", "left_semi").join(heads.select(F.col("to").alias("v")), "v", "left_anti").join(taken, "to")
+    order = ["to", "loss", "v"]
+    placed = in_ranges(wish.select(*order, "w", "dv", "dt"), order, part_rows)
+    before = F.coalesce(F.sum("dv").over(Window.partitionBy("__part", "to").orderBy("loss", "v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    earlier = Window.partitionBy("to").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    edge = edge_totals(placed, ["to"], {"n": F.sum("dv")}).withColumn("__more", F.sum("n").over(earlier)).drop("n")
+    summed = hand_on(placed.withColumn("__before", before), ["to"], stored(edge, "handed", narrow=True))
+    grown = d("dt") + (F.col("__before") + F.coalesce("__more", F.lit(0))).cast("decimal(19,0)")
+    hook = summed.filter((2 * m * d("w") - d("dv") * grown).cast(number) > 0).select("v", "to")
+    return stored(hook, "joins", narrow=True)
+
+
 def label_communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """``id, community_id, size`` by label propagation, for graphs of any size: every node takes the
     most frequent label of its neighbours and itself, the least one on ties."""

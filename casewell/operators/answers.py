@@ -8,13 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import both_ways
+from .graph import both_ways, cross_case_count
 from .tables import share_of_largest, with_lookup
 
 
-def overview(cases: DataFrame, people: DataFrame, vehicles: DataFrame, alerts: DataFrame, links: DataFrame) -> DataFrame:
+def overview(cases: DataFrame, people: DataFrame, vehicles: DataFrame, alerts: DataFrame, owned: DataFrame) -> DataFrame:
     """One row of numbers: ``n_cases, n_people, n_vehicles`` (distinct ``case_id``, ``name``, ``vehicle``),
-    ``n_alerts``, ``n_urgent`` (critical or high), ``n_cross_case`` links. Empty tables count 0."""
+    ``n_alerts``, ``n_urgent`` (critical or high), ``n_cross_case`` links between persons of ``owned`` (``person, identifier,
+    kind, case_ids``), which are counted without their pairs. Empty tables count 0."""
     count = lambda rows, c, name: rows.agg(F.count_distinct(c).alias(name)).scalar()
     urgent = F.count_if(F.col("severity").isin("CRITICAL", "HIGH"))
     return alerts.agg(F.count(F.lit(1)).alias("n_alerts"), urgent.alias("n_urgent")).select(
@@ -23,7 +24,7 @@ def overview(cases: DataFrame, people: DataFrame, vehicles: DataFrame, alerts: D
         count(vehicles, "vehicle", "n").alias("n_vehicles"),
         "n_alerts",
         "n_urgent",
-        links.agg(F.count_if("cross_case")).scalar().alias("n_cross_case"),
+        cross_case_count(owned).scalar().alias("n_cross_case"),
     )
 
 

@@ -1,4 +1,4 @@
-"""Connected components by contraction, for edges that fit no single machine."""
+"""Connected components, spanning forests and list sums, for edges that fit no single machine."""
 
 from __future__ import annotations
 
@@ -57,3 +57,58 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     out = stored(named.unionByName(alone), "components", narrow=True)
     discard(pairs, *rounds, *done, place, least)
     return out
+
+
+def spanning_forest(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``node, ea, eb``: an edge ``ea < eb`` of the table for every node but one of each component, the edges of a
+    spanning forest; stored. The node of a component that has no row is its root.
+
+    Contraction as for components, but of stars alone: a node hooks to the neighbour of least rank of a
+    round only if that one hooks to none, so what merges are the ends of the edges chosen, and no two
+    ways between them are taken. Links keep the least edge of the table between their ends.
+    """
+    ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null and a <> b")
+    pairs = ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = stored(pairs.select("a", "b", F.struct(F.col("a").alias("ea"), F.col("b").alias("eb")).alias("edge")), "links", narrow=True)
+    done, rounds = [], []
+    while not links.isEmpty():
+        no = F.lit(len(rounds))
+
+        def rank(c: str, no: Column = no) -> Column:
+            return F.struct(F.xxhash64(c, no).alias("rank"), F.col(c).alias("node"))
+
+        ways = links.select(F.col("a").alias("v"), F.col("b").alias("w"), "edge").union(links.select("b", "a", "edge"))
+        best = ways.groupBy("v").agg(F.min(F.struct(rank("w").alias("to"), "edge")).alias("best"))
+        best = stored(best.select("v", "best.edge", F.when(F.col("best.to") < rank("v"), F.col("best.to.node")).alias("to")), "hooks", narrow=True)
+        roots = best.filter("to is null").select(F.col("v").alias("to"))
+        hook = stored(best.join(roots, "to", "left_semi").select("v", "to", "edge"), "hooks", narrow=True)
+        left, right = hook.select(F.col("v").alias("a"), F.col("to").alias("a2")), hook.select(F.col("v").alias("b"), F.col("to").alias("b2"))
+        moved = links.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("a2", "a").alias("x"), F.coalesce("b2", "b").alias("y"), "edge").filter("x <> y")
+        moved = moved.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("edge").alias("edge"))
+        done += [links, best]
+        links = stored(moved, "links", narrow=True)
+        rounds.append(hook)
+    done.append(links)
+    out = links.select(F.col("a").alias("node"), "edge.ea", "edge.eb")
+    for hook in rounds:
+        out = out.unionByName(hook.select(F.col("v").alias("node"), "edge.ea", "edge.eb"))
+    out = stored(out, "forest", narrow=True)
+    discard(*done, *rounds)
+    return out
+
+
+def sums_to_end(cells: DataFrame, *values: str) -> DataFrame:
+    """``id`` and the values: for each cell of linked lists (``id, next``, null at an end, and whole numbers) the
+    bitwise exclusive sums of the values of all cells after it; stored. Pointers double every round, so
+    rounds are the logarithm of the longest list, each a join of plain shuffles."""
+    after = cells.select(F.col("id").alias("next"), *[F.col(v).alias(f"__{v}") for v in values])
+    first = cells.select("id", "next").join(after, "next", "left")
+    now = stored(first.select("id", "next", *[F.coalesce(f"__{v}", F.lit(0).cast("long")).alias(v) for v in values]), "lists", narrow=True)
+    while not now.filter("next is not null").isEmpty():
+        further = now.select(F.col("id").alias("next"), F.col("next").alias("__next"), *[F.col(v).alias(f"__{v}") for v in values])
+        both = now.join(further, "next", "left")
+        moved = both.select("id", F.col("__next").alias("next"), *[F.col(v).bitwiseXOR(F.coalesce(f"__{v}", F.lit(0).cast("long"))).alias(v) for v in values])
+        moved = stored(moved, "lists", narrow=True)
+        discard(now)
+        now = moved
+    return now.drop("next")

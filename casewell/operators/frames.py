@@ -73,6 +73,24 @@ def running(rows: DataFrame, order: list, sums: dict[str, Column], part_rows: in
     return out.withColumns({n: F.col(n) + F.col(f"__{n}") for n in sums}).drop("__part", "__at", *[f"__{n}" for n in sums])
 
 
+def edge_totals(placed: DataFrame, keys: list[str], totals: dict[str, Column]) -> DataFrame:
+    """``keys, __part`` and ``totals`` of the first and the last key of each range of ``placed`` (as of ``in_ranges`` along
+    the keys): two rows for each range at most. Other keys lie within one range, so whatever goes on
+    from a range into the next is here, and no key is one task."""
+    key = F.struct(*keys)
+    ends = placed.groupBy("__part").agg(F.min(key).alias("__lo"), F.max(key).alias("__hi"))
+    near = placed.join(F.broadcast(ends), "__part").filter(key.eqNullSafe(F.col("__lo")) | key.eqNullSafe(F.col("__hi")))  # a row for each range
+    return near.groupBy(*keys, "__part").agg(*[c.alias(n) for n, c in totals.items()])
+
+
+def hand_on(placed: DataFrame, keys: list[str], handed: DataFrame) -> DataFrame:
+    """``placed`` with the columns of ``handed`` (``keys, __part`` and more; two rows for each range at most)
+    for the rows of that key and range, null for others."""
+    named = handed.select(F.struct(*keys).alias("__for"), F.col("__part").alias("__at"), *[c for c in handed.columns if c not in (*keys, "__part")])
+    same = (F.col("__part") == F.col("__at")) & F.struct(*keys).eqNullSafe(F.col("__for"))
+    return placed.join(F.broadcast(named), same, "left").drop("__for", "__at")
+
+
 def forward_fill(rows: DataFrame, column: str, order: str, partition: str | None = None, part_rows: int = PART_ROWS) -> DataFrame:
     """``column`` with its last value that is not null, in ``order``. Without a partition the rows are cut
     into ranges, and each range takes over the last value of those before it."""

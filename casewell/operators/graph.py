@@ -130,6 +130,28 @@ def shared_identifier_links(owned: DataFrame) -> DataFrame:
     return a.join(b, ["identifier", "kind"]).filter("person_a < person_b").select("person_a", "person_b", "kind", "identifier", differ.alias("cross_case"))
 
 
+def case_set_links(owned: DataFrame) -> DataFrame:
+    """``kind, identifier, case_ids, n_persons, n_links, n_cross_links``: a row for each distinct set of cases of an
+    identifier's persons. Two persons of one row have the same cases; any two of different rows of
+    an identifier are a cross-case link. ``n_links`` counts the pairs within a row, ``n_cross_links`` those with
+    persons of later rows (in order of the sets), so both add up to the numbers of pairs. Counting
+    takes no pair; persons of a set are those of ``owned``."""
+    sets = owned.select("kind", "identifier", F.array_sort("case_ids").alias("case_ids")).groupBy("kind", "identifier", "case_ids").agg(F.count(F.lit(1)).alias("n_persons"))
+    later = Window.partitionBy("kind", "identifier").orderBy(F.desc("case_ids")).rowsBetween(Window.unboundedPreceding, -1)
+    n = F.col("n_persons")
+    after = F.coalesce(F.sum(n).over(later), F.lit(0))
+    return sets.select("kind", "identifier", "case_ids", "n_persons", F.expr("n_persons * (n_persons - 1) div 2").alias("n_links"), (n * after).alias("n_cross_links"))
+
+
+def cross_case_count(owned: DataFrame) -> DataFrame:
+    """One row ``n``: pairs of persons that share an identifier and differ in their cases. Of n persons of an
+    identifier n (n - 1) / 2 pairs, less as many for each set of equal cases: two aggregates, no join."""
+    sets = owned.select("kind", "identifier", F.array_sort("case_ids").alias("case_ids")).groupBy("kind", "identifier", "case_ids").agg(F.count(F.lit(1)).alias("m"))
+    m = F.col("m").cast("decimal(20,0)")
+    per = sets.groupBy("kind", "identifier").agg(F.sum(m).alias("n"), F.sum(m * m).alias("same"))
+    return per.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.lit(0)).cast("long").alias("n"))
+
+
 def apply_aliases(edges: DataFrame, aliases: DataFrame) -> DataFrame:
     """Edges with ends moved to their canonical node (``alias, canonical``) and merged again:
     weights add up, sets unite, evidence stays capped, edges within one entity go. The cap is

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewell.functions.text import clean_na
+from casewell.storage import stored
+
+from .frames import PART_ROWS, edge_totals, hand_on, in_ranges
 
 
 def case_slice(rows: DataFrame, key: str, case_id) -> DataFrame:
@@ -92,15 +95,39 @@ def complement(part: Column, whole: Column) -> Column:
     return F.greatest(whole - part, F.lit(0))
 
 
-def running_balance(rows: DataFrame, key: str, order: str, amount: str, start: float, floor: float) -> DataFrame:
-    """``key, order, balance``: after each signed amount, never below the floor, in decimals. With the running
-    sum S of the amounts it is ``S + max(start, max of floor - S so far)``, which two running
-    aggregates give."""
+def running_balance(rows: DataFrame, key: str, order: str, amount: str, start: float, floor: float, part_rows: int = PART_ROWS) -> DataFrame:
+    """``key, order, balance``: after each signed amount, never below the floor, in decimals.
+
+    With the running sum S of the amounts it is ``S + max(start, max of floor - S so far)``. A stretch of
+    an account is the pair of its sum and its greatest lift ``floor - S``, and pairs compose: the lift of
+    a stretch counts from its beginning, so after others it is less by their sum. The table is cut
+    into ranges along key and order, each range is scanned by itself, and an account that
+    goes on takes over the pair of the ranges before it. An account of any size is many tasks.
+    A null key is an account of its own; a null amount moves nothing."""
     number = "decimal(28,8)"
-    along = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = rows.select(key, order, F.sum(F.col(amount).cast(number)).over(along).alias("__sum"))
-    lift = F.greatest(F.lit(start).cast(number), F.max(F.lit(floor).cast(number) - F.col("__sum")).over(along))
-    return sums.withColumn("__lift", lift).select(key, order, F.round(F.col("__sum") + F.col("__lift"), 2).cast("double").alias("balance"))
+    placed = in_ranges(rows.select(key, order, F.coalesce(F.col(amount).cast(number), F.lit(0).cast(number)).alias("__amount")), [key, order], part_rows)
+    along = Window.partitionBy("__part", key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = placed.withColumn("__sum", F.sum("__amount").over(along))
+    sums = sums.withColumn("__lift", F.max(F.lit(floor).cast(number) - F.col("__sum")).over(along))
+    before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    pairs = edge_totals(sums, [key], {"__total": F.sum("__amount"), "__most": F.max("__lift")}).withColumn("__sum_before", F.sum("__total").over(before))
+    pairs = pairs.withColumn("__lift_before", F.max(F.col("__most") - F.coalesce("__sum_before", F.lit(0).cast(number))).over(before))
+    handed = stored(pairs.filter("__sum_before is not null").select(key, "__part", "__sum_before", "__lift_before"), "handed", narrow=True)
+    out = hand_on(sums, [key], handed)
+    gone = F.coalesce("__sum_before", F.lit(0).cast(number))
+    lift = F.greatest(F.lit(start).cast(number), F.col("__lift_before"), F.col("__lift") - gone)
+    return out.select(key, order, F.round(F.col("__sum") + gone + lift, 2).cast("double").alias("balance"))
+
+
+def last_of_group(rows: DataFrame, key: str, order: str, flag: str = "flagged", part_rows: int = PART_ROWS) -> DataFrame:
+    """``rows`` with ``flag`` on one row of each key, the last along ``order``; a null key is a key. Ranges are
+    looked at by themselves, and a key that goes on in the next range has no last row in this one."""
+    placed = in_ranges(rows, [key, order], part_rows)
+    back = F.row_number().over(Window.partitionBy("__part", key).orderBy(F.desc(order)))
+    later = F.max("__part").over(Window.partitionBy(key)) > F.col("__part")
+    going_on = edge_totals(placed, [key], {"__n": F.count(F.lit(1))}).withColumn("__goes_on", later).filter("__goes_on").drop("__n")
+    out = hand_on(placed.withColumn("__back", back), [key], stored(going_on, "handed", narrow=True))
+    return out.withColumn(flag, (F.col("__back") == 1) & F.col("__goes_on").isNull()).drop("__back", "__goes_on", "__part")
 
 
 def joined_list(rows: DataFrame, by: str, value: str, separator: str = "; ", empty: str = "NONE") -> DataFrame:

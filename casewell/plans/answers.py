@@ -10,7 +10,7 @@ from casewell.storage import stored, table
 
 from .carriers import calls, crossings, trades
 from .detection import FAR, SPIKES, Z
-from .graphs import BOTH, full, g4
+from .graphs import BOTH, full, owned
 from .registry import query
 from .relational import TIMELINE, merged_timeline
 
@@ -23,7 +23,7 @@ from .relational import TIMELINE, merged_timeline
 def overview(spark, sf):
     c = calls(spark, sf)
     found = detectors.alerts(spikes=detectors.communication_spikes(c), s=detectors.Settings(alert_limit=None))
-    return answers.overview(c, table(spark, sf, "customer").select(F.col("c_name").alias("name")), crossings(spark, sf), found, g4(spark, sf))
+    return answers.overview(c, table(spark, sf, "customer").select(F.col("c_name").alias("name")), crossings(spark, sf), found, owned(spark, sf))
 
 
 @query("api_network", f"""WITH {BOTH}, e AS (SELECT 'CUST::' || o_custkey::VARCHAR AS src, 'SUPP::' || l_suppkey::VARCHAR AS dst, count(*)::DOUBLE AS weight FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)

@@ -1,7 +1,8 @@
-"""Evidence analyzers over bytes that the carrier tables hold or that are made here."""
+"""Evidence analyzers over bytes that the carrier tables hold or that are made of their rows."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from casewell.operators import media
@@ -30,7 +31,18 @@ def b8(spark, sf):
 
 @query("b9_b10_b12_audio")
 def b10(spark, sf):
-    tone = media.tone_fixture([(1, 0), (2, 440), (1, 0), (1, 880)])
-    files = spark.createDataFrame([("tone.wav", len(tone), bytearray(tone))], "path string, length long, content binary")
-    r = media.analyze(files, "audio", media.audio_analysis, "C1")
+    """A recording for each supplier: silence, its tone, silence, a tone of 880 Hz; analysed from its bytes."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("no"))
+    r = media.analyze(_recordings(s), "audio", media.audio_analysis, "C1")
     return r.select("path", "sha256", "result.duration", "result.rate", F.size("result.segments").alias("n_segments"), F.size("result.mfcc_mean").alias("n_coefficients"))
+
+
+def _recordings(numbers):
+    """``path, length, content`` of a WAV file for each number."""
+
+    @F.pandas_udf("binary")
+    def tone(numbers: pd.Series) -> pd.Series:
+        return numbers.map(lambda n: bytes(media.tone_fixture([(1, 0), (2, 200 + int(n) % 60 * 10), (1, 0), (1, 880)])))
+
+    rows = numbers.select(F.concat(F.lit("tone-"), F.col("no").cast("string"), F.lit(".wav")).alias("path"), tone("no").alias("content"))
+    return rows.select("path", F.octet_length("content").cast("long").alias("length"), "content")

@@ -323,8 +323,7 @@ def w8(spark, sf):
 
 @query("w9_last_of_group", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1 AS flagged FROM orders")
 def w9(spark, sf):
-    last = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderkey"))) == 1
-    return table(spark, sf, "orders").select("o_custkey", "o_orderkey", last.alias("flagged"))
+    return tables.last_of_group(table(spark, sf, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
 
 
 @query("l4_first_in_order", f"WITH {CALLS} SELECT call_id, entity_a FROM calls ORDER BY call_id LIMIT 100")

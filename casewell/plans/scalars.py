@@ -166,6 +166,16 @@ def f28(spark, sf):
     return nation.select("n_nationkey", similarity.closest(F.concat(F.lower("n_name"), F.lit(" ")), names).alias("best"))
 
 
+@query("j19_closest_of_table", "SELECT DISTINCT lower(left(p_type, 3)) || substr(p_type, 5) || ' ' AS value, p_type AS best FROM part")
+def j19(spark, sf):
+    """Part types that lost their fourth character, and the table of all types."""
+    from casewell.operators.closest import closest_names
+
+    p = part(spark, sf)
+    garbled = F.concat(F.lower(F.substring("p_type", 1, 3)), F.expr("substring(p_type, 5)"), F.lit(" "))
+    return closest_names(p.select(garbled.alias("value")), p.select(F.col("p_type").alias("choice"))).select("value", "best")
+
+
 @query("f29_tolerant_json", "SELECT p_partkey, p_name AS name, p_size::BIGINT AS size FROM part")
 def f29(spark, sf):
     from casewell.operators.extraction import tolerant_json
@@ -210,13 +220,17 @@ def f41(spark, sf):
     return o.select("o_orderkey", F.date_format(before, "yyyy-MM-dd").alias("day"), F.date_format("o_orderdate", "EEEE").alias("weekday"))
 
 
-@query("f44_log2_weights", """SELECT * FROM (VALUES ('name', 3.2016, -3.4919), ('phone', 9.9366, -5.6424), ('address', 2.415, -2.0875), ('vehicle', 7.5999, -5.0517), ('case', 1.4594, -0.8301)) t(field, agree, disagree)""")
+@query("f44_log2_weights", """SELECT p_partkey, round(log2(m / u), 4) AS agree, round(log2((1 - m) / (1 - u)), 4) AS disagree, [3.2016, 9.9366, 2.415, 7.5999, 1.4594][(p_partkey % 5 + 1)::INT]::DOUBLE AS fixed
+  FROM (SELECT p_partkey, (p_size + 0.5::DOUBLE) / 100 AS m, (p_partkey % 97 + 1)::DOUBLE / 100 AS u FROM part)""")
 def f44(spark, sf):
+    """Weights of agreement for shares that the parts give, beside those of the fields' fixed shares."""
     from casewell.operators.resolution import PRIORS
 
-    rows = [(k, m, u) for k, (m, u) in PRIORS.items()]
-    t = spark.createDataFrame(rows, "field string, m double, u double")
-    return t.select("field", F.round(F.log2(F.col("m") / F.col("u")), 4).alias("agree"), F.round(F.log2((1 - F.col("m")) / (1 - F.col("u"))), 4).alias("disagree"))
+    m, u = (F.col("p_size") + 0.5) / 100, (F.col("p_partkey") % 97 + 1).cast("double") / 100
+    fixed = F.array(*[F.lit(round(values.log2_weight(*p)[0], 4)) for p in PRIORS.values()])
+    return part(spark, sf).select(
+        "p_partkey", F.round(F.log2(m / u), 4).alias("agree"), F.round(F.log2((1 - m) / (1 - u)), 4).alias("disagree"), F.element_at(fixed, (F.col("p_partkey") % 5 + 1).cast("int")).alias("fixed")
+    )
 
 
 @query("f45_f46_f50_clip_severity", """SELECT event_id, greatest(0, least(100, value)) AS clipped, CASE WHEN value >= 85 THEN 'CRITICAL' WHEN value >= 70 THEN 'HIGH' WHEN value >= 55 THEN 'MEDIUM' ELSE 'LOW' END AS severity,

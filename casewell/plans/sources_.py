@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casewell.operators import reports
+from casewell.operators import media, reports
 from casewell.operators.tables import find_column
 from casewell.sources import generate, tables
 from casewell.storage import new_path, table
@@ -19,9 +19,12 @@ def s1(spark, sf):
     return tables.read_csv(spark, path, ["s_suppkey", "s_name", "s_nationkey"])
 
 
-@query("s2_missing_table", "SELECT NULL::VARCHAR AS a, NULL::VARCHAR AS b WHERE false")
+@query("s2_missing_table", "SELECT s_suppkey::VARCHAR AS a, s_name AS b FROM supplier")
 def s2(spark, sf):
-    return tables.read_csv(spark, new_path(spark, "none"), ["a", "b"])
+    """A table that exists and one that does not, which is one without rows."""
+    path = new_path(spark, "csv")
+    tables.write_csv(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("a"), F.col("s_name").alias("b")), path)
+    return tables.read_csv(spark, path, ["a", "b"]).unionByName(tables.read_csv(spark, new_path(spark, "none"), ["a", "b"]))
 
 
 @query("s8_s12_json_round_trip", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
@@ -31,6 +34,18 @@ def s8(spark, sf):
     return tables.read_json(spark, path, "n_nationkey long, n_name string")
 
 
+@query("s9_binary_files", """SELECT s_nationkey::INT AS nation, octet_length(encode(t))::BIGINT AS length, sha256(t) AS sha256, 'unsupported' AS kind
+  FROM (SELECT s_nationkey, string_agg(s_name || chr(10), '' ORDER BY s_suppkey) AS t FROM supplier GROUP BY 1)""")
+def s9(spark, sf):
+    """A file for each nation that has suppliers, with their names as lines; the files are read as bytes."""
+    path = new_path(spark, "files")
+    s = table(spark, sf, "supplier").repartition("s_nationkey").sortWithinPartitions("s_nationkey", "s_suppkey")
+    s.select("s_nationkey", "s_name").write.partitionBy("s_nationkey").text(path)
+    files = tables.read_binary(spark, path, "*.txt")
+    found = media.stamped(files.select("path", "length", "content"))
+    return found.select(F.regexp_extract("path", "s_nationkey=([0-9]+)/", 1).cast("int").alias("nation"), "length", "sha256", "kind")
+
+
 @query("s11_graph_round_trip", "SELECT DISTINCT o_custkey AS src, l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def s11(spark, sf):
     o = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
@@ -54,13 +69,28 @@ def s16(spark, sf):
     return tables.read_json(spark, path, "c_custkey long, c_mktsegment string")
 
 
-@query("s17_v2_vector_store", "SELECT vec_id, len(embedding)::INT AS dim FROM embeddings")
+@query("s11_s13_node_link_export", """WITH e AS (SELECT DISTINCT 'C' || o_custkey::VARCHAR AS src, 'S' || l_suppkey::VARCHAR AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+  n AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS no FROM (SELECT src AS id FROM e UNION SELECT dst FROM e)) SELECT src, dst, a.no AS source, b.no AS target FROM e JOIN n a ON a.id = src JOIN n b ON b.id = dst""")
+def s13(spark, sf):
+    o = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    edges = o.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("dst")).distinct()
+    path = new_path(spark, "export")
+    tables.write_node_link(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct(), edges, path)
+    nodes, found = tables.read_node_link(spark, path, "id string", "")
+    ends = nodes.select("id", "no")
+    return found.join(ends.select(F.col("id").alias("src"), F.col("no").alias("source")), "src").join(ends.select(F.col("id").alias("dst"), F.col("no").alias("target")), "dst")
+
+
+@query("s17_v2_vector_store", "SELECT vec_id, len(embedding)::INT + CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 0 END AS dim FROM embeddings")
 def s17(spark, sf):
+    """Two batches, the second written twice, and a third that replaces the vectors of every third id by longer ones."""
     path = new_path(spark, "vectors")
-    v = table(spark, sf, "embeddings")
-    tables.append_vectors(v.filter("vec_id % 2 = 0"), path)
-    tables.append_vectors(v.filter("vec_id % 2 = 1"), path)
-    return spark.read.parquet(path).select("vec_id", F.size("embedding").alias("dim"))
+    v = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    tables.put_vectors(v.filter("vec_id % 2 = 0"), path, 1)
+    for _ in range(2):
+        tables.put_vectors(v.filter("vec_id % 2 = 1"), path, 2)
+    tables.put_vectors(v.filter("vec_id % 3 = 0").withColumn("embedding", F.concat("embedding", F.array(F.lit(0.0)))), path, 3)
+    return tables.vectors_of(spark, path, v.schema).select("vec_id", F.size("embedding").alias("dim"))
 
 
 @query("s18_download", "SELECT p_partkey::VARCHAR AS p_partkey, '\"' || p_name || '\", ' || p_type AS label FROM part")
@@ -70,10 +100,15 @@ def s18(spark, sf):
     return spark.read.option("header", True).option("escape", '"').option("lineSep", "\r\n").csv(path)
 
 
-@query("s19_next_case_number", "SELECT 'FIR/2026/0004' AS number")
+def _cases(spark, sf, of: str = "supplier", key: str = "s_suppkey"):
+    """A generated case for each supplier."""
+    return generate.cases_of(table(spark, sf, of).select(F.col(key).alias("seq")))
+
+
+@query("s19_next_case_number", "SELECT 'FIR/2026/' || lpad((count(*) + 1)::VARCHAR, 4, '0') AS number FROM supplier")
 def s19(spark, sf):
     base = new_path(spark, "cases")
-    tables.write_csv(generate.cases(spark, 3).drop("seq"), f"{base}/complete_fir_dataset.csv")
+    tables.write_csv(_cases(spark, sf).drop("seq"), f"{base}/complete_fir_dataset.csv")
     return spark.createDataFrame([(tables.next_case_number(spark, base),)], "number string")
 
 
@@ -83,63 +118,66 @@ def s20(spark, sf):
     return s.select(F.col(f"`{find_column(s, 'subscriber_name', 'SUPPLIER_NAME')}`").alias("found"))
 
 
-@query("n1_case_batch", "SELECT 20::BIGINT AS n, 20::BIGINT AS numbers, 60::INT AS columns")
+@query("n1_case_batch", "SELECT count(*) AS n, count(*) AS numbers, 60::INT AS columns FROM supplier")
 def n1(spark, sf):
-    c = generate.cases(spark, 20).drop("seq")
+    c = _cases(spark, sf).drop("seq")
     return c.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("FIR_No").alias("numbers")).withColumn("columns", F.lit(len(c.columns)))
 
 
-@query("n2_n5_child_tables", """SELECT * FROM (VALUES ('Subscriber_Detail_Records', 60), ('Call_Recording', 1000), ('IP_Detail_Records', 600), ('Vehicle_Summary', 60), ('SARATHI_Database', 60), ('FASTag_Toll_Logs', 180),
-  ('ANPR_Camera_Feeds', 180), ('Financial_Summary', 20), ('Medical_Forensic_Summary', 20)) t(name, n)""")
+@query("n2_n5_child_tables", """SELECT name, (SELECT count(*) FROM supplier) * per AS n FROM (VALUES ('Subscriber_Detail_Records', 3), ('Call_Recording', 50), ('IP_Detail_Records', 30), ('Vehicle_Summary', 3), ('SARATHI_Database', 3),
+  ('FASTag_Toll_Logs', 9), ('ANPR_Camera_Feeds', 9), ('Financial_Summary', 1), ('Medical_Forensic_Summary', 1)) t(name, per)""")
 def n2(spark, sf):
-    c = generate.cases(spark, 20)
+    c = _cases(spark, sf)
     names = "Subscriber_Detail_Records Call_Recording IP_Detail_Records Vehicle_Summary SARATHI_Database FASTag_Toll_Logs ANPR_Camera_Feeds Financial_Summary Medical_Forensic_Summary".split()
-    return generate.union_of([generate.child_table(c, t).agg(F.lit(t).alias("name"), F.count(F.lit(1)).cast("int").alias("n")) for t in names])
+    return generate.union_of([generate.child_table(c, t).agg(F.lit(t).alias("name"), F.count(F.lit(1)).alias("n")) for t in names])
 
 
 @query("n4_f62_financial_tiers")
 def n4(spark, sf):
-    c = generate.cases(spark, 400)
+    c = _cases(spark, sf, "customer", "c_custkey")
     tiers = c.select(F.col("Connectivity_Type").alias("connectivity"), F.expr(generate.TIER).alias("tier"))
     return tiers.groupBy("connectivity", "tier").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("n4_f63_money_suspect")
 def f63(spark, sf):
-    c = generate.cases(spark, 400).withColumn("k", F.lit(0))
+    c = _cases(spark, sf, "customer", "c_custkey").withColumn("k", F.lit(0))
     same = F.expr(generate.MONEY_ROLE) == F.expr(generate.FLAGGED_ROLE)
     return c.agg(F.count(F.lit(1)).alias("n"), F.count_if(same).alias("same"))
 
 
-@query("n4_bank_rows_by_tier", "SELECT 0::BIGINT AS wrong")
+@query("n4_bank_rows_by_tier", "SELECT count(*) AS cases, 0::BIGINT AS wrong FROM supplier")
 def n4b(spark, sf):
-    c = generate.cases(spark, 60)
+    c = _cases(spark, sf)
     money = generate.child_table(c, "Financial_Summary").select("Case_ID", "Financial_Tier")
     rows = generate.child_table(c, "Bank_Statement_Records").groupBy("Case_ID").agg(F.count(F.lit(1)).alias("n"))
     want = F.element_at(F.create_map(*[F.lit(x) for x in ("NONE", 0, "BASIC", 3, "MODERATE", 6, "COMPLEX", 13)]), F.col("Financial_Tier"))
-    return money.join(rows, "Case_ID", "left").agg(F.count_if(F.coalesce("n", F.lit(0)) != want).alias("wrong"))
+    return money.join(rows, "Case_ID", "left").agg(F.count(F.lit(1)).alias("cases"), F.count_if(F.coalesce("n", F.lit(0)) != want).alias("wrong"))
 
 
-@query("n6_register_case", "SELECT 4::BIGINT AS cases, 'Theft' AS latest, 150::BIGINT + 50 AS calls")
+@query("n6_register_case", "SELECT count(*) + 1 AS cases, 'Theft' AS latest, 50 * (count(*) + 1) AS calls FROM supplier")
 def n6(spark, sf):
-    base = new_path(spark, "register")
-    tables.write_csv(generate.cases(spark, 3).drop("seq"), f"{base}/complete_fir_dataset.csv")
-    tables.write_csv(generate.child_table(generate.cases(spark, 3), "Call_Recording"), f"{base}/Call_Recording.csv")
+    base, c = new_path(spark, "register"), _cases(spark, sf)
+    tables.write_csv(c.drop("seq"), f"{base}/complete_fir_dataset.csv")
+    tables.write_csv(generate.child_table(c, "Call_Recording"), f"{base}/Call_Recording.csv")
     number = generate.register_case(spark, base, {"Case_Type": "Theft"})
     c = tables.read_table(spark, base, "complete_fir_dataset")
     calls = tables.read_table(spark, base, "Call_Recording").agg(F.count(F.lit(1))).scalar()
     return c.agg(F.count(F.lit(1)).alias("cases"), F.max(F.when(F.col("FIR_No") == number, F.col("Case_Type"))).alias("latest")).withColumn("calls", calls)
 
 
-@query("p20_m21_catalogue", "SELECT 28::BIGINT + 1 AS reports, 1::BIGINT AS present")
+@query("p20_m21_catalogue", "SELECT 29::BIGINT AS reports, 2::BIGINT AS present, count(*) AS cases FROM supplier")
 def p20(spark, sf):
-    base = new_path(spark, "catalogue")
-    tables.write_csv(generate.cases(spark, 2).drop("seq"), f"{base}/complete_fir_dataset.csv")
-    return reports.catalogue(spark, base).agg(F.count(F.lit(1)).alias("reports"), F.count_if("exists").alias("present"))
+    base, c = new_path(spark, "catalogue"), _cases(spark, sf)
+    tables.write_csv(c.drop("seq"), f"{base}/complete_fir_dataset.csv")
+    tables.write_csv(generate.child_table(c, "Vehicle_Summary"), f"{base}/Vehicle_Summary.csv")
+    n = tables.read_table(spark, base, "complete_fir_dataset").agg(F.count(F.lit(1))).scalar()
+    return reports.catalogue(spark, base).agg(F.count(F.lit(1)).alias("reports"), F.count_if("exists").alias("present")).withColumn("cases", n)
 
 
-@query("api_case_report", "SELECT 50::BIGINT AS n")
+@query("api_case_report", "SELECT 'FIR/2026/' || lpad(max(s_suppkey)::VARCHAR, 4, '0') AS case_id, 50::BIGINT AS n FROM supplier")
 def api(spark, sf):
     base = new_path(spark, "report")
-    tables.write_csv(generate.child_table(generate.cases(spark, 2), "Call_Recording"), f"{base}/Call_Recording.csv")
-    return reports.case_report(spark, base, "Call_Recording", "FIR/2026/0002").agg(F.count(F.lit(1)).alias("n"))
+    tables.write_csv(generate.child_table(_cases(spark, sf), "Call_Recording"), f"{base}/Call_Recording.csv")
+    last = f"FIR/2026/{table(spark, sf, 'supplier').agg(F.max('s_suppkey')).first()[0]:04d}"
+    return reports.case_report(spark, base, "Call_Recording", last).agg(F.lit(last).alias("case_id"), F.count(F.lit(1)).alias("n"))

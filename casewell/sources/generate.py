@@ -94,8 +94,13 @@ def _tier() -> str:
 
 
 def cases(spark: SparkSession, n: int = 20, first: int = 1) -> DataFrame:
-    """The case table and, beside its 60 columns, ``seq``."""
-    base = spark.range(first, first + n).select(F.col("id").alias("seq"), F.lit(0).alias("k"))
+    """The case table of ``n`` cases numbered from ``first`` and, beside its 60 columns, ``seq``."""
+    return cases_of(spark.range(first, first + n).select(F.col("id").alias("seq")))
+
+
+def cases_of(numbers: DataFrame) -> DataFrame:
+    """A case for each number ``seq``, which seeds all that is drawn: as many as the table has rows."""
+    base = numbers.select(F.col("seq").cast("long").alias("seq"), F.lit(0).alias("k"))
     crime = pick("crime", tuple(o[0] for o in OFFENCES))
     lookup = lambda j: F.element_at(F.create_map(*[F.lit(x) for o in OFFENCES for x in (o[0], o[j])]), F.col("Case_Type"))
     person = lambda s, g: f"concat({pick(s + 'f', NAMES[g])}, ' ', {pick(s + 'l', LAST)})"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casewell.functions.text import clean_na
+from casewell.operators.frames import PART_ROWS, running
+from casewell.storage import stored
 
 EMBED_AT_ONCE = 100
 #: Columns that are not text, of all tables; times stay text until they are parsed.
@@ -90,8 +93,76 @@ def embedded(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]],
     return chunks.withColumn("embedding", of_texts(F.col(text_col)))
 
 
-def append_vectors(vectors: DataFrame, path: str) -> None:
-    vectors.write.mode("append").parquet(path)
+def put_vectors(vectors: DataFrame, path: str, batch: int, key: str = "vec_id") -> bool:
+    """Write a batch of a vector store as a unit; False if a batch of that number is there already.
+
+    A batch is a folder, and it counts once Spark has committed the write and marked the folder.
+    A write that was killed leaves a folder without the mark, which readers pass by and a repeated write
+    replaces; a repeated write of a committed batch does nothing. Of rows that repeat a key within a
+    batch the greatest stays."""
+    spark, folder = vectors.sparkSession, f"{path}/batch={batch:010d}"
+    if exists(spark, f"{folder}/_SUCCESS"):
+        return False
+    others = [c for c in vectors.columns if c != key]
+    rows = vectors.groupBy(key).agg(F.max(F.struct(*others)).alias("row")).select(key, "row.*")
+    rows.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(folder)
+    return True
+
+
+def committed_batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batches of a store that were committed."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS")
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where) or []
+    return sorted(int(f.getPath().getParent().getName().removeprefix("batch=")) for f in found)
+
+
+def vectors_of(spark: SparkSession, path: str, schema, key: str = "vec_id") -> DataFrame:
+    """The rows of all committed batches, for each key those of the latest batch that has it; an empty store
+    has none. Only keys and batch numbers are shuffled to find the latest, and only if there are several."""
+    numbers = committed_batches(spark, path)
+    if not numbers:
+        return spark.createDataFrame([], schema)
+    parts = [spark.read.schema(schema).parquet(f"{path}/batch={n:010d}").withColumn("__batch", F.lit(n)) for n in numbers]
+    rows = reduce(DataFrame.unionByName, parts)
+    if len(numbers) == 1:
+        return rows.drop("__batch")
+    latest = rows.groupBy(F.col(key).alias("__key")).agg(F.max("__batch").alias("__last"))
+    return rows.join(latest, (rows[key] == latest["__key"]) & (rows["__batch"] == latest["__last"]), "left_semi").drop("__batch")
+
+
+def embed_into(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], path: str, batches: int, key: str = "vec_id", text_col: str = "chunk", first: int = 0) -> int:
+    """Embed ``chunks`` into a vector store in ``batches`` batches by hash of the key, each committed as a unit; the
+    number of batches written. A job that is repeated embeds only what was not committed."""
+    made = 0
+    for i in range(batches):
+        if first + i in committed_batches(chunks.sparkSession, path):
+            continue
+        some = chunks.filter(F.pmod(F.xxhash64(key), F.lit(batches)) == i)
+        made += put_vectors(embedded(some, embed, text_col).select(key, "embedding"), path, first + i, key)
+    return made
+
+
+def write_node_link(nodes: DataFrame, edges: DataFrame, path: str, part_rows: int = PART_ROWS) -> None:
+    """A graph of any size as node-link JSON lines: ``nodes`` (``id`` and more) in order of ids, each with its
+    number ``no`` from 0, and ``links`` with ``source`` and ``target``, the numbers of their ends, in order of
+    these. Tasks write ranges of the order, file by file; nothing is collected. Edges with an end
+    that is no node are left out."""
+    numbered = running(nodes, ["id"], {"no": F.lit(1).cast("long")}, part_rows).withColumn("no", F.col("no") - 1)
+    numbered = stored(numbered, "nodes")
+    numbered.repartitionByRange("no").sortWithinPartitions("no").write.mode("overwrite").json(f"{path}/nodes")
+    ends = numbered.select("id", "no")
+    links = edges.join(ends.select(F.col("id").alias("src"), F.col("no").alias("source")), "src").join(ends.select(F.col("id").alias("dst"), F.col("no").alias("target")), "dst")
+    links = stored(links.drop("src", "dst"), "links")
+    links.repartitionByRange("source", "target").sortWithinPartitions("source", "target").write.mode("overwrite").json(f"{path}/links")
+
+
+def read_node_link(spark: SparkSession, path: str, node_schema: str, link_schema: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (``no`` and the schema's columns) and edges ``src, dst`` (and the schema's columns) of such an export."""
+    nodes = spark.read.schema(f"no long, {node_schema}").json(f"{path}/nodes")
+    links = spark.read.schema(f"source long, target long{', ' if link_schema else ''}{link_schema}").json(f"{path}/links")
+    ends = nodes.select("no", "id")
+    edges = links.join(ends.select(F.col("no").alias("source"), F.col("id").alias("src")), "source").join(ends.select(F.col("no").alias("target"), F.col("id").alias("dst")), "target")
+    return nodes, edges.select("src", "dst", *[c for c in links.columns if c not in ("source", "target")])
 
 
 def next_case_number(spark: SparkSession, base: str, year: int = 2026) -> str:

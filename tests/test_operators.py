@@ -132,11 +132,6 @@ def test_components_do_not_depend_on_order(spark):
     assert connected_components(spark.createDataFrame([], "a string, b string")).count() == 0
 
 
-def test_too_large_a_graph_is_refused(spark):
-    with pytest.raises(analytics.GraphTooLarge):
-        analytics.betweenness(edges(spark, *PATH), most=2)
-
-
 def test_neighbourhoods_and_paths(spark):
     e = edges(spark, *BARBELL)
     assert {(r.id, r.distance) for r in graph.within_hops(e, "a", 2).collect()} == {("a", 0), ("b", 1), ("c", 1), ("d", 2)}
