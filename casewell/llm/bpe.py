@@ -20,6 +20,7 @@ from struct import pack
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,10 +129,9 @@ def _cut(vocabulary: Vocabulary):
     return cut
 
 
-def word_counts(docs: DataFrame, vocabulary_path: str, text_col: str = "text") -> DataFrame:
-    """``word, n`` over all texts, counted map-side before the shuffle."""
+def word_counts(docs: DataFrame, shared: Broadcast, text_col: str = "text") -> DataFrame:
+    """``word, n`` over all texts, counted map-side before the shuffle; ``shared`` is the vocabulary."""
     whole_texts(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary_path))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, seen = _cut(shared.value), Counter()
@@ -151,13 +151,13 @@ def word_counts(docs: DataFrame, vocabulary_path: str, text_col: str = "text") -
     return docs.select(text_col).mapInArrow(trimmed(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(docs: DataFrame, vocabulary_path: str, text_col: str = "text", words: int = LEXICON_WORDS) -> bytes:
-    """The most frequent words of all texts, ``words`` at most, compiled. Counts are ranked by classes
-    of a sixteenth of a doubling: a class is taken whole or not, so what comes to the driver is
-    a small histogram and the words taken, whatever the number of partitions."""
-    vocabulary = Vocabulary(vocabulary_path)
+def build_lexicon(docs: DataFrame, shared: Broadcast, text_col: str = "text", words: int = LEXICON_WORDS) -> bytes:
+    """The most frequent words of all texts, ``words`` at most, compiled; ``shared`` is the vocabulary. Counts are
+    ranked by classes of a sixteenth of a doubling: a class is taken whole or not. One task compiles the
+    words taken, as many as ``words`` bounds, so the driver gets a small histogram and the finished
+    automaton, whatever the number of partitions."""
     kind = F.floor(F.log2("n") * 16).cast("int")
-    counts = word_counts(docs, vocabulary_path, text_col).filter((F.octet_length("word") <= LONGEST_WORD) & (F.col("n") > 1))
+    counts = word_counts(docs, shared, text_col).filter((F.octet_length("word") <= LONGEST_WORD) & (F.col("n") > 1))
     counts = stored(counts.select("word", kind.alias("class")), "words")
     taken, least = 0, None
     for r in sorted(counts.groupBy("class").count().collect(), reverse=True):
@@ -166,8 +166,15 @@ def build_lexicon(docs: DataFrame, vocabulary_path: str, text_col: str = "text",
         least = r["class"]
     if least is None:
         return compile_lexicon({})
-    top = counts.filter(F.col("class") >= least).select("word").toArrow().column(0).to_pylist()
-    return compile_lexicon({w: vocabulary.merge_word(w) for t in top if t not in vocabulary.special for w in [t.encode()]})
+
+    def compiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value
+        top = [t for batch in batches for t in batch.column(0).to_pylist()]
+        data = compile_lexicon({w: vocabulary.merge_word(w) for t in top if t not in vocabulary.special for w in [t.encode()]})
+        yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["lexicon"])
+
+    one = counts.filter(F.col("class") >= least).select("word").coalesce(1)
+    return bytes(one.mapInArrow(trimmed(compiled), "lexicon binary").first()[0])
 
 
 def encode(
@@ -189,12 +196,13 @@ def encode(
     """
     spark = docs.sparkSession
     whole_texts(spark)
-    shared = spark.sparkContext.broadcast((Vocabulary(vocabulary_path), build_lexicon(docs, vocabulary_path, text_col, words)))
+    shared = spark.sparkContext.broadcast(Vocabulary(vocabulary_path))
+    automaton = spark.sparkContext.broadcast(build_lexicon(docs, shared, text_col, words))
     give_back()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, packed = shared.value
-        lexicon, cut = Lexicon.from_bytes(packed), _cut(vocabulary)
+        vocabulary = shared.value
+        lexicon, cut = Lexicon.from_bytes(automaton.value), _cut(vocabulary)
         specials = {t: np.array([i], "<u4").tobytes() for t, i in vocabulary.special.items()}
         memo: dict[str, bytes] = dict(specials)
 
