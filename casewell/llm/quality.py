@@ -24,10 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import evidence
-from .common import arrow_rows, discard, give_back, hash_sample, stored, trimmed
+from .common import arrow_rows, discard, hash_sample, stored, trimmed
 from .shingles import chunks
 
-MOST_LABELS = 6_000  # labelled documents, about, that the logistic model is fitted on
+MOST_LABELS = 8_000  # labelled documents, about, that the logistic model is fitted on
 BROADCAST_PLACES = 100_000
 CLIP = 1e-6
 ARROW_ROWS = 1000
@@ -44,8 +44,8 @@ def _labels(labels: DataFrame) -> DataFrame:
 def fit_evidence(texts: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) -> dict[str, tuple[evidence.Evidence, float]]:
     """Target to its model and the share of ones in the sample; a target without labels of both kinds is
     left out. ``texts`` has ``doc_id, text``. The sample are about ``most_labels`` labelled ids, those
-    of the smallest hashes; of several texts of one id the least is taken. Only the buckets of
-    the sample come to the driver."""
+    of the smallest hashes; of several texts of one id the least is taken. One task fits on the sample, and
+    the models alone come to the driver."""
     known = stored(_labels(labels), "labels", narrow=True)
     some = hash_sample(known, known.count(), most_labels, "doc_id")
     rows = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", *TARGETS).agg(F.min("text").alias("text"))  # a bounded sample
@@ -63,34 +63,48 @@ def fit_evidence(texts: DataFrame, labels: DataFrame, most_labels: int = MOST_LA
     found = rows.select("doc_id", *TARGETS, "text").mapInArrow(trimmed(run), f"doc_id {kind}, quality double, toxic double, buckets array<int>, shape array<double>")
     with arrow_rows(texts.sparkSession, ARROW_ROWS):
         stored_sample = stored(found, "sample", narrow=True)
-    sample = stored_sample.toArrow().combine_chunks()
-    order = np.argsort(sample.column("doc_id").to_numpy())
-    labelled = {t: sample.column(t).to_numpy()[order] for t in TARGETS}
-    shape = np.array(sample.column("shape").to_pylist(), float).reshape(-1, len(evidence.SHAPE))[order]
-    owner = bucket = np.zeros(0, np.int32)
-    if len(order):
-        lists = sample.column("buckets").chunk(0)
-        cuts, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-        bucket = np.concatenate([flat[cuts[i] : cuts[i + 1]] for i in order])
-        owner = np.repeat(np.arange(len(order), dtype=np.int32), np.diff(cuts)[order])
-        del lists, flat
-    del sample
-    discard(known, stored_sample)
-    give_back()
+        fitted = stored_sample.coalesce(1).mapInArrow(trimmed(_fit_sample), "target string, share double, start double, weights binary, slopes binary").collect()  # a row for each target
     out = {}
-    for t, y in labelled.items():
-        has = np.isfinite(y)
-        if len(set(y[has])) < 2:
-            continue
-        if has.all():
-            model = evidence.fit(owner, bucket, shape, y)
-        else:
-            place, mine = np.cumsum(has, dtype=np.int32) - np.int32(1), has[owner]
-            model = evidence.fit(place[owner[mine]], bucket[mine], shape[has], y[has])
-        out[t] = model, float(y[has].mean())
-    del owner, bucket
-    give_back()
-    return out
+    for r in fitted:
+        weights, slopes = np.frombuffer(bytes(r["weights"]), np.float32), np.frombuffer(bytes(r["slopes"]), np.float64)
+        out[r["target"]] = evidence.Evidence(r["start"], weights, slopes), r["share"]
+    discard(known, stored_sample)
+    return {t: out[t] for t in TARGETS if t in out}
+
+
+def _fit_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A model for each target with labels of both kinds, fitted by one task on the bounded sample, whose lists never
+    come to the driver. Texts are taken in order of their ids, whatever the partitions."""
+    ids, labelled, shapes, lists = [], {t: [] for t in TARGETS}, [], []
+    for batch in batches:
+        ids.append(batch.column("doc_id").to_numpy(zero_copy_only=False))
+        for t in TARGETS:
+            labelled[t].append(batch.column(t).to_numpy(zero_copy_only=False).astype(float))
+        found = batch.column("buckets")
+        cuts, flat = found.offsets.to_numpy(), found.values.to_numpy()
+        lists += [flat[s:e].copy() for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+        shapes.append(batch.column("shape").flatten().to_numpy().reshape(-1, len(evidence.SHAPE)).copy())
+    rows = []
+    if ids:
+        order = np.argsort(np.concatenate(ids))
+        shape = np.concatenate(shapes)[order]
+        owner = np.repeat(np.arange(len(order), dtype=np.int32), [len(lists[i]) for i in order])
+        bucket = np.concatenate([lists[i] for i in order])
+        del lists
+        for t, parts in labelled.items():
+            y = np.concatenate(parts)[order]
+            has = np.isfinite(y)
+            if len(set(y[has])) < 2:
+                continue
+            if has.all():
+                m = evidence.fit(owner, bucket, shape, y)
+            else:
+                place, mine = np.cumsum(has, dtype=np.int32) - np.int32(1), has[owner]
+                m = evidence.fit(place[owner[mine]], bucket[mine], shape[has], y[has])
+            rows.append((t, float(y[has].mean()), m.start, m.weights.astype(np.float32).tobytes(), m.slopes.astype(np.float64).tobytes()))
+    names = ["target", "share", "start", "weights", "slopes"]
+    kinds = [pa.string(), pa.float64(), pa.float64(), pa.binary(), pa.binary()]
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
 
 def score(texts: DataFrame, models: dict[str, tuple[evidence.Evidence, float]]) -> DataFrame:
