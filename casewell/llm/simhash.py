@@ -86,7 +86,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     with arrow_rows(docs.sparkSession, BATCH_ROWS):
-        return stored(rows.mapInArrow(run, f"doc_id {kind}, fp long"), "fingerprints", narrow=True)
+        return stored(rows.mapInArrow(run, f"doc_id {kind}, fp long"), "fingerprints")  # as many tasks as the texts ask for
 
 
 def hex_digits(fp: Column) -> Column:
