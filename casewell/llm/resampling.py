@@ -123,7 +123,7 @@ def _scored(docs: DataFrame, target: DataFrame, longest: int, buckets: int, seed
     total = F.aggregate("__buckets", F.lit(0).cast("long"), lambda acc, b: acc + F.element_at(gain, b + 1))
     scored = ours.select("doc_id", "__words", F.size("__buckets").cast("long").alias("n_features"), total.alias("__total"))
     scored = scored.withColumn("weight", _floored_mean()).withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed))
-    return stored(scored.select("doc_id", "n_features", "weight", "score", (F.col("__words") >= least_words).alias("__may")), "scores", narrow=True)
+    return stored(scored.select("doc_id", "n_features", "weight", "score", (F.col("__words") >= least_words).alias("__may")), "scores")
 
 
 def _ranked(scored: DataFrame, percent: int, range_rows: int) -> DataFrame:
