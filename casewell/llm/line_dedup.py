@@ -65,12 +65,15 @@ def drop_boilerplate(
     found = boilerplate(docs, host_col, text_col, ratio, min_pages).select("host_key", "line")
     found = stored(found, "boilerplate", narrow=True)
     lists = found.groupBy("host_key").agg(F.collect_list("line").alias("__bad")).withColumnRenamed("host_key", "__host")
-    lists = F.broadcast(lists) if found.count() <= broadcast_lines else lists
+    # stored, the lists are a plain shuffle, and the join splits a host of many texts
+    lists = F.broadcast(lists) if found.count() <= broadcast_lines else stored(lists, "lists")
     out = docs.withColumn("__host", _host(F.col(host_col))).join(lists, "__host", "left")
     lines = lines_of(F.col(text_col))
     bad = F.coalesce(F.col("__bad"), F.array().cast("array<bigint>"))
-    kept = F.filter(lines, lambda x: (F.length(F.trim(x)) == 0) | ~F.array_contains(bad, line_key(x)))
-    out = out.withColumn("__kept", kept)
+    # a page's own boilerplate lines are found at once by a hashed set; its lines are looked up in these few
+    hits = F.array(F.array_intersect(F.transform(lines, line_key), bad))
+    kept = F.transform(hits, lambda hit: F.filter(lines, lambda x: (F.length(F.trim(x)) == 0) | ~F.array_contains(hit, line_key(x))))
+    out = out.withColumn("__kept", F.get(kept, 0))
     return (
         out.withColumn("clean_text", F.array_join("__kept", "\n"))
         .withColumn("n_lines", F.size(lines).cast("long"))
