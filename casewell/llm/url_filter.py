@@ -21,7 +21,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, literal_rows
+from .common import ascii_lower, literal_rows, stored
 
 BROADCAST_RULES = 50_000  # index rows; beyond, the index is joined by a shuffle
 
@@ -132,8 +132,12 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...], url_col: str = "url",
         )
         .withColumnRenamed("url", "__url")
     )
+    fits = stored(fits, "fits", narrow=True)  # a plain shuffle, so that the join splits a URL of many rows
     own = F.when(F.coalesce("excepted", F.lit(False)), "allow").when(F.coalesce("blocked", F.lit(False)), "block").otherwise("allow")
-    return rows.join(fits, F.col("url") == F.col("__url"), "left").select(
+    proper = F.coalesce(F.col("url").contains("://"), F.lit(False))
+    met = rows.filter(proper).join(fits, F.col("url") == F.col("__url"), "left")
+    met = met.unionByName(rows.filter(~proper), allowMissingColumns=True)  # what is no URL fits nothing and needs no join
+    return met.select(
         *[F.col(f"__carry_{i}").alias(c) for i, c in enumerate(carry)],
         "url",
         host_of(F.col("url")).alias("host"),
