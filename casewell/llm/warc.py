@@ -104,6 +104,7 @@ def resolve_revisits(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFr
         "__c", "__t", "__r", F.lit(True).alias("__hit"),
         F.col("r.etag").alias("r_etag"), F.col("r.last_modified").alias("r_modified"), F.col("r.headers").alias("r_headers"), F.col("r.digest").alias("r_digest"),
     )
+    responses = stored(responses, "responses")  # a plain shuffle, so that the join splits a response of many revisits
     met = found.join(responses, (F.col("canonical") == F.col("__c")) & (F.col("__ts") == F.col("__t")) & F.col("__id").eqNullSafe(F.col("__r")), "left")
     strong = lambda c: F.regexp_replace(c, r"^\s*W/", "")
     agree = [strong(F.col("etag")) == strong(F.col("r_etag")), F.col("last_modified") == F.col("r_modified")]

@@ -56,13 +56,13 @@ def random_turns(seed, convs=60):
     return [(c, t, r.choice(["user", "bot"]), r.choice(["yes", "no", "é漢", ""])) for c in r.sample(range(200), convs) for t in range(r.choice([1, 2, 3, 5, 11]))]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_trie_equals_plain(spark, seed):
     rows = random_turns(seed)
     assert rows_of(prefix_trie.trie(spark.createDataFrame(rows, TURNS))) == plain_trie(rows)
 
 
-@pytest.mark.parametrize("bits", [1, 3])
+@pytest.mark.parametrize("bits", [2])
 def test_trie_splits_collisions(spark, bits):
     rows = random_turns(3, 40)
     assert rows_of(prefix_trie.trie(spark.createDataFrame(rows, TURNS), bits=bits)) == plain_trie(rows)
@@ -126,7 +126,7 @@ def plain_resample(docs, bench, longest=1, buckets=10_000, seed=2024, least=20,
     return sorted([tuple(r[:5]) for r in out], key=lambda r: tuple((x is None, x) for x in r))
 
 
-@pytest.mark.parametrize(("longest", "percent", "range_rows"), [(1, 10, 100_000), (2, 37, 20), (3, 100, 7)])
+@pytest.mark.parametrize(("longest", "percent", "range_rows"), [(1, 10, 100_000), (3, 37, 7)])
 def test_resample_equals_plain(spark, docs, sf, longest, percent, range_rows):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     got = resampling.resample(docs, bench, longest=longest, percent=percent, range_rows=range_rows)
@@ -212,8 +212,7 @@ def ball(centre, n, bits, seed):
     return {centre ^ sum(1 << b for b in r.sample(range(64), r.randrange(bits + 1))) for _ in range(n)}
 
 
-@pytest.mark.parametrize("broadcast_nodes", [1 << 20, 0])
-@pytest.mark.parametrize("most_nodes", [8192, 5])
+@pytest.mark.parametrize(("broadcast_nodes", "most_nodes"), [(1 << 20, 5), (0, 8192)])
 def test_links_of_balls_in_shards_of_any_size(spark, monkeypatch, broadcast_nodes, most_nodes):
     r = random.Random(9)
     fps = ball(r.getrandbits(64), 150, 4, 1) | ball(0, 60, 3, 2) | {r.getrandbits(64) for _ in range(100)} | {0, (1 << 64) - 1, (1 << 64) - 2}
