@@ -134,9 +134,12 @@ def _added(totals: list[DataFrame]) -> DataFrame:
 
 
 def eigenvector(edges: DataFrame, rounds: int = 1000, tolerance: float = 1e-6, settle: bool = True, digits: int = 4) -> DataFrame:
-    """``id, eigenvector``: power iteration with the identity added, from equal values, until the sum of
-    changes is below ``n * tolerance``; zeros for all without convergence; to four digits. Without ``settle``
-    the values after ``rounds`` rounds, whatever they change.
+    """``id, eigenvector``: power iteration with a multiple of the identity added, from equal values, until the sum
+    of changes is below ``n * tolerance``; zeros for all without convergence; to four digits. Without ``settle``
+    the values after ``rounds`` rounds with the identity itself, whatever they still change.
+
+    The multiple is half the eigenvalue that the first rounds estimate. It moves no eigenvector, but the
+    opposite eigenvalue, which a graph of two sides has, then fades by a third a round instead of hardly.
 
     The edges stay where they are stored; a round is one join of them with the values, in which a hot
     node is split, and one aggregate. Only the values move, and those of the round before go."""
@@ -147,16 +150,18 @@ def eigenvector(edges: DataFrame, rounds: int = 1000, tolerance: float = 1e-6, s
     if not n:
         return now.select("id", F.lit(0.0).alias("eigenvector"))
     norm = float(n)  # the values of a round are x / norm
-    good = not settle
-    for _ in range(rounds):
+    good, shift = not settle, 1.0
+    for no in range(rounds):
         sent = ways.join(now.select(F.col("id").alias("dst"), "x"), "dst").select(F.col("src").alias("id"), "x", F.lit(None).cast("double").alias("was"))
-        sent = sent.unionByName(now.select("id", "x", F.col("x").alias("was")))
+        sent = sent.unionByName(now.select("id", (F.col("x") * shift).alias("x"), F.col("x").alias("was")))
         new = sent.groupBy("id").agg((F.sum("x") / norm).alias("x"), (F.max("was") / norm).alias("was"))
         new = stored(new, "values", narrow=True)
         norm = new.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0
         off = new.agg(F.sum(F.abs(F.col("x") / norm - F.col("was")))).first()[0]
         discard(now)
         now = new
+        if settle and no < 3:
+            shift = max(1.0, (norm - shift) / 2)
         if settle and off < n * tolerance:
             good = True
             break

@@ -63,9 +63,11 @@ def spanning_forest(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, ea, eb``: an edge ``ea < eb`` of the table for every node but one of each component, the edges of a
     spanning forest; stored. The node of a component that has no row is its root.
 
-    Contraction as for components, but of stars alone: a node hooks to the neighbour of least rank of a
-    round only if that one hooks to none, so what merges are the ends of the edges chosen, and no two
-    ways between them are taken. Links keep the least edge of the table between their ends.
+    Each round a node hooks to the neighbour of least rank if that is less than its own. Ranks fall along
+    hooks, so their edges close no circle, and each tree of hooks is one node of the next round: pointers
+    double until they are at its root, of whose depth they take the logarithm. Only nodes of less rank
+    than all their neighbours are left, so rounds grow with the logarithm of a component, in stars and
+    paths alike. Links keep the least edge of the table between their ends.
     """
     ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null and a <> b")
     pairs = ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -79,19 +81,26 @@ def spanning_forest(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
         ways = links.select(F.col("a").alias("v"), F.col("b").alias("w"), "edge").union(links.select("b", "a", "edge"))
         best = ways.groupBy("v").agg(F.min(F.struct(rank("w").alias("to"), "edge")).alias("best"))
-        best = stored(best.select("v", "best.edge", F.when(F.col("best.to") < rank("v"), F.col("best.to.node")).alias("to")), "hooks", narrow=True)
-        roots = best.filter("to is null").select(F.col("v").alias("to"))
-        hook = stored(best.join(roots, "to", "left_semi").select("v", "to", "edge"), "hooks", narrow=True)
+        hook = stored(best.select("v", "best.edge", F.when(F.col("best.to") < rank("v"), F.col("best.to.node")).otherwise(F.col("v")).alias("to")), "hooks", narrow=True)
+        rounds.append(hook)
+        hook = hook.select("v", "to")
+        while True:
+            further = hook.select(F.col("v").alias("to"), F.col("to").alias("further"))
+            again = further.select(F.col("to").alias("further"), F.col("further").alias("last"))
+            jumped = stored(hook.join(further, "to").join(again, "further").select("v", F.col("last").alias("to"), (F.col("last") != F.col("further")).alias("moved")), "hooks", narrow=True)
+            done.append(jumped)
+            hook = jumped.select("v", "to")
+            if jumped.filter("moved").isEmpty():
+                break
         left, right = hook.select(F.col("v").alias("a"), F.col("to").alias("a2")), hook.select(F.col("v").alias("b"), F.col("to").alias("b2"))
-        moved = links.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("a2", "a").alias("x"), F.coalesce("b2", "b").alias("y"), "edge").filter("x <> y")
+        moved = links.join(left, "a").join(right, "b").select(F.col("a2").alias("x"), F.col("b2").alias("y"), "edge").filter("x <> y")
         moved = moved.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("edge").alias("edge"))
-        done += [links, best]
+        done.append(links)
         links = stored(moved, "links", narrow=True)
-        rounds.append(hook)
     done.append(links)
     out = links.select(F.col("a").alias("node"), "edge.ea", "edge.eb")
     for hook in rounds:
-        out = out.unionByName(hook.select(F.col("v").alias("node"), "edge.ea", "edge.eb"))
+        out = out.unionByName(hook.filter("to <> v").select(F.col("v").alias("node"), "edge.ea", "edge.eb"))
     out = stored(out, "forest", narrow=True)
     discard(*done, *rounds)
     return out

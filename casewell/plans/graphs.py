@@ -261,9 +261,9 @@ def _measures(levels: int = 6) -> str:
         out.append(f"g{k} AS (SELECT s, v, n, n * coalesce(c, 0) AS g FROM l{k} LEFT JOIN ({back}) USING (s, v))")
     total = " UNION ALL ".join(f"SELECT v, g FROM g{k}" for k in range(1, levels + 1))
     out.append(f"b AS (SELECT v AS id, round(sum(g) / ((any_value(size.n) - 1) * (any_value(size.n) - 2)), 4) AS betweenness FROM ({total}), size GROUP BY 1)")
-    out.append("loops AS (SELECT a, b FROM ways UNION ALL SELECT id, id FROM nodes)")
+    out.append("loops AS (SELECT a, b, 1 AS w FROM ways UNION ALL SELECT id, id, 25 FROM nodes)")
     out.append("""e AS (SELECT id, 0 AS k, 1.0::DOUBLE AS x FROM nodes UNION ALL SELECT id, k, x / sqrt(sum(x * x) OVER ()) FROM
-  (SELECT a AS id, any_value(k) + 1 AS k, sum(x) AS x FROM loops JOIN e ON e.id = b GROUP BY a) WHERE k <= 120)""")
+  (SELECT a AS id, any_value(k) + 1 AS k, sum(w * x) AS x FROM loops JOIN e ON e.id = b GROUP BY a) WHERE k <= 120)""")
     out.append("v AS (SELECT id, round(x, 4) AS eigenvector FROM e WHERE k = 120), d AS (SELECT id, round(links / (n - 1), 4) AS degree FROM nodes, size)")
     out.append("""scored AS (SELECT *, least(100.0, (0.5::DOUBLE * betweenness + 0.3::DOUBLE * degree + 0.2::DOUBLE * eigenvector) * 100) AS raw FROM b JOIN d USING (id) JOIN v USING (id)),
 tiers AS (SELECT id, degree, betweenness, eigenvector, round(raw::VARCHAR::DECIMAL(20, 10), 2)::DOUBLE AS composite_score FROM scored),
@@ -281,7 +281,7 @@ def statuses(spark, sf):
 
 def _ranked_statuses(spark, sf):
     e = stored(statuses(spark, sf), "statuses")
-    return e, stored(analytics.ranking(analytics.degree(e), analytics.betweenness(e), analytics.eigenvector(e, tolerance=1e-12)), "ranked")
+    return e, stored(analytics.ranking(analytics.degree(e), analytics.betweenness(e), analytics.eigenvector(e, tolerance=1e-10)), "ranked")
 
 
 @query("g7_betweenness_of_statuses", MEASURES + " SELECT id, betweenness FROM b")
@@ -291,7 +291,7 @@ def g7_statuses(spark, sf):
 
 @query("g8_eigenvector_of_statuses", MEASURES + " SELECT id, eigenvector FROM v")
 def g8_statuses(spark, sf):
-    return analytics.eigenvector(stored(statuses(spark, sf), "statuses"), tolerance=1e-12)
+    return analytics.eigenvector(stored(statuses(spark, sf), "statuses"), tolerance=1e-10)
 
 
 @query("g8_eigenvector_rounds", f"""WITH RECURSIVE {BOTH}, loops AS (SELECT a, b FROM ways UNION ALL SELECT DISTINCT a, a FROM ways), e AS (SELECT DISTINCT a AS id, 0 AS k, 1.0::DOUBLE AS x FROM ways UNION ALL

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casewell.operators import analytics, frames, graph, resolution, tables
-from casewell.operators.components import connected_components, spanning_forest, sums_to_end
+from casewell.operators.components import spanning_forest, sums_to_end
 
 from .test_whole_graph import RANDOM, naive_betweenness
 
@@ -107,30 +107,33 @@ def random_pairs(seed, n=60, m=70):
 
 
 def naive_bridges(pairs):
-    def parts(edges):
-        up = {}
+    nodes = {v for e in pairs for v in e}
+    whole = parts(pairs, nodes)
+    return {tuple(sorted(e)) for e in pairs if e[0] != e[1] and parts([x for x in pairs if x != e], nodes) > whole}
 
-        def top(v):
-            while up.setdefault(v, v) != v:
-                v = up[v]
-            return v
 
-        for a, b in edges:
-            up[top(a)] = top(b)
-        return len({top(v) for e in pairs for v in e})
+def test_spanning_forest(spark):
+    pairs = random_pairs(1, 40, 45) + [("hub", f"v{i}") for i in range(30)]
+    forest = spanning_forest(edges(spark, [*pairs, ("z", "z"), (None, "z")]), "src", "dst").collect()
+    found = {(r.ea, r.eb) for r in forest}
+    assert found <= set(pairs) and len(found) == len(forest) == len({r.node for r in forest})
+    nodes = {v for e in pairs if e[0] != e[1] for v in e}
+    assert len(forest) == len(nodes) - parts(pairs, nodes) and parts(found, nodes) == parts(pairs, nodes)
 
-    whole = parts(pairs)
-    return {tuple(sorted(e)) for e in pairs if e[0] != e[1] and parts([x for x in pairs if x != e]) > whole}
 
+def parts(pairs, nodes):
+    """Number of components."""
+    up = {v: v for v in nodes}
 
-def test_spanning_forest(spark):
-    pairs = random_pairs(1, 40, 45)
-    forest = spanning_forest(edges(spark, pairs), "src", "dst").collect()
-    assert {(r.ea, r.eb) for r in forest} <= set(pairs)
-    joined = connected_components(spark.createDataFrame([(r.ea, r.eb) for r in forest], "a string, b string")).collect()
-    whole = connected_components(edges(spark, [p for p in pairs if p[0] != p[1]]), "src", "dst").collect()
-    assert sorted(joined) == sorted(whole)
-    assert len(forest) == len(whole) - len({r.root for r in whole}) == len({r.node for r in forest})
+    def top(v):
+        while up[v] != v:
+            v = up[v]
+        return v
+
+    for a, b in pairs:
+        if a != b:
+            up[top(a)] = top(b)
+    return len({top(v) for v in nodes})
 
 
 def test_sums_along_lists(spark):
