@@ -346,8 +346,8 @@ def near_duplicates(
     classes of their own. Equal texts are one node, very long ones are read whole, ties go to the
     least id. An empty table gives no rows; extra columns are ignored, whatever their names.
 
-    The texts are read five times: for the shingles that are possibly frequent, for their counts,
-    for the samples, and for the texts of compared nodes, and written never but for the latter.
+    The texts are read eight times: for their number and size, for the shingles that are possibly frequent,
+    for their counts, for the samples, and four times for the texts of compared nodes, which alone are written.
     """
     with arrow_rows(docs.sparkSession, ARROW_ROWS):  # every Python stage ends in a written table
         return _near_duplicates(docs, id_col, text_col, similarity, bands, rows)

@@ -174,7 +174,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[SecretRule, ...] = BASE_RULES + M
 
     Null text is empty and has no spans; null ids, repeated rows and ties are rows like others;
     an empty table gives no rows; extra columns are ignored. Only candidates' texts are
-    shuffled: a fixed-size sieve of the candidates lets the others go map-side.
+    shuffled: a sieve of the candidates, sized by their number, lets the others go map-side.
     """
     rank = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
     text = F.coalesce(F.col(text_col), F.lit(""))
