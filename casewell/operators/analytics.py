@@ -351,14 +351,15 @@ def _joins(links: DataFrame, share: DataFrame, m: Column, part_rows: int) -> Dat
 def label_communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """``id, community_id, size`` by label propagation, for graphs of any size: every node takes the
     most frequent label of its neighbours and itself, the least one on ties."""
-    ways = stored(both_ways(edges).distinct(), "ways")
-    label = stored(ways.select(F.col("src").alias("id")).distinct().withColumn("head", F.col("id")), "labels")
-    own = label
-    for _ in range(rounds):
-        heard = ways.join(label.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "head").unionByName(label.select("id", "head"))
-        votes = heard.groupBy("id", "head").agg(F.count(F.lit(1)).alias("n")).groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "head")).alias("best"))
-        label = stored(own.select("id").join(votes, "id").select("id", F.col("best.head").alias("head")), "labels")
-    return _numbered(label)
+    with scratch(edges.sparkSession) as keep:
+        ways = stored(both_ways(edges).distinct(), "ways")
+        label = stored(ways.select(F.col("src").alias("id")).distinct().withColumn("head", F.col("id")), "labels")
+        own = label
+        for _ in range(rounds):
+            heard = ways.join(label.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "head").unionByName(label.select("id", "head"))
+            votes = heard.groupBy("id", "head").agg(F.count(F.lit(1)).alias("n")).groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "head")).alias("best"))
+            label = stored(own.select("id").join(votes, "id").select("id", F.col("best.head").alias("head")), "labels")
+        return keep(stored(_numbered(label), "communities", narrow=True))
 
 
 def ranking(degrees: DataFrame, between: DataFrame, eigen: DataFrame, community: DataFrame | None = None, most: int | None = 25) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewell.functions.text import account, display_name, person_and_role, phone_digits, plate, vehicles_of
-from casewell.storage import stored
+from casewell.storage import scratch, stored
 
 MOST_EVIDENCE = 25
 ROLES = ("Informant", "Victim", "Accused")
@@ -185,12 +185,13 @@ def within_hops(edges: DataFrame, node, hops: int) -> DataFrame:
     ways = both_ways(edges)
     kind = edges.schema["src"].dataType
     start = ways.filter(F.col("src") == F.lit(node).cast(kind)).select(F.col("src").alias("id")).limit(1).withColumn("distance", F.lit(0))
-    found = front = stored(start, "front")
-    for d in range(1, hops + 1):
-        front = front.join(ways, front["id"] == ways["src"]).select(F.col("dst").alias("id")).distinct().join(found, "id", "left_anti")
-        front = stored(front.withColumn("distance", F.lit(d)), "front")
-        found = found.unionByName(front)
-    return found
+    with scratch(edges.sparkSession) as keep:
+        found = front = stored(start, "front")
+        for d in range(1, hops + 1):
+            front = front.join(ways, front["id"] == ways["src"]).select(F.col("dst").alias("id")).distinct().join(found, "id", "left_anti")
+            front = stored(front.withColumn("distance", F.lit(d)), "front")
+            found = found.unionByName(front)
+        return keep(stored(found, "hops", narrow=True))
 
 
 def ego_graph(edges: DataFrame, node, hops: int = 1) -> DataFrame:
