@@ -173,7 +173,7 @@ def build_lexicon(docs: DataFrame, shared: Broadcast, text_col: str = "text", wo
         data = compile_lexicon({w: vocabulary.merge_word(w) for t in top if t not in vocabulary.special for w in [t.encode()]})
         yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["lexicon"])
 
-    one = counts.filter(F.col("class") >= least).select("word").coalesce(1)
+    one = counts.filter(F.col("class") >= least).select("word").repartition(1)  # many tasks read the counts, one gets the words taken
     return bytes(one.mapInArrow(trimmed(compiled), "lexicon binary").first()[0])
 
 
