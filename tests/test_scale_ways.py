@@ -98,6 +98,49 @@ def test_profiles_are_compared_and_not_records(spark):
     assert resolution.candidate_pairs(x).count() == 190
 
 
+def paired(rows, wanted):
+    """Scores of the pairs of a plain join of blocks, for those wanted."""
+    keys = resolution.block_keys(rows)
+    other = keys.withColumnRenamed("record_id", "b")
+    pairs = keys.withColumnRenamed("record_id", "a").join(other, "block").filter("a < b").select("a", "b").distinct()
+    return sorted(tuple(r) for r in resolution.score_pairs(rows, pairs).select(*wanted).collect())
+
+
+@pytest.mark.parametrize(("seed", "chunk", "task"), [(5, 3, 50), (6, 256, 4_000_000)])
+def test_pairs_of_faces_are_all_pairs(spark, monkeypatch, seed, chunk, task):
+    monkeypatch.setattr(resolution, "CHUNK", chunk)
+    monkeypatch.setattr(resolution, "TASK_PAIRS", task)
+    x = spark.createDataFrame(records(seed), "record_id int, name string, phone string, address string, vehicles array<string>, case_id string")
+    wanted = ["a", "b", "score", "decision", "name_similarity", "phone_agrees", "address_agrees", "vehicle_agrees", "case_agrees", "shared_vehicles"]
+    plain = paired(x, wanted)
+    assert sorted(map(repr, plain)) == sorted(repr(tuple(r)) for r in resolution.candidate_scores(x).select(*wanted).collect())
+    assert sorted((r.a, r.b) for r in resolution.candidate_pairs(x).collect()) == [p[:2] for p in plain]
+    faces, judged, placed = resolution.resolved(x)
+    scored = resolution.score_pairs(x, resolution.candidate_pairs(x))
+    assert sorted(resolution.clusters(x, scored).collect()) == sorted(placed.select("record_id", "entity_id").collect())
+    inside = resolution.entity_evidence(scored, placed.select("record_id", "entity_id"))
+    assert sorted(inside.collect()) == sorted(resolution.inner_pairs(faces, judged, placed).select(*inside.columns).collect())
+    tops = inside.groupBy("entity_id").agg(F.max("score").alias("top"), F.count(F.lit(1)).alias("n_pairs"))
+    assert sorted(tops.collect()) == sorted(resolution.inner_totals(faces, judged, placed).collect())
+
+
+def test_no_pairs_of_equal_records_are_written(spark, monkeypatch):
+    """300 equal records have 44,850 pairs: clusters take none of them, and pairs are written nowhere on the way."""
+    largest, keep = [], resolution.stored
+
+    def counted(df, label, **k):
+        out = keep(df, label, **k)
+        largest.append(out.count())
+        return out
+
+    monkeypatch.setattr(resolution, "stored", counted)
+    rows = [(i, "Ravi Kumar", "900", "Hill View", ["MH1"], "c1") for i in range(300)]
+    x = spark.createDataFrame(rows, "record_id int, name string, phone string, address string, vehicles array<string>, case_id string")
+    assert {r.entity_id for r in resolution.resolved(x)[2].collect()} == {0}
+    assert resolution.matching_pairs(x).count() == 300 * 299 // 2
+    assert max(largest) == 300
+
+
 # ---- graphs
 
 
