@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from casewell.operators import media
@@ -10,6 +12,8 @@ from casewell.storage import table
 
 from .registry import query
 
+TONES = 64  # recordings made at once
+
 
 @query("b1_digest_of_files", "SELECT 'page-' || page_id::VARCHAR || '.html' AS path, 'unsupported' AS kind, strlen(html)::BIGINT AS length, sha256(html) AS sha256 FROM pages")
 def b1(spark, sf):
@@ -40,9 +44,14 @@ def b10(spark, sf):
 def _recordings(numbers):
     """``path, length, content`` of a WAV file for each number."""
 
-    @F.pandas_udf("binary")
-    def tone(numbers: pd.Series) -> pd.Series:
-        return numbers.map(lambda n: bytes(media.tone_fixture([(1, 0), (2, 200 + int(n) % 60 * 10), (1, 0), (1, 880)])))
+    def tones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, TONES):  # a recording is 160 kB, and batches have any number of rows
+                some = batch.column(0).slice(first, TONES)
+                files = [media.tone_fixture([(1, 0), (2, 200 + n % 60 * 10), (1, 0), (1, 880)]) for n in some.to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.cast(pa.int64()), pa.array(files, pa.binary())], ["no", "content"])
 
-    rows = numbers.select(F.concat(F.lit("tone-"), F.col("no").cast("string"), F.lit(".wav")).alias("path"), tone("no").alias("content"))
+    dealt = numbers.select(F.col("no").cast("long").alias("no")).repartition(-(-numbers.count() // (8 * TONES)) or 1, "no")
+    rows = dealt.mapInArrow(tones, "no long, content binary")
+    rows = rows.select(F.concat(F.lit("tone-"), F.col("no").cast("string"), F.lit(".wav")).alias("path"), "content")
     return rows.select("path", F.octet_length("content").cast("long").alias("length"), "content")
