@@ -238,6 +238,19 @@ def test_communities_beyond_the_bound_are_contracted(spark):
     assert sorted(map(sorted, found.values())) == [["k0"], ["k1"], ["k2"]]
 
 
+TWINS = [*[("hub", f"v{i}") for i in range(5)], ("hub", "x"), ("x", "y"), *[(h, f"w{i}") for h in ("hub", "y") for i in range(3)], ("p", "q"), ("q", "r"), ("r", "s"), ("s", "p")]
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_twins_are_searched_once(spark, monkeypatch, most):
+    found, keep = [], analytics.stored
+    monkeypatch.setattr(analytics, "stored", lambda df, label, **k: found.append((label, keep(df, label, **k))) or found[-1][1])
+    got = {r.id: r.betweenness for r in analytics.betweenness(edges(spark, TWINS), most=most, sources=4).collect()}
+    plain = naive_betweenness(TWINS)
+    assert got.keys() == plain.keys() and all(abs(got[k] - plain[k]) < 6e-5 for k in plain)
+    assert [df.count() for label, df in found if label == "kinds"] == [6]  # of 15 nodes
+
+
 # ---- rows that come in large batches or from hot keys
 
 
