@@ -251,6 +251,23 @@ def test_twins_are_searched_once(spark, monkeypatch, most):
     assert [df.count() for label, df in found if label == "kinds"] == [6]  # of 15 nodes
 
 
+def test_eigenvector_of_kinds(spark, monkeypatch):
+    found, keep = [], analytics.stored
+    monkeypatch.setattr(analytics, "stored", lambda df, label, **k: found.append((label, keep(df, label, **k))) or found[-1][1])
+    pairs = [*TWINS, ("p", "p"), ("q", None)]
+    got = {r.id: r.eigenvector for r in analytics.eigenvector(edges(spark, pairs), rounds=4, settle=False, digits=6).collect()}
+    assert next(df.count() for label, df in found if label == "kinds") == 7  # of 15 nodes; p has itself as a neighbour
+    near = defaultdict(set)
+    for a, b in TWINS + [("p", "p")]:
+        near[a].add(b)
+        near[b].add(a)
+    x = dict.fromkeys(near, 1.0)
+    for _ in range(4):
+        x = {v: x[v] + sum(x[w] for w in near[v]) for v in near}
+    norm = sum(v * v for v in x.values()) ** 0.5
+    assert got.keys() == x.keys() and all(abs(got[v] - x[v] / norm) < 2e-6 for v in x)
+
+
 # ---- rows that come in large batches or from hot keys
 
 
