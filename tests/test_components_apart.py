@@ -7,8 +7,8 @@ import pytest
 
 from casewell.operators import analytics, brandes
 
-from .test_operators import edges
-from .test_scale_ways import random_pairs
+
+from .test_scale_ways import edges, random_pairs
 from .test_whole_graph import naive_betweenness
 
 #: Three components of 12 nodes each at most, one of two sides, a pair and a loop.
