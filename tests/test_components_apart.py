@@ -9,7 +9,7 @@ from casewell.operators import analytics, brandes
 
 
 from .test_scale_ways import edges, random_pairs
-from .test_whole_graph import naive_betweenness
+from .test_whole_graph import naive_betweenness, naive_communities
 
 #: Three components of 12 nodes each at most, one of two sides, a pair and a loop.
 APART = [(f"{c}{a}", f"{c}{b}") for c in "xy" for a, b in random_pairs(3, 12, 20) if a != b] + [(f"l{i}", f"r{j}") for i in range(4) for j in range(5) if (i + j) % 3] + [("p", "q")]
@@ -45,3 +45,17 @@ def test_dense_searches_are_the_listed_ones(two_sides):
     all_of = np.arange(len(names))
     listed = brandes._listed(all_of, np.concatenate([a, b]), np.concatenate([b, a]), size)
     assert np.allclose(brandes._dense(all_of, a, b, size, side), listed) and np.allclose(brandes._dense(all_of, a, b, size, None), listed)
+
+
+@pytest.mark.parametrize("most", [25, 5])
+def test_communities_are_greedy_by_component(spark, monkeypatch, most):
+    if most == 25:  # no component is larger
+        monkeypatch.setattr(analytics, "contracted_communities", never)
+        monkeypatch.setattr(analytics, "_contracted", never, raising=False)
+    groups = {}
+    for r in analytics.communities(edges(spark, APART), most=most).collect():
+        groups.setdefault(r.community_id, []).append(r.id)
+    if most == 25:
+        assert sorted(map(sorted, groups.values())) == naive_communities(APART)
+    else:
+        assert sorted(v for g in groups.values() for v in g) == sorted({v for e in APART for v in e}) and ["p", "q"] in groups.values()
