@@ -15,6 +15,7 @@ from casewell.operators.frames import PART_ROWS, running
 from casewell.storage import stored
 
 EMBED_AT_ONCE = 100
+FILE_ROWS = 100_000  # a CSV file whose texts may hold line ends is read by one task
 #: Columns that are not text, of all tables; times stay text until they are parsed.
 LONGS = frozenset(
     "Year Days_Offset_N Informant_Age Victim_Age Number_of_Accused Accused_Height_cm Total_Property_Value_INR Amount_INR Balance_INR Amount Risk_Score Age"
@@ -46,10 +47,10 @@ def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str, append: bool = False) -> bool:
-    """Overwrite, or append to, a CSV table; nothing is written for no rows."""
+    """Overwrite, or append to, a CSV table, in files of ``FILE_ROWS`` rows at most; nothing is written for no rows."""
     if rows.isEmpty():
         return False
-    rows.write.mode("append" if append else "overwrite").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
+    rows.write.mode("append" if append else "overwrite").option("maxRecordsPerFile", FILE_ROWS).option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
     return True
 
 
