@@ -157,13 +157,14 @@ def write_node_link(nodes: DataFrame, edges: DataFrame, path: str, part_rows: in
     links.repartitionByRange("source", "target").sortWithinPartitions("source", "target").write.mode("overwrite").json(f"{path}/links")
 
 
-def read_node_link(spark: SparkSession, path: str, node_schema: str, link_schema: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes (``no`` and the schema's columns) and edges ``src, dst`` (and the schema's columns) of such an export."""
+def read_node_link(spark: SparkSession, path: str, node_schema: str, link_schema: str, numbers: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Nodes (``no`` and the schema's columns) and edges ``src, dst`` (and the schema's columns) of such an export; with
+    ``numbers`` also their ``source`` and ``target`` as they stand there."""
     nodes = spark.read.schema(f"no long, {node_schema}").json(f"{path}/nodes")
     links = spark.read.schema(f"source long, target long{', ' if link_schema else ''}{link_schema}").json(f"{path}/links")
     ends = nodes.select("no", "id")
     edges = links.join(ends.select(F.col("no").alias("source"), F.col("id").alias("src")), "source").join(ends.select(F.col("no").alias("target"), F.col("id").alias("dst")), "target")
-    return nodes, edges.select("src", "dst", *[c for c in links.columns if c not in ("source", "target")])
+    return nodes, edges.select("src", "dst", *[c for c in links.columns if numbers or c not in ("source", "target")])
 
 
 def next_case_number(spark: SparkSession, base: str, year: int = 2026) -> str:

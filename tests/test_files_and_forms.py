@@ -30,3 +30,13 @@ def test_forms_are_dealt_to_tasks(spark, monkeypatch):
     one = found.filter("id = 3").first()
     assert (one.district, one.acts_sections, one.case_type, one.informant_name) == ("Pune", "IPC 1860 Section 303", "Theft", "A B")
     assert (one.informant_address, one.accused_name_alias) == ("Flat 4, Lane 2", "C D")
+
+
+def test_links_are_read_with_the_numbers_of_their_ends(spark, tmp_path):
+    edges = spark.createDataFrame([("b", "c", 1), ("a", "c", 2)], "src string, dst string, w int")
+    nodes = spark.createDataFrame([("c",), ("a",), ("b",)], "id string")
+    tables.write_node_link(nodes, edges, f"{tmp_path}/g")
+    read, found = tables.read_node_link(spark, f"{tmp_path}/g", "id string", "w int", numbers=True)
+    assert {(r.id, r.no) for r in read.collect()} == {("a", 0), ("b", 1), ("c", 2)}
+    assert {(r.src, r.dst, r.source, r.target, r.w) for r in found.collect()} == {("b", "c", 1, 2, 1), ("a", "c", 0, 2, 2)}
+    assert tables.read_node_link(spark, f"{tmp_path}/g", "id string", "w int")[1].columns == ["src", "dst", "w"]
